@@ -111,11 +111,11 @@ parts as (
   upper(raw_tag) as u from cells),
 kinds as (select *,
   len(fr) >= 3 and len(list_filter(fr, lambda f: regexp_matches(f, '^\\d{1,3}$'))) >= 2 and len(list_filter(fr, lambda f: regexp_matches(f, '^[A-Za-z]{1,5}$'))) = 1 as many,
-  regexp_matches(u, '^[A-Z]{1,4}-?\\d+\\s*THRU\\s*[A-Z]{1,4}-?\\d+$') as ranged from parts),
+  regexp_matches(u, '^[A-Z]{1,4}-?\\d+\\s*(?:THRU|THROUGH|TO|-)\\s*[A-Z]{1,4}-?\\d+$') and regexp_extract(u, '^([A-Z]+)', 1) = regexp_extract(u, '([A-Z]+)-?\\d+$', 1) as ranged from parts),
 cand as (
  select raw_tag, unnest(case
   when many then list_transform(list_filter(fr, lambda f: regexp_matches(f, '^\\d{1,3}$')), lambda d: upper(list_filter(fr, lambda f: regexp_matches(f, '^[A-Za-z]{1,5}$'))[1]) || '-' || d)
-  when ranged and cast(regexp_extract(u, '(\\d+)$', 1) as int) >= cast(regexp_extract(u, '^[A-Z]+-?(\\d+)', 1) as int)
+  when ranged and cast(regexp_extract(u, '(\\d+)$', 1) as int) - cast(regexp_extract(u, '^[A-Z]+-?(\\d+)', 1) as int) between 0 and 100
    then list_transform(generate_series(cast(regexp_extract(u, '^[A-Z]+-?(\\d+)', 1) as int), cast(regexp_extract(u, '(\\d+)$', 1) as int)), lambda i: regexp_extract(u, '^([A-Z]+)', 1) || '-' || i)
   when len(ps) > 1 and regexp_matches(upper(ps[1]), '^[A-Z]+-\\d+$') and len(list_filter(ps[2:], lambda x: not regexp_matches(x, '^\\d+$'))) = 0
    then list_concat(ps[1:1], list_transform(ps[2:], lambda x: regexp_extract(upper(ps[1]), '^([A-Z]+)', 1) || '-' || x))

@@ -31,7 +31,7 @@ select *, x1 + w as x2, y1 + h as y2 from (
   l_orderkey, l_partkey, l_suppkey, cast(l_quantity as bigint) as qty,
   case when l_partkey % 9 = 0 then null when l_linenumber % 2 = 0 then 'P' || l_orderkey
     else 'P-' || l_orderkey end as tag
- from {lineitem}) b
+ from {lineitem}) q_
 """
 
 # second version of the boxes: some moved a little, some relabelled, some moved off to nowhere
@@ -40,7 +40,7 @@ select doc_id, page_no, det_id, conf_pct,
   case when det_id % 11 = 0 then 'X-X' else cls end as cls, tag, qty,
   x1 + (det_id % 4) * 12 + off as x1, y1 + (det_id % 3) * 6 + off as y1,
   x2 + (det_id % 4) * 12 + off as x2, y2 + (det_id % 3) * 6 + off as y2
-from (select *, case when det_id % 7 = 0 then 5000 else 0 end as off from {boxes}) b
+from (select *, case when det_id % 7 = 0 then 5000 else 0 end as off from {boxes}) q_
 """
 
 # wide thin boxes for run merging and rectangles
@@ -50,7 +50,7 @@ select doc_id, page_no, det_id, cls, conf_pct, x1, y1,
   case when det_id % 2 = 0 then y1 + 20 else y1 + 70 end as y2
 from (select doc_id, page_no, det_id, l_linestatus as cls, conf_pct,
    (x1 // 80) * 80 as x1, (y1 // 75) * 75 + (l_partkey % 3) as y1
- from (select *, right(cls, 1) as l_linestatus from {boxes}) a) b
+ from (select *, right(cls, 1) as l_linestatus from {boxes}) q_) r_
 """
 
 # schedule: one row per order; a tenth carries a tag that nobody observed
@@ -62,8 +62,8 @@ from {orders}
 """
 
 DERIVED["observed"] = """
-select b.doc_id, b.page_no, b.det_id, b.tag, o.o_orderpriority as cls, b.conf_pct, b.qty
-from {boxes} b join {orders} o on b.l_orderkey = o.o_orderkey
+select q_.doc_id, q_.page_no, q_.det_id, q_.tag, r_.o_orderpriority as cls, q_.conf_pct, q_.qty
+from {boxes} q_ join {orders} r_ on q_.l_orderkey = r_.o_orderkey
 """
 
 # text tokens placed on the same pages as the boxes

@@ -31,9 +31,9 @@ def mutual_best(edges: DataFrame, keys: list[str], order: list[str]) -> DataFram
     todo = cut(edges.select(*cols))
     done: list[DataFrame] = []
     while not is_empty(todo):
-        best = F.min(F.struct(*rank)).alias("b")
-        by_l = todo.groupBy(*keys, "l").agg(best).select(*keys, "b.*")
-        by_r = todo.groupBy(*keys, "r").agg(best).select(*keys, F.col("b.l").alias("l"), F.col("b.r").alias("r"))
+        best = F.min(F.struct(*rank)).alias("_best")
+        by_l = todo.groupBy(*keys, "l").agg(best).select(*keys, "_best.*")
+        by_r = todo.groupBy(*keys, "r").agg(best).select(*keys, F.col("_best.l").alias("l"), F.col("_best.r").alias("r"))
         won = cut(by_l.join(by_r, [*keys, "l", "r"]).select(*cols))
         done.append(won)
         todo = cut(
@@ -62,8 +62,8 @@ def serial_choice(
     while not is_empty(todo):
         best = (
             todo.groupBy(*keys, *t)
-            .agg(F.min(F.struct(*p, *extra)).alias("b"))
-            .select(*keys, *t, *[F.col("b." + c).alias(c) for c in [*p, *extra]])
+            .agg(F.min(F.struct(*p, *extra)).alias("_best"))
+            .select(*keys, *t, *[F.col("_best." + c).alias(c) for c in [*p, *extra]])
         )
         first = todo.groupBy(*keys, "r").agg(F.min(F.struct(*t)).alias("first"))
         won = cut(best.join(first, [*keys, "r"]).where(F.struct(*t) == F.col("first")).select(*cols))

@@ -69,8 +69,8 @@ def nearest(
     are left out from the start, which bounds the number of rounds by the page size.
     """
     def best(pairs: DataFrame) -> DataFrame:
-        b = F.min(F.struct("dist", rid)).alias("b")
-        return pairs.groupBy(*keys, lid).agg(b).select(*keys, lid, F.col("b." + rid).alias(rid), F.col("b.dist").alias("dist"))
+        b = F.min(F.struct("dist", rid)).alias("_best")
+        return pairs.groupBy(*keys, lid).agg(b).select(*keys, lid, F.col("_best." + rid).alias(rid), F.col("_best.dist").alias("dist"))
 
     lcols = left.select(*keys, lid, *lxy)
     rcols = right.select(*keys, rid, *rxy)

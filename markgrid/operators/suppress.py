@@ -24,7 +24,7 @@ def drop_exact_copies(boxes: DataFrame, same: list[str], score: str, id_col: str
     anyway (their IoU with it is 1 and they share all its neighbours), so heaps of copies never
     become pairs."""
     top = F.max(F.struct(F.col(score), -F.col(id_col), F.struct(*boxes.columns).alias("row")))
-    return boxes.groupBy(*same).agg(top.alias("t")).select("t.row.*")
+    return boxes.groupBy(*same).agg(top.alias("_top")).select("_top.row.*")
 
 
 def suppress_iou(
