@@ -54,7 +54,7 @@ def serial_choice(
     free. Edges carry ``keys, l, r, *turn, *prefer``; ``turn`` plus ``l`` must be strict.
     """
     t = [*turn, "l"]
-    p = [c for c in prefer if c != "r"] + ["r"]
+    p = prefer if "r" in prefer else [*prefer, "r"]
     extra = [consume] if consume and consume not in p else []
     cols = list(dict.fromkeys([*keys, *t, *p, *extra]))
     todo = cut(edges.select(*cols))

@@ -42,7 +42,7 @@ def main() -> int:
     for t in BASE:
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     spark = build_session(cores="8")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     only = {x for x in a.only.split(",") if x}
     bad = 0
     for name, q in load().items():
