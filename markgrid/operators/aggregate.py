@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from markgrid.functions import vocab as V
 from markgrid.functions.common import first_match, has_any, hits, rate
 from markgrid.functions.keys import class_of_tag
+from markgrid.functions.text import page_type_of_title
 
 c = F.col
 
@@ -125,9 +126,10 @@ def sheet_vote(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 def page_types(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Page type from phrase votes, the page's own sheet number, tables, detections and path density.
 
-    ``pages``: keys, text, n_tables, n_boxes (null before detection), n_paths. A plan number or a dense
-    drawing decides at once; else the type with most evidence wins, its confidence being the margin;
-    many detections overrule types that hold few.
+    ``pages``: keys, text, title, n_tables, n_boxes (null before detection), n_paths. A readable title
+    decides at once unless it names a document sheet full of detections; then a plan number or a dense
+    drawing; else the type with most evidence wins, its confidence being the margin, and many
+    detections overrule types that hold few.
     """
     p = pages.join(sheet_vote(pages, keys, text), keys, "left").select("*", *page_type_scores(c(text)))
     u, t = F.upper(c(text)), c
@@ -139,6 +141,13 @@ def page_types(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     by_number_floor = one(~cover & (num.between(100, 199) | num.between(300, 499)))
     by_number_roof = one(~cover & num.between(200, 299))
     votes["details"] += one(~cover & (num >= 500))
+    # numbers outside the usual form only say that this is such a sheet; its words say which
+    odd = t("sheet").isNull() & u.rlike(r"\bM[A-Z]?-?[0-9]{1,4}\b")
+    plan_word, roof_word = u.contains("PLAN"), u.contains("ROOF")
+    by_number_floor += one(odd & plan_word & ~roof_word)
+    by_number_roof += one(odd & plan_word & roof_word)
+    votes["schedule"] += one(odd & ~plan_word & u.contains("SCHEDULE"))
+    votes["details"] += one(odd & ~plan_word & ~u.contains("SCHEDULE") & u.contains("DETAILS"))
     own_plan = (by_number_floor + by_number_roof) > 0
     votes["schedule"] += one(~own_plan & ((t("n_tables") >= 5) | ((t("n_tables") >= 3) & (votes["schedule"] > 0))))
     words = F.size(F.filter(F.split(c(text), r"\s+"), lambda w: w != ""))
@@ -161,8 +170,10 @@ def page_types(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     many = lambda n, types: (F.coalesce(t("n_boxes"), F.lit(0)) >= n) & won.isin(types)
     over = many(10, ["cover", "legend", "riser_diagram"]) | many(20, ["schedule", "air_balance", "details", "other"])
     sure = t("own_plan") | t("dense")
-    kind = F.when(sure, F.when(t("v_roof_plan") > 0, "roof_plan").otherwise("mechanical_plan")).when(over, "mechanical_plan").otherwise(won)
-    conf = F.when(sure | (second == 0), 1.0).otherwise(F.greatest(F.lit(0.0), (n_top - second) / n_top))
+    titled = page_type_of_title(t("title"))
+    use_title = titled.isNotNull() & (titled.isin(V.PLAN_TYPES) | (F.coalesce(t("n_boxes"), F.lit(0)) < 20))
+    kind = F.when(use_title, titled).when(sure, F.when(t("v_roof_plan") > 0, "roof_plan").otherwise("mechanical_plan")).when(over, "mechanical_plan").otherwise(won)
+    conf = F.when(use_title, 0.95).when(sure | (second == 0), 1.0).otherwise(F.greatest(F.lit(0.0), (n_top - second) / n_top))
     return p.select(*keys, kind.alias("type"), conf.alias("confidence"), "n_words", F.coalesce(kind.isin(V.PLAN_TYPES), F.lit(False)).alias("is_plan"))
 
 
