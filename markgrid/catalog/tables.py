@@ -139,6 +139,45 @@ select l_orderkey // 250 as doc_id, l_orderkey, l_partkey, l_suppkey, cast(l_lin
 from {lineitem}
 """
 
+# schedule pages as positioned items: a header row, then one row per lineitem of the order
+DERIVED["items"] = """
+select doc_id, page_no, item_id, x as cx, y as cy, x - 30 as x1, y - 6 as y1, x + 30 as x2, y + 6 as y2, text from (
+ select o_orderkey as doc_id, 1 as page_no, cast(k as bigint) as item_id, 100 + 200 * k + (o_orderkey % 5) as x, 100 + (k % 2) as y,
+  case k when 0 then 'MARK' when 1 then 'CFM' when 2 then 'MODEL' else 'NECK SIZE' end as text
+ from {orders} q_, (select 0 as k union all select 1 union all select 2 union all select 3) r_
+ union all
+ select l_orderkey as doc_id, 1 as page_no, 10 * rn + k as item_id, 100 + 200 * k + (l_partkey % 40) as x, 100 + 30 * rn + (k + l_suppkey) % 4 as y,
+  case k when 0 then case l_suppkey % 3 when 0 then 'EF-' when 1 then 'CU' else 'and ' end || (l_partkey % 200) when 1 then cast(30 + l_partkey % 900 as string)
+   when 2 then 'M' || (l_suppkey % 70) else (4 + l_partkey % 9) || '"' end as text
+ from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as bigint) as rn from {lineitem}) q_,
+  (select 0 as k union all select 1 union all select 2 union all select 3) r_) s_
+"""
+
+# schedule grids: title, header and rows; tables of odd orders lie on their side without title
+DERIVED["cells"] = """
+select doc_id, table_no, case when doc_id % 2 = 1 then c else r + 1 end as row_no, case when doc_id % 2 = 1 then r else c end as col_no, text from (
+ select o_orderkey as doc_id, 0 as table_no, -1 as r, 0 as c, case when o_orderkey % 2 = 0 then 'FAN SCHEDULE ' || (o_custkey % 9) end as text from {orders}
+ union all
+ select o_orderkey, 0, 0, k, case k when 0 then 'MARK' when 1 then 'SERVICE' when 2 then 'MODEL' else 'CFM' end
+ from {orders} q_, (select 0 as k union all select 1 union all select 2 union all select 3) r_
+ union all
+ select l_orderkey, 0, rn, k, case k when 0 then raw_tag when 1 then service when 2 then model else cfm_text end
+ from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, line_no, conf_pct) as int) as rn from {raw_items}) q_,
+  (select 0 as k union all select 1 union all select 2 union all select 3) r_) s_ where text is not null
+"""
+
+# text lines of small documents
+DERIVED["lines"] = """
+select l_orderkey // 40 as doc_id, cast(l_linenumber as bigint) as page_no,
+  cast(row_number() over (partition by l_orderkey // 40, l_linenumber order by l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as bigint) as line_no,
+  case (l_partkey + l_suppkey) % 14 when 0 then 'M-' || (100 + l_suppkey % 90) || ' MECHANICAL PLAN' when 1 then 'M' || (100 + l_suppkey % 90)
+   when 2 then 'E' || (l_partkey % 40) when 3 then case when l_partkey % 3 = 0 then 'SHEET INDEX' else 'GENERAL NOTES' end
+   when 4 then (1 + l_suppkey % 30) || '. ACCESS PANEL ' || l_partkey when 5 then 'PROJECT: TOWER ' || l_partkey when 6 then 'SCALE:'
+   when 7 then '1/4" = 1''-0"' when 8 then 'DRAWN BY: AB' when 9 then 'AND 2 PLACES' when 10 then 'SHEET NO: M' || (100 + l_suppkey % 90)
+   when 11 then 'HVAC ROOF PLAN' when 12 then 'LEGEND' else 'SUPPLY  DIFFUSER ' || (l_partkey % 9) end as text
+from {lineitem}
+"""
+
 
 def references(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
