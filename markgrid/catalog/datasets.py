@@ -60,11 +60,11 @@ def _(t):
     return D.split_card(d, "lang", ["train", "val"], "source")
 
 
-@query("thin_preserving_sample", "U6", """with n as (select cls || qty as k, doc_id * 1000 + page_no as item from {boxes}), th as (select k from n group by 1 having count(*) < 190), m as (select distinct item from n where k in (select k from th)), r as (select distinct item from n where item not in (select item from m)),
-f as (select item from r qualify row_number() over (order by md5('3|' || item)) <= greatest(0, 300 - (select count(*) from m))) select item, 'thin' as why from m union all select item, 'fill' from f""")
+@query("thin_preserving_sample", "U6", """with n as (select cls || qty as k, l_orderkey as item from {boxes}), th as (select k from n group by 1 having count(*) < 170), m as (select distinct item from n where k in (select k from th)), r as (select distinct item from n where item not in (select item from m)),
+f as (select item from r qualify row_number() over (order by md5('3|' || item)) <= greatest(0, 9000 - (select count(*) from m))) select item, 'thin' as why from m union all select item, 'fill' from f""")
 def _(t):
-    n = t.boxes.selectExpr("cls || qty as k", "doc_id * 1000 + page_no as item")
-    return D.thin_preserving(n, "item", "k", 190, 300, 3)
+    n = t.boxes.selectExpr("cls || qty as k", "l_orderkey as item")
+    return D.thin_preserving(n, "item", "k", 170, 9000, 3)
 
 
 @query("every_kth_row", "U7", "select event_id, idx from (select event_id, row_number() over (order by event_id) - 1 as idx from {events}) x where idx % 8 = 0")
