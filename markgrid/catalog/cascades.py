@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from markgrid.catalog.filters import SQL_PAGES, page_types
 from markgrid.catalog.reconciliation import SQL_IOU
-from markgrid.catalog.registry import query
-from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, TOK_XY, print_values, serial_pairs, stack_tags, stacked_words
+from markgrid.catalog.registry import QUERIES, query
+from markgrid.catalog.keys_text import sql_class_of_tag
+from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, SQL_CALLOUTS, SQL_PRINTS, SQL_TOKENS, TOK_XY, greedy_pairs, serial_pairs, stack_tags, stacked_words
 from markgrid.functions import keys as K
 from markgrid.functions import vocab as V
 from markgrid.operators import match as M
@@ -33,21 +34,47 @@ def words(t):
     return M.word_points(t.tokens)
 
 
-@query("tag_inference_cascade", "C1 J17 G14 G6 G16 G4 J19")
+def cascade_values(t):
+    """Schedule values with their plain numbers, the latest order last."""
+    v = "case l_partkey % 3 when 0 then 'A-F' when 1 then 'N-O' else 'R-F' end as cls"
+    r = t.raw_items.selectExpr("doc_id", v, "'T' || (l_orderkey % 251) as tag", "l_orderkey as row_no", "explode(array((l_orderkey * 7 % 1013) || '\" / P-' || l_orderkey, cast(l_orderkey * 7 % 1013 as string))) as value")
+    return r
+
+
+CLS_C1 = "case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-SURF SUPPLY' when 2 then 'EXHAUST FAN' else 'SPLIT SYSTEM' end"
+ANTI = "not exists (select 1 from {1} where {1}.doc_id = {0}.doc_id and {1}.page_no = {0}.page_no and {1}.det_id = {0}.det_id)"
+SQL_C1 = f"""{TOK_XY}, {SQL_SCHED}, {SQL_CALLOUTS}, {SQL_PRINTS}, cc as (select co.*, {sql_class_of_tag('tag')} as cls from co),
+b0 as (select doc_id, page_no, det_id, {CLS_C1} as cls, (x1 + x2) / 2e0 as cx, (y1 + y2) / 2e0 as cy from {{boxes}}),
+one as (select doc_id, cls, min(tag) as tag from sd group by 1, 2 having count(distinct tag) = 1),
+l1 as (select b0.doc_id, page_no, det_id, coalesce(o.tag, a.tag) as tag from b0 left join one o on o.doc_id = b0.doc_id and o.cls = b0.cls left join one a on a.doc_id = b0.doc_id and a.cls = case b0.cls when 'SPLIT SYSTEM' then 'CONDENSING UNIT' when 'AD-SURF SUPPLY' then 'AD-GRD' end where coalesce(o.tag, a.tag) is not null),
+b1 as (select * from b0 where {ANTI.format('b0', 'l1')}),
+cb as (with recursive {serial_pairs(f"select a.doc_id, a.page_no, a.word_id as l, b.det_id as r, {DIST.format('a', 'b')} as dist from cc a join b1 b on {ON.format('a', 'b')} and (a.cls = b.cls or (b.cls = 'SPLIT SYSTEM' and a.cls = 'CONDENSING UNIT')) where {DIST.format('a', 'b')} <= 100", 'dist')} select * from picks),
+l2 as (select cb.doc_id, cb.page_no, cb.r as det_id, cc.tag from cb join cc on {ON.format('cc', 'cb')} and cc.word_id = cb.l), b2 as (select * from b1 where {ANTI.format('b1', 'l2')}),
+nk as (select distinct b.doc_id, b.page_no, b.det_id, b.cls, unnest({SQL_TOKENS.format('k.text')}) as token from b2 b join tk k on {ON.format('b', 'k')} where {DIST.format('b', 'k')} <= 100),
+fq as (select nk.doc_id, nk.page_no, nk.det_id as l, fp.tag as r, count(*) as score from nk join fp on fp.doc_id = nk.doc_id and fp.cls = nk.cls and fp.token = nk.token group by 1, 2, 3, 4),
+l3 as (with recursive {greedy_pairs("select * from fq", '-score', rtype='varchar')} select pairs.doc_id, pairs.page_no, l as det_id, r as tag, score from pairs join fq using (doc_id, page_no, l, r)), b3 as (select * from b2 where {ANTI.format('b2', 'l3')}),
+tg as (select doc_id, regexp_replace(upper(tag), '[^A-Z0-9]', '', 'g') as n, min(tag) as tag, min(cls) as tcls from sd group by 1, 2),
+mt as (select k.doc_id, k.page_no, k.word_id, k.cx, k.cy, coalesce(e.tag, p.tag) as tag, coalesce(e.tcls, p.tcls) as tcls, length(coalesce(e.n, p.n)) as ln from tk k left join tg e on e.doc_id = k.doc_id and e.n = regexp_replace(upper(k.text), '[^A-Z0-9]', '', 'g')
+  left join tg p on p.doc_id = k.doc_id and contains(k.text, '-') and p.n = regexp_replace(upper(string_split(k.text, '-')[1]), '[^A-Z0-9]', '', 'g') where coalesce(e.tag, p.tag) is not null),
+al(src, dst) as (values {", ".join(f"('{a}', '{x}')" for a, v in V.CLASS_ALIASES.items() for x in (v if isinstance(v, list) else [v]))}),
+j4 as (select b.doc_id, b.page_no, b.det_id, m.tag, m.tcls, m.word_id, {DIST.format('b', 'm')} as dist, {DIST.format('b', 'm')} - 80 * m.ln as score from b3 b join mt m on {ON.format('b', 'm')} and (b.cls = m.tcls or (b.cls, m.tcls) in (select (src, dst) from al)) where {DIST.format('b', 'm')} <= 600),
+l4 as (select doc_id, page_no, det_id, arg_min(tag, (score, word_id)) as tag, arg_min(tcls, (score, word_id)) as tcls, arg_min(dist, (score, word_id)) as dist from j4 group by 1, 2, 3), b4 as (select * from b3 where {ANTI.format('b3', 'l4')}),
+j5 as (select b.doc_id, b.page_no, b.det_id, m.tag, m.word_id, {DIST.format('b', 'm')} as dist from b4 b join mt m on {ON.format('b', 'm')} where {DIST.format('b', 'm')} <= 140), l5 as (select doc_id, page_no, det_id, arg_min(tag, (dist, word_id)) as tag, min(dist) as dist from j5 group by 1, 2, 3), b5 as (select * from b4 where {ANTI.format('b4', 'l5')}),
+vq as (select doc_id, cast(l_orderkey * 7 % 1013 as string) as value, arg_max('T' || (l_orderkey % 251), l_orderkey) as tag from {{raw_items}} group by 1, 2),
+w6 as (select b.doc_id, b.page_no, b.det_id, k.word_id, coalesce(nullif(regexp_extract(upper(k.text), '^(\\d{{2,4}})$', 1), ''), nullif(regexp_extract(upper(k.text), '^(\\d{{1,3}})"?$', 1), ''), nullif(regexp_extract(upper(k.text), '^(\\d{{1,3}}X\\d{{1,3}})$', 1), '')) as value from b5 b join tk k on {ON.format('b', 'k')} where {DIST.format('b', 'k')} <= 80),
+l6 as (select w6.doc_id, w6.page_no, w6.det_id, arg_min(vq.tag, (word_id, vq.tag)) as tag from w6 join vq on vq.doc_id = w6.doc_id and vq.value = w6.value group by 1, 2, 3)"""
+
+
+@query("tag_inference_cascade", "C1 J17 G14 G6 G16 G4 J19", f"""with {SQL_C1}
+select b.doc_id, b.page_no, b.det_id, coalesce(l4.tcls, b.cls) as cls, coalesce(l1.tag, l2.tag, l3.tag, l4.tag, l5.tag, l6.tag) as tag, case when l1.tag is not null then 'direct' when l2.tag is not null then 'text_layer_callout' when l3.tag is not null then 'fingerprint' when l4.tag is not null then 'bubble_detect' when l5.tag is not null then 'bubble_ocr' when l6.tag is not null then 'size_cfm' else 'none' end as method,
+ round(case when l1.tag is not null or l2.tag is not null then 1e0 when l3.tag is not null then least(0.5e0 + 0.15e0 * l3.score, 0.95e0) when l4.tag is not null then 1 - least(l4.dist / 600, 1e0) when l5.tag is not null then 1 - l5.dist / 140 when l6.tag is not null then 0.7e0 else 0e0 end, 6) as confidence, false as synthetic
+from b0 b left join l1 using (doc_id, page_no, det_id) left join l2 using (doc_id, page_no, det_id) left join l3 using (doc_id, page_no, det_id) left join l4 using (doc_id, page_no, det_id) left join l5 using (doc_id, page_no, det_id) left join l6 using (doc_id, page_no, det_id)
+union all select cc.doc_id, cc.page_no, null, cc.cls, cc.tag, 'text_layer_callout', 1e0, true from cc where not exists (select 1 from cb where {ON.format('cb', 'cc')} and cb.l = cc.word_id)""")
 def _(t):
     co = M.stacked_callouts(stacked_words(t), list(V.TAG_PREFIX_CLASS), stack_tags(t)).withColumn("cls", K.class_of_tag(c("tag")))
     b = t.boxes.selectExpr(*ID, "case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-SURF SUPPLY' when 2 then 'EXHAUST FAN' else 'SPLIT SYSTEM' end as cls", "x1", "y1", "x2", "y2")
-    return C.infer_tags(b, words(t), schedule(t), print_values(t).withColumn("row_no", F.xxhash64("tag", "value")), co)
-
-
-@query("size_waterfall", "C2 F28 F29")
-def _(t):
-    return C.size_waterfall(t.boxes, words(t), schedule(t), bands(t)).withColumn("conf", F.round("conf", 6))
-
-
-@query("size_waterfall_stats", "C2")
-def _(t):
-    return C.waterfall_stats(C.size_waterfall(t.boxes, words(t), schedule(t), bands(t)))
+    d = C.infer_tags(b, words(t), schedule(t), cascade_values(t), co)
+    return d.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("near_text_size", "C2 W10", f"""with {BOX_XY}, {TOK_XY}, j as (select b.doc_id, b.page_no, b.det_id, k.word_id, upper(k.text) as x, {DIST.format('b', 'k')} as dist from bx b join tk k on {ON.format('b', 'k')} where {DIST.format('b', 'k')} <= 72),
@@ -72,6 +99,32 @@ def _(t):
     return d.select(*ID, "tag", "size", F.round("conf", 6).alias("conf"))
 
 
+SQL_L3 = f"""s as (select doc_id, page_no, word_id, cx, cy, case when regexp_matches(text, '^\\d+x\\d+$') then upper(text) else text end as size, ocr_pct / 100e0 as oc from tk where regexp_matches(text, '^\\d+x\\d+$|^\\d+"$')),
+j3 as (select b.doc_id, b.page_no, b.det_id, s.word_id, s.size, s.oc, {DIST.format('b', 's')} as dist from bx b join s on {ON.format('b', 's')} where {DIST.format('b', 's')} <= 300),
+m3 as (select doc_id, page_no, det_id, min({{'rank': -oc * (1 - least(dist / 600, 0.8e0)), 'w': word_id, 'size': size, 'oc': oc, 'dist': dist}}) as h from j3 group by 1, 2, 3),
+l3 as (select doc_id, page_no, det_id, h.size as size, 0.8e0 * h.oc * (case when h.dist < 200 then 1e0 else greatest(0.3e0, 1e0 - (h.dist - 200) / 400 * 0.5e0) end) * (case when contains(h.size, 'X') then 0.95e0 else 1e0 end) as conf from m3)"""
+SQL_WATERFALL = f"""{BOX_XY}, {TOK_XY}, {SQL_SCHED}, l1 as ({QUERIES['near_text_size'].sql}), l2 as ({QUERIES['schedule_size'].sql}), {SQL_L3},
+bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi, (4 + row_no % 13) || '"' as band from {{expected}} where exp_qty = 1), nb as (select doc_id, count(*) as n from bd group by 1), cf as (select doc_id, tag, min(cfm) as cfm from sd group by 1, 2),
+h4 as (select b.doc_id, b.page_no, b.det_id, b.tag, cf.cfm, min({{'lo': lo, 'hi': hi, 'band': band}}) as h from bx b join cf on cf.doc_id = b.doc_id and cf.tag = b.tag join bd on bd.doc_id = b.doc_id and cf.cfm between lo and hi group by 1, 2, 3, 4, 5),
+l4 as (select h4.doc_id, page_no, det_id, tag, h.band as size, 0.55e0 * greatest(0.5e0, 1 - abs(cfm - (h.lo + h.hi) / 2e0) / greatest(1e0, (h.hi - h.lo) / 2e0) * 0.5e0) * (case when n < 4 then 0.75e0 when n >= 8 then 1e0 else 0.85e0 end) as conf from h4 join nb using (doc_id)),
+wf as (select b.doc_id, b.page_no, b.det_id, b.tag as own, case when l1.det_id is not null then l1.tag when l2.det_id is not null then l2.tag when l3.conf >= 0.2e0 then null else l4.tag end as rd,
+ case when l1.det_id is not null then l1.size when l2.det_id is not null then l2.size when l3.conf >= 0.2e0 then l3.size else l4.size end as size,
+ case when l1.det_id is not null then 'level1-separated' when l2.det_id is not null then case when l2.size is null then 'level2-schedule-varies' else 'level2-schedule-via-bubble' end when l3.conf >= 0.2e0 then 'level3-ocr-near-detection' when l4.det_id is not null then 'level4-cfm-range-lookup' else 'level5-unknown' end as source,
+ case when l1.det_id is not null then l1.conf when l2.det_id is not null then l2.conf when l3.conf >= 0.2e0 then l3.conf else coalesce(l4.conf, 0) end as conf
+ from bx b left join l1 using (doc_id, page_no, det_id) left join l2 using (doc_id, page_no, det_id) left join l3 using (doc_id, page_no, det_id) left join l4 using (doc_id, page_no, det_id)),
+wt as (select *, case when conf >= 0.8e0 then 'HIGH' when conf >= 0.5e0 then 'MEDIUM' when conf >= 0.15e0 then 'LOW' else 'DROP' end as tier, own is null and rd is not null as promoted from wf)"""
+
+
+@query("size_waterfall", "C2 F28 F29", f"with {SQL_WATERFALL} select doc_id, page_no, det_id, coalesce(own, rd) as tag, size, source, round(conf, 6) as conf, tier, promoted from wt")
+def _(t):
+    return C.size_waterfall(t.boxes, words(t), schedule(t), bands(t)).withColumn("conf", F.round("conf", 6))
+
+
+@query("size_waterfall_stats", "C2", f"with {SQL_WATERFALL} select source, tier, count(*) as n, count(size) as n_sized, count(*) filter (where promoted) as n_promoted from wt group by 1, 2")
+def _(t):
+    return C.waterfall_stats(C.size_waterfall(t.boxes, words(t), schedule(t), bands(t)))
+
+
 @query("context_enrichment", "C4 G3 N5", f"""with recursive {BOX_XY}, {TOK_XY}, o as (select * from bx where cls = 'A-F'), g as (select * from bx where cls = 'N-O'), w1 as (select distinct o.doc_id, o.page_no, o.det_id from o join g on {ON.format('o', 'g')} where {SQL_IOU.format('o', 'g')} > 0.05e0 or {DIST.format('o', 'g')} < 100),
 cr as (select distinct g.doc_id, g.page_no, g.det_id from g join tk on {ON.format('g', 'tk')} and tk.text = 'C.R.D.' and abs(tk.cx - g.cx) < 200 and abs(tk.cy - g.cy) < 200), ty as (select distinct b.doc_id, b.page_no, b.det_id from bx b join tk on {ON.format('b', 'tk')} and tk.text = 'TYP' and abs(tk.cx - b.cx) < 200 and abs(tk.cy - b.cy) < 200)
 select b.doc_id, b.page_no, b.det_id, w1.det_id is not null as with_grille, case when cr.det_id is not null then 'CRD' end as damper_type, ty.det_id is not null as typical from bx b left join w1 using (doc_id, page_no, det_id) left join cr using (doc_id, page_no, det_id) left join ty using (doc_id, page_no, det_id)""")
@@ -79,7 +132,10 @@ def _(t):
     return C.enrich_context(t.boxes, words(t), ["A-F"], ["N-O"]).select(*ID, "with_grille", "damper_type", "typical")
 
 
-@query("context_statistics", "C4 N4 N5")
+@query("context_statistics", "C4 N4 N5", f"""with bx as (select *, (x1 + x2) / 2e0 as cx, (y1 + y2) / 2e0 as cy from {{strips}}), {TOK_XY}, rm as ({QUERIES['run_merge'].sql}), cr as ({QUERIES['closed_rectangles'].sql}),
+o as (select * from bx where cls = 'F'), g as (select * from bx where cls = 'O'), w1 as (select distinct o.doc_id, o.page_no, o.det_id from o join g on {ON.format('o', 'g')} where {SQL_IOU.format('o', 'g')} > 0.05e0 or {DIST.format('o', 'g')} < 100),
+cd as (select distinct g.doc_id, g.page_no, g.det_id from g join tk on {ON.format('g', 'tk')} and tk.text = 'C.R.D.' and abs(tk.cx - g.cx) < 200 and abs(tk.cy - g.cy) < 200), ty as (select distinct b.doc_id, b.page_no, b.det_id from bx b join tk on {ON.format('b', 'tk')} and tk.text = 'TYP' and abs(tk.cx - b.cx) < 200 and abs(tk.cy - b.cy) < 200),
+d as (select distinct doc_id from bx) select d.doc_id, (select count(*) from w1 where w1.doc_id = d.doc_id) as with_grille, (select count(*) from cd where cd.doc_id = d.doc_id) as crd, (select count(*) from ty where ty.doc_id = d.doc_id) as typical, (select count(*) from cr where cr.doc_id = d.doc_id) as rectangles, (select count(*) from rm where rm.doc_id = d.doc_id and merged_count > 1) as runs from d""")
 def _(t):
     from markgrid.operators.suppress import merge_runs
 

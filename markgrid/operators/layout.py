@@ -13,11 +13,22 @@ from markgrid.functions import vocab as V
 from markgrid.functions.common import first_match, group, has_any, hits, squeeze
 from markgrid.functions.keys import expand_tag_cell
 from markgrid.functions.text import discipline_of, note_line
+from markgrid.session import cut
 
 c = F.col
 PAGE = ["doc_id", "page_no"]
 
 
+def by_distinct(df: DataFrame, col: str, out: str, fn) -> DataFrame:
+    """``fn`` of a text column, worked out once per distinct text and joined back.
+
+    For long rule chains over repeating texts. The list of distinct texts is joined by broadcast
+    where its size at run time allows, else by shuffle, with hot texts split by adaptive execution.
+    """
+    texts = df.where(c(col).isNotNull()).select(col).distinct().withColumn(out, fn(c(col)))
+    return df.join(texts, col, "left")
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str | None = None, block: int = 4096) -> DataFrame:
     """Last non-null value at or before each row in ``order`` (a number, unique per key).
 
@@ -102,7 +113,8 @@ def read_tables(items: DataFrame, keys=PAGE, tol: float = 80.0) -> DataFrame:
     ``items``: row_no, item_id, cx, text. A block reaches to the next header; each item goes to the
     nearest header cell of its block within ``tol``.
     """
-    heads = header_rows(items, keys).select(*keys, "header_row")
+    items = cut(items.select(*keys, "row_no", "item_id", "cx", "text"))
+    heads = cut(header_rows(items, keys).select(*keys, "header_row"))
     rows = items.select(*keys, "row_no").distinct().join(heads, keys).where(c("row_no") > c("header_row"))
     block = rows.groupBy(*keys, "row_no").agg(F.max("header_row").alias("header_row"))
     block = block.join(heads.withColumnRenamed("header_row", "row_no"), [*keys, "row_no"], "left_anti")
@@ -142,7 +154,7 @@ def schedule_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     The header is the first row with a tag word, else the first with three property words; the name
     comes from the rows above it; tag columns are those with a strong tag word, else a weak one.
     """
-    g = upright(cells, keys).withColumns({"u": squeeze(F.upper("text"))}).where("u <> ''")
+    g = cut(upright(cells, keys).withColumns({"u": squeeze(F.upper("text"))}).where("u <> ''").select(*keys, "row_no", "col_no", "text", "u"))
     tag_cell = c("u").isin(V.GRID_TAG_HEADERS) | (has_any(c("u"), ["MARK", "TAG"]) & (F.length("u") < 20))
     prop_cell = (F.length("u") < 30) & has_any(c("u"), V.GRID_PROPERTY_HEADERS)
     per = g.groupBy(*keys, "row_no").agg(F.max(tag_cell).alias("t"), F.sum(prop_cell.cast("int")).alias("p"),
@@ -152,6 +164,7 @@ def schedule_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     named = F.upper("line").contains("SCHEDULE") & (F.length("line") < 100)
     plain = (F.length("line") <= 80) & (F.size(F.split("line", " ")) <= 11)
     name = above.groupBy(*keys).agg(F.coalesce(F.max_by("line", F.when(named, c("row_no"))), F.max_by("line", F.when(plain, c("row_no"))), F.lit("")).alias("schedule_name"))
+    head = cut(head)
     heads = g.join(head, keys).where(c("row_no") == c("head_row")).select(*keys, "col_no", F.trim("text").alias("name"), "u")
     strong = first_match([(c("u").isin(V.STRONG_TAG_HEADERS), True)], F.lit(False)) | c("u").rlike("^(" + "|".join(x.replace(".", r"\.") for x in V.STRONG_TAG_HEADERS) + r")( |\.$)")
     weak = has_any(c("u"), V.WEAK_TAG_HEADERS)
@@ -159,8 +172,9 @@ def schedule_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     top = heads.groupBy(*keys).agg(F.max(kind).alias("_top"))
     heads = heads.join(top, keys).withColumn("is_tag", (kind == c("_top")) & (kind > 0)).select(*keys, "col_no", "name", "is_tag")
     body = g.join(head, keys).where(c("row_no") > c("head_row")).join(heads, [*keys, "col_no"])
+    body = by_distinct(body.withColumn("_cell", F.when(c("is_tag"), c("text"))), "_cell", "_tags", expand_tag_cell)
     kv = F.when(~c("is_tag"), F.struct("col_no", squeeze(c("name")).alias("k"), squeeze(c("text")).alias("v")))
-    tags = F.when(c("is_tag"), F.struct("col_no", expand_tag_cell(c("text")).alias("tags")))
+    tags = F.when(c("is_tag"), F.struct("col_no", c("_tags").alias("tags")))
     rows = body.groupBy(*keys, "row_no").agg(
         F.transform(F.array_sort(F.array_compact(F.collect_list(kv))), lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v"))).alias("props"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.array_compact(F.collect_list(tags))), lambda s: s["tags"]))).alias("tags"))

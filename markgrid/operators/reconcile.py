@@ -15,6 +15,7 @@ from markgrid.functions import vocab as V
 from markgrid.functions.common import rate, tier
 from markgrid.functions.keys import canonical_tag
 from markgrid.operators.spatial import overlap_pairs
+from markgrid.session import cut
 
 c = F.col
 
@@ -343,10 +344,12 @@ def tag_table(bom: DataFrame, boxes: DataFrame, schedule: DataFrame, keys: list[
     ``schedule``: keys, tag, neck. Four branches: plan rows; neck buckets the plan does not cover;
     what is left of the detections of a class and tag; scheduled tags seen nowhere.
     """
+    # one pass over the boxes; every branch below reads this aggregate
     live = boxes.where("units > 0").withColumn("tag", F.upper(F.coalesce("tag", F.lit(""))))
+    live = cut(live.groupBy(*keys, "cls", "tag", "neck").agg(F.sum("units").alias("units"), F.count("*").alias("bucket"), F.max("conf").alias("conf")))
+    bom, schedule = cut(bom), cut(schedule.select(*keys, "tag", "neck"))
     per_tag = live.groupBy(*keys, "tag").agg(F.sum("units").alias("box_qty"))
-    necked = live.where("neck <> ''")
-    by_neck = necked.groupBy(*keys, "cls", "tag", "neck").agg(F.count("*").alias("bucket"), F.max("conf").alias("conf"))
+    by_neck = live.where("neck <> ''").drop("units")
     tag_neck = by_neck.groupBy(*keys, "tag", "neck").agg(F.sum("bucket").alias("neck_qty"), F.max("conf").alias("neck_conf"))
     sched = schedule.select(*keys, F.upper("tag").alias("tag"), c("neck").alias("sched_neck")).groupBy(*keys, "tag").agg(F.min("sched_neck").alias("sched_neck"))
     known = sched.withColumn("scheduled", F.lit(True))

@@ -26,20 +26,16 @@ def near(
 ) -> DataFrame:
     """Pairs whose points differ by at most the reach on each axis.
 
-    ``left`` is copied to the 3x3 cells around it, so pass the smaller side as ``left``. Columns
-    must already carry distinct names.
+    Cells are twice the reach wide, so a left row is copied to the one or two cells per axis that
+    its window touches; pass the smaller side as ``left``. Columns must already carry distinct names.
     """
     reach_y = reach_x if reach_y is None else reach_y
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    lc = (
-        left.withColumn("_gx", F.explode(around))
-        .withColumn("_gy", F.explode(around))
-        .withColumn("_gx", F.floor(F.col(lxy[0]) / F.lit(float(reach_x))) + F.col("_gx"))
-        .withColumn("_gy", F.floor(F.col(lxy[1]) / F.lit(float(reach_y))) + F.col("_gy"))
-    )
-    rc = right.withColumn("_gx", F.floor(F.col(rxy[0]) / F.lit(float(reach_x)))).withColumn(
-        "_gy", F.floor(F.col(rxy[1]) / F.lit(float(reach_y)))
-    )
+    lc, rc = left, right
+    for g, reach, lx, rx in (("_gx", reach_x, lxy[0], rxy[0]), ("_gy", reach_y, lxy[1], rxy[1])):
+        side = F.lit(2.0 * reach)
+        first, last = F.floor((F.col(lx) - reach) / side), F.floor((F.col(lx) + reach) / side)
+        lc = lc.withColumn(g, F.explode(F.sequence(first, last)))
+        rc = rc.withColumn(g, F.floor(F.col(rx) / side))
     inside = (F.abs(F.col(lxy[0]) - F.col(rxy[0])) <= reach_x) & (F.abs(F.col(lxy[1]) - F.col(rxy[1])) <= reach_y)
     return lc.join(rc, [*keys, "_gx", "_gy"]).where(inside).drop("_gx", "_gy")
 
@@ -92,13 +88,24 @@ def nearest(
 
 def _level(p: str) -> Column:
     side = F.greatest(F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1"), F.lit(1))
-    return F.ceil(F.log2(side.cast("double"))).cast("int")
+    return F.ceil(F.log2(side.cast("double"))).cast("int") + 1
 
 
-def _in_cells(df: DataFrame, p: str, up: int, lvl: str) -> DataFrame:
-    """One row per grid cell a box touches, on its own level (cell side = 2^level) and ``up`` above."""
+def size_levels(df: DataFrame) -> list[int]:
+    """The size levels that occur: at most some dozens of whole numbers, read to prune the join."""
+    return sorted(r[0] for r in df.select(_level("").alias("l")).distinct().collect() if r[0] is not None)
+
+
+def _in_cells(df: DataFrame, p: str, lvl: str, levels: list[int] | None, up: int = 0) -> DataFrame:
+    """One row per grid cell a box touches (cell side = 2^level): on its own level, or on those of
+    ``levels`` from its own to ``up`` above."""
     c = F.col
-    df = df.withColumn(lvl, _level(p)).withColumn("_lv", F.explode(F.sequence(c(lvl), c(lvl) + up)))
+    df = df.withColumn(lvl, _level(p))
+    if levels is None:
+        df = df.withColumn("_lv", c(lvl))
+    else:
+        arr = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+        df = df.withColumn("_lv", F.explode(F.filter(arr, lambda x: x.between(c(lvl), c(lvl) + up))))
     side = F.pow(F.lit(2.0), c("_lv"))
     for axis in ("x", "y"):
         lo = F.floor(c(p + axis + "1") / side)
@@ -115,30 +122,36 @@ def _owns_cell(a: str, b: str) -> Column:
     return at_x & at_y
 
 
+def _reach_up(min_iou: float) -> int:
+    return int(math.ceil(math.log2(1.0 / min_iou) - 1e-12))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], min_iou: float) -> DataFrame:
     """Pairs of boxes ``a_*`` x ``b_*`` with positive overlap and ``iou`` >= ``min_iou`` (> 0).
 
-    Boxes live on the grid level that fits their size, touching at most four cells. Since IoU
-    bounds the ratio of sizes, the smaller box needs to look only a few levels up; a pair is met
-    once, on the level of the larger box. No cell size has to be chosen and large boxes do not
-    spread over many cells.
+    Boxes live on the grid level that fits their size, touching at most four cells. IoU bounds the
+    ratio of sizes, so the smaller box looks only a few levels up, and only on levels that the other
+    side has; a pair is met once, on the level of the larger box. No cell size has to be chosen and
+    large boxes do not spread over many cells.
     """
-    up = int(math.ceil(math.log2(1.0 / min_iou) - 1e-12)) + 1
-    a, b = prefixed(left, "a_", keys), prefixed(right, "b_", keys)
+    up = _reach_up(min_iou)
     on = [*keys, "_lv", "_cx", "_cy"]
-    big_a = _in_cells(a, "a_", 0, "_la").join(_in_cells(b, "b_", up, "_lb"), on)
-    big_b = _in_cells(a, "a_", up, "_la").where("_lv > _la").join(_in_cells(b, "b_", 0, "_lb"), on)
-    pairs = big_a.unionByName(big_b).where(_owns_cell("a_", "b_"))
-    pairs = pairs.withColumn("iou", iou("a_", "b_")).where(F.col("iou") >= min_iou)
+    left_levels, right_levels = size_levels(left), size_levels(right)
+    a, b = prefixed(left, "a_", keys), prefixed(right, "b_", keys)
+    pairs = _in_cells(a, "a_", "_la", None).join(_in_cells(b, "b_", "_lb", left_levels, up), on)
+    if left_levels and any(x > left_levels[0] for x in right_levels):
+        smaller_a = _in_cells(a, "a_", "_la", right_levels, up).where("_lv > _la")
+        pairs = pairs.unionByName(smaller_a.join(_in_cells(b, "b_", "_lb", None), on))
+    pairs = pairs.where(_owns_cell("a_", "b_")).withColumn("iou", iou("a_", "b_")).where(F.col("iou") >= min_iou)
     return pairs.drop("_lv", "_cx", "_cy", "_la", "_lb")
 
 
 def self_overlap_pairs(df: DataFrame, keys: list[str], id_col: str, min_iou: float, strict: bool = False) -> DataFrame:
     """Unordered overlap pairs within one set of boxes, each pair once."""
-    up = int(math.ceil(math.log2(1.0 / min_iou) - 1e-12)) + 1
     on = [*keys, "_lv", "_cx", "_cy"]
-    a = _in_cells(prefixed(df, "a_", keys), "a_", 0, "_la")
-    b = _in_cells(prefixed(df, "b_", keys), "b_", up, "_lb")
+    levels = size_levels(df)
+    a = _in_cells(prefixed(df, "a_", keys), "a_", "_la", None)
+    b = _in_cells(prefixed(df, "b_", keys), "b_", "_lb", levels, _reach_up(min_iou))
     once = (F.col("_lb") < F.col("_la")) | (F.col("a_" + id_col) < F.col("b_" + id_col))
     pairs = a.join(b, on).where(once & _owns_cell("a_", "b_")).withColumn("iou", iou("a_", "b_"))
     pairs = pairs.where(F.col("iou") > min_iou if strict else F.col("iou") >= min_iou)

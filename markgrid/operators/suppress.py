@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from markgrid.functions.geom import center_x, center_y
 from markgrid.operators.kernels import components, first_disjoint, suppressed
 from markgrid.operators.spatial import near, prefixed, self_overlap_pairs, touching_pairs
+from markgrid.session import cut
 
 PAGE = ["doc_id", "page_no"]
 
@@ -19,12 +20,23 @@ def _ranked_edges(pairs: DataFrame, keys, score: str, id_col: str) -> DataFrame:
     return pairs.select(*keys, hi.alias("hi"), lo.alias("lo"))
 
 
-def drop_exact_copies(boxes: DataFrame, same: list[str], score: str, id_col: str) -> DataFrame:
-    """Keep the best row of each identical box. Greedy suppression would remove the others
-    anyway (their IoU with it is 1 and they share all its neighbours), so heaps of copies never
-    become pairs."""
-    top = F.max(F.struct(F.col(score), -F.col(id_col), F.struct(*boxes.columns).alias("row")))
-    return boxes.groupBy(*same).agg(top.alias("_top")).select("_top.row.*")
+def best_of_copies(boxes: DataFrame, same: list[str], score: str, id_col: str) -> DataFrame:
+    """Of rows alike in ``same`` the best one: ``same``, id, score and the number of copies.
+
+    Greedy suppression would remove the other copies anyway (their IoU with it is 1 and they share
+    all its neighbours), so heaps of copies never become pairs.
+    """
+    best = F.min(F.struct((-F.col(score)).alias("neg"), F.col(id_col).alias("id"))).alias("_best")
+    g = boxes.groupBy(*same).agg(best, F.count("*").alias("n_copies"))
+    return g.select(*same, F.col("_best.id").alias(id_col), (-F.col("_best.neg")).alias(score), "n_copies")
+
+
+def _keep(boxes: DataFrame, solo: DataFrame, gone: DataFrame, same: list[str], keys: list[str], id_col: str) -> DataFrame:
+    """Boxes that are neither suppressed nor a lesser copy. Both lists are short next to the boxes, so
+    they are broadcast where their written size allows."""
+    heaps = solo.where("n_copies > 1").select(*same, F.col(id_col).alias("_keep_id"))
+    left = boxes.join(heaps, same, "left").where(F.col("_keep_id").isNull() | (F.col("_keep_id") == F.col(id_col)))
+    return left.join(gone.withColumnRenamed("id", id_col), [*keys, id_col], "left_anti")
 
 
 def suppress_iou(
@@ -42,11 +54,11 @@ def suppress_iou(
     only, not at it.
     """
     part = [*keys, within] if within else list(keys)
-    solo = drop_exact_copies(boxes, [*part, "x1", "y1", "x2", "y2"], score, id_col)
-    slim = solo.select(*part, id_col, score, "x1", "y1", "x2", "y2")
-    pairs = self_overlap_pairs(slim, part, id_col, min_iou, strict)
+    same = [*part, "x1", "y1", "x2", "y2"]
+    solo = cut(best_of_copies(boxes, same, score, id_col))
+    pairs = self_overlap_pairs(solo.drop("n_copies"), part, id_col, min_iou, strict)
     gone = suppressed(_ranked_edges(pairs, keys, score, id_col), keys)
-    return solo.join(gone.withColumnRenamed("id", id_col), [*keys, id_col], "left_anti").select(*boxes.columns)
+    return _keep(boxes, solo, gone, same, keys, id_col).select(*boxes.columns)
 
 
 def suppress_two_pass(boxes: DataFrame, same_class: float = 0.45, cross_class: float = 0.70, **kw) -> DataFrame:
@@ -60,13 +72,14 @@ def suppress_window(
 ) -> DataFrame:
     """Suppression of boxes whose centres lie closer than ``d`` on both axes."""
     pts = boxes.withColumns({"cx": center_x(), "cy": center_y()})
-    solo = drop_exact_copies(pts, [*keys, "cx", "cy"], score, id_col)
-    slim = solo.select(*keys, id_col, score, "cx", "cy")
+    same = [*keys, "cx", "cy"]
+    solo = cut(best_of_copies(pts, same, score, id_col))
+    slim = solo.drop("n_copies")
     pairs = near(prefixed(slim, "a_", keys), prefixed(slim, "b_", keys), keys, d, lxy=("a_cx", "a_cy"), rxy=("b_cx", "b_cy"))
     closer = (F.abs(F.col("a_cx") - F.col("b_cx")) < d) & (F.abs(F.col("a_cy") - F.col("b_cy")) < d)
     pairs = pairs.where(closer & (F.col("a_" + id_col) < F.col("b_" + id_col)))
     gone = suppressed(_ranked_edges(pairs, keys, score, id_col), keys)
-    return solo.join(gone.withColumnRenamed("id", id_col), [*keys, id_col], "left_anti").select(*boxes.columns)
+    return _keep(pts, solo, gone, same, keys, id_col).select(*boxes.columns)
 
 
 def _run_edge(lo: str, hi: str, q: str, r: str, frac: float, gap: tuple[float, float]) -> Column:

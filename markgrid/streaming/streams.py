@@ -114,7 +114,6 @@ def stale_jobs(events: DataFrame, minutes: int) -> DataFrame:
             n += len(b)
         state.update((last, n))
         state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": pd.Series([], dtype="int64"), "last_event": pd.Series([], dtype="datetime64[ns]"), "n_events": pd.Series([], dtype="int64")})
 
     return events.withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(
         step, STALE, "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
