@@ -36,12 +36,15 @@ def main() -> int:
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--only", default="")
     ap.add_argument("--module", default="")
+    ap.add_argument("--plain", action="store_true", help="a session with default settings")
     a = ap.parse_args()
     d = f"/root/testdata/sf{a.sf}"
     con = duckdb.connect()
     for t in BASE:
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
-    spark = build_session(cores="8")
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if a.plain else build_session(cores="8")
     spark.sparkContext.setLogLevel("OFF")
     only = {x for x in a.only.split(",") if x}
     bad = 0
