@@ -11,11 +11,16 @@ from markgrid.streaming import streams as ST
 c = F.col
 
 
-def feed(t, df, order, batches=4):
-    """The rows as files in ``order``, and fresh output and checkpoint folders."""
+def arriving(t, df, order, run, batches=4):
+    """The rows arrive in slices of ``order``; after each, ``run(stream, out, checkpoint)`` resumes the
+    query from its checkpoint and takes what is new as one batch. Returns the output folder."""
     base = f"{scratch_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    df.repartitionByRange(batches, order).sortWithinPartitions(order).write.parquet(base + "/in")
-    return ST.source(t.spark, base + "/in", df.schema, files_per_batch=1), base + "/out", base + "/ck"
+    lo, hi = df.agg(F.min(c(order).cast("double")), F.max(c(order).cast("double"))).first()
+    slice_no = F.least(F.floor((c(order).cast("double") - lo) * batches / max(hi - lo, 1.0)), F.lit(batches - 1))
+    for i in range(batches):
+        df.where(slice_no == i).write.mode("append").parquet(base + "/in")
+        run(ST.source(t.spark, base + "/in", df.schema), base + "/out", base + "/ck")
+    return base + "/out"
 
 
 EV = "ev as (select event_type as source, (event_id * 37) % 101 as pp, ((event_id * event_id * 13 + event_id * 7) % 100 < (event_id * 37) % 101)::int as ok from {events})"
@@ -23,8 +28,7 @@ EV = "ev as (select event_type as source, (event_id * 37) % 101 as pp, ((event_i
 
 def reliability(t):
     e = t.events.selectExpr("event_id", "event_type as source", "(event_id * 37) % 101 as pp", "((event_id * event_id * 13 + event_id * 7) % 100) < ((event_id * 37) % 101) as ok")
-    s, out, ck = feed(t, e, "event_id")
-    ST.drain(ST.live_reliability(s, c("pp"), c("ok")), out, ck, "update")
+    out = arriving(t, e, "event_id", lambda s, o, ck: ST.drain(ST.live_reliability(s, c("pp"), c("ok")), o, ck, "update"))
     return ST.read_latest(t.spark, out, ["source", "bucket"])
 
 
@@ -40,22 +44,21 @@ def _(t):
 
 @query("stream_latest_records", "ST2 W9 D15", "select user_id, event_id, event_type from {events} qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def _(t):
-    s, out, ck = feed(t, t.events.select("event_id", "user_id", "event_type"), "event_id")
-    ST.drain(ST.latest_records(s, "user_id", "event_id", ["event_type"]), out, ck, "update")
+    out = arriving(t, t.events.select("event_id", "user_id", "event_type"), "event_id",
+                   lambda s, o, ck: ST.drain(ST.latest_records(s, "user_id", "event_id", ["event_type"]), o, ck, "update"))
     return ST.read_latest(t.spark, out, ["user_id"])
 
 
 @query("stream_class_totals", "ST2 U2", "with l as (select user_id, event_type from {events} qualify row_number() over (partition by user_id order by event_id desc) = 1) select event_type, count(*) as n from l group by 1")
 def _(t):
-    s, out, ck = feed(t, t.events.select("event_id", "user_id", "event_type"), "event_id")
-    ST.drain(ST.latest_records(s, "user_id", "event_id", ["event_type"]), out, ck, "update")
+    out = arriving(t, t.events.select("event_id", "user_id", "event_type"), "event_id",
+                   lambda s, o, ck: ST.drain(ST.latest_records(s, "user_id", "event_id", ["event_type"]), o, ck, "update"))
     return ST.read_latest(t.spark, out, ["user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("stream_threshold_trigger", "ST3", "select 1000 as threshold, true as fired, count(*) >= 1000 as reached from {events}")
 def _(t):
-    s, out, ck = feed(t, t.events.select("event_id"), "event_id", 8)
-    ST.threshold_trigger(s, out, ck, 1000)
+    out = arriving(t, t.events.select("event_id"), "event_id", lambda s, o, ck: ST.threshold_trigger(s, o, ck, 1000))
     return ST.first_trigger(t.spark, out).select("threshold", (c("fired_in") >= 0).alias("fired"), (c("n") >= 1000).alias("reached"))
 
 
@@ -70,9 +73,9 @@ def _(t):
     return ST.reap_stale(j.crossJoin(F.broadcast(now)), c("now"), 30).select("job_id", "status", "error")
 
 
-@query("stream_stale_jobs", "ST4")
+@query("stream_stale_jobs", "ST4", """with g as (select user_id as job_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute, true)::int as nw from {events}), s as (select job_id, ts, sum(nw) over (partition by job_id order by ts rows unbounded preceding) as k from g),
+w as (select job_id, k, max(ts) as last_event, count(*) as n_events from s group by 1, 2) select job_id, last_event, n_events from w where last_event + interval 30 minute <= (select date_trunc('millisecond', max(ts)) - interval 1 minute from {events})""")
 def _(t):
     e = t.events.select(c("user_id").alias("job_id"), c("ts").cast("timestamp").alias("ts"))
-    s, out, ck = feed(t, e, "ts")
-    ST.drain(ST.stale_jobs(s, 30), out, ck, "append")
-    return t.spark.read.schema(ST.STALE).parquet(out)
+    out = arriving(t, e, "ts", lambda s, o, ck: ST.drain(ST.stale_jobs(s, 30), o, ck, "append"))
+    return t.spark.read.parquet(out).select("job_id", c("last_event").cast("timestamp_ntz").alias("last_event"), "n_events")

@@ -6,13 +6,9 @@ driver overwrites its own output and nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from markgrid.operators.reconcile import last_wins
 
@@ -94,26 +90,12 @@ def reap_stale(jobs: DataFrame, now: Column, limit_minutes: int | None = None) -
         "status": F.when(stale, "error").otherwise(c("status"))})
 
 
-STALE = "job_id long, last_event timestamp, n_events long"
-
-
-def stale_jobs(events: DataFrame, minutes: int) -> DataFrame:
-    """Streaming extension: a row for each job once the watermark is ``minutes`` past its last event.
+def stale_jobs(events: DataFrame, minutes: int, delay: str = "1 minute") -> DataFrame:
+    """Streaming extension: a row for each silence of a job longer than ``minutes``, once the watermark
+    is past it: the last event before the silence and the number of events since the one before.
 
-    ``events``: job_id, ts. State per job is two numbers; it is removed when the row is emitted.
+    ``events``: job_id, ts. A session window is exactly this state, kept and expired by Spark.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, n = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last_event": [pd.Timestamp(last, unit="ms")], "n_events": [n]})
-            return
-        last, n = state.get if state.exists else (0, 0)
-        for b in batches:
-            last = max(last, int(b["ts"].max().timestamp() * 1000))
-            n += len(b)
-        state.update((last, n))
-        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("ts", "1 minute").groupBy("job_id").applyInPandasWithState(
-        step, STALE, "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    w = F.session_window("ts", f"{minutes} minutes")
+    g = events.withWatermark("ts", delay).groupBy("job_id", w.alias("w")).agg(F.count("*").alias("n_events"), F.max("ts").alias("last_event"))
+    return g.select("job_id", "last_event", "n_events")
