@@ -46,6 +46,19 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: s
     return j.withColumn(out, F.coalesce("_in", "_before")).drop("_blk", "_in", "_before")
 
 
+def with_next(df: DataFrame, keys: list[str], order: str, ahead: int, block: int = 4096) -> tuple[DataFrame, list[str]]:
+    """Rows with a block number such that each row sees its next ``ahead`` rows inside its block.
+
+    ``order`` numbers the rows of a key one by one. The first rows of a block are copied to the block
+    before (marked ``_copy``), so windows run per block and a page of any length spreads over tasks.
+    """
+    b = F.floor(c(order) / block)
+    at = F.array_compact(F.array(F.struct(b.alias("b"), F.lit(False).alias("copy")),
+                                 F.when(F.pmod(c(order), F.lit(block)) < ahead, F.struct((b - 1).alias("b"), F.lit(True).alias("copy")))))
+    d = df.withColumn("_at", F.explode(at)).withColumns({"_blk": c("_at.b"), "_copy": c("_at.copy")}).drop("_at")
+    return d, [*keys, "_blk"]
+
+
 def row_clusters(items: DataFrame, tol: float, keys=PAGE, y: str = "cy") -> DataFrame:
     """Row number per item: a new row starts where the gap to the item above exceeds ``tol``.
 
@@ -72,9 +85,17 @@ def column_anchors(items: DataFrame, tol: float, keys=PAGE, x: str = "cx", quant
     return xs.select(*keys, F.posexplode(fold).alias("col_no", "anchor"))
 
 
+def _within(items: DataFrame, points: DataFrame, on: list[str], x: str, px: str, tol: float) -> DataFrame:
+    """Items with the points at most ``tol`` away in x (distance ``_d``), met in buckets of 2 * tol."""
+    side = F.lit(2.0 * tol)
+    p = points.withColumn("_bx", F.explode(F.sequence(F.floor((c(px) - tol) / side), F.floor((c(px) + tol) / side))))
+    j = items.withColumn("_bx", F.floor(c(x) / side)).join(p, [*on, "_bx"]).drop("_bx")
+    return j.withColumn("_d", F.abs(c(x) - c(px))).where(c("_d") <= tol)
+
+
 def snap(items: DataFrame, anchors: DataFrame, tol: float, keys=PAGE, x: str = "cx", order: str = "item_id") -> DataFrame:
     """Text of each (row, column) cell: items go to the nearest anchor within ``tol``, in order."""
-    j = items.join(anchors, keys).withColumn("_d", F.abs(c(x) - c("anchor"))).where(c("_d") <= tol)
+    j = _within(items, anchors, keys, x, "anchor", tol)
     near = j.groupBy(*keys, "row_no", order).agg(F.min(F.struct("_d", "col_no")).alias("_n"), F.first("text").alias("text"))
     cell = near.select(*keys, "row_no", c("_n.col_no").alias("col_no"), order, "text")
     words = F.array_sort(F.collect_list(F.struct(order, "text")))
@@ -120,7 +141,7 @@ def read_tables(items: DataFrame, keys=PAGE, tol: float = 80.0) -> DataFrame:
     block = block.join(heads.withColumnRenamed("header_row", "row_no"), [*keys, "row_no"], "left_anti")
     names = items.join(heads.withColumnRenamed("header_row", "row_no"), [*keys, "row_no"]).select(
         *keys, c("row_no").alias("header_row"), c("item_id").alias("col_id"), c("cx").alias("col_x"), c("text").alias("name"))
-    body = items.join(block, [*keys, "row_no"]).join(names, [*keys, "header_row"]).withColumn("_d", F.abs(c("cx") - c("col_x"))).where(c("_d") <= tol)
+    body = _within(items.join(block, [*keys, "row_no"]), names, [*keys, "header_row"], "cx", "col_x", tol)
     at = body.groupBy(*keys, "header_row", "row_no", "item_id").agg(F.min(F.struct("_d", "col_x", "col_id", "name", "text")).alias("_n"))
     words = F.array_sort(F.collect_list(F.struct("item_id", c("_n.text").alias("text"))))
     cells = at.groupBy(*keys, "header_row", "row_no", c("_n.col_x").alias("col_x"), c("_n.name").alias("name")).agg(
@@ -171,26 +192,27 @@ def schedule_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     kind = F.when(F.length("u") >= 25, 0).when(strong, 2).when(weak, 1).otherwise(0)
     top = heads.groupBy(*keys).agg(F.max(kind).alias("_top"))
     heads = heads.join(top, keys).withColumn("is_tag", (kind == c("_top")) & (kind > 0)).select(*keys, "col_no", "name", "is_tag")
-    body = g.join(head, keys).where(c("row_no") > c("head_row")).join(heads, [*keys, "col_no"])
-    body = by_distinct(body.withColumn("_cell", F.when(c("is_tag"), c("text"))), "_cell", "_tags", expand_tag_cell)
-    kv = F.when(~c("is_tag"), F.struct("col_no", squeeze(c("name")).alias("k"), squeeze(c("text")).alias("v")))
-    tags = F.when(c("is_tag"), F.struct("col_no", c("_tags").alias("tags")))
-    rows = body.groupBy(*keys, "row_no").agg(
-        F.transform(F.array_sort(F.array_compact(F.collect_list(kv))), lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v"))).alias("props"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.array_compact(F.collect_list(tags))), lambda s: s["tags"]))).alias("tags"))
-    return rows.join(name, keys, "left").select(*keys, F.coalesce("schedule_name", F.lit("")).alias("schedule_name"), "row_no", F.explode("tags").alias("tag"), "props")
+    heads = cut(heads)
+    body = g.join(head, keys).where(c("row_no") > c("head_row"))
+    tag_cells = body.select(*keys, "row_no", "col_no", "text").join(heads.where("is_tag").select(*keys, "col_no"), [*keys, "col_no"])
+    tags = by_distinct(tag_cells, "text", "_tags", expand_tag_cell).select(*keys, "row_no", F.explode("_tags").alias("tag")).distinct()
+    prop = body.join(heads.where("not is_tag"), [*keys, "col_no"])
+    kv = F.struct("col_no", squeeze(c("name")).alias("k"), squeeze(c("text")).alias("v"))
+    rows = prop.groupBy(*keys, "row_no").agg(F.transform(F.array_sort(F.collect_list(kv)), lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v"))).alias("props"))
+    out = tags.join(rows, [*keys, "row_no"], "left").join(name, keys, "left")
+    return out.select(*keys, F.coalesce("schedule_name", F.lit("")).alias("schedule_name"), "row_no", "tag", "props")
 
 
 def phrases(words: DataFrame, wanted: list[list[str]], keys=PAGE) -> DataFrame:
     """Places where one of the word sequences occurs: phrase and its union box."""
     norm = F.replace(F.regexp_replace(F.upper("text"), r"^[ .,():;]+|[ .,():;]+$", ""), F.lit("."), F.lit(""))
     n = max(len(p) for p in wanted)
-    w = Window.partitionBy(*keys).orderBy("word_id")
     firsts = sorted({p[0] for p in wanted})
-    d = words.withColumn("_t", norm)
+    d, part = with_next(words.withColumn("_t", norm), keys, "word_id", n - 1)
+    w = Window.partitionBy(*part).orderBy("word_id")
     for i in range(1, n):
         d = d.withColumns({f"_t{i}": F.lead("_t", i).over(w), f"_x{i}": F.lead("x1", i).over(w), f"_a{i}": F.lead("x0", i).over(w), f"_y{i}": F.lead("y1", i).over(w), f"_b{i}": F.lead("y0", i).over(w)})
-    d = d.where(c("_t").isin(firsts))
+    d = d.where(~c("_copy") & c("_t").isin(firsts))
 
     def one(p: list[str]) -> Column:
         ok = c("_t") == p[0]
@@ -206,11 +228,12 @@ def phrases(words: DataFrame, wanted: list[list[str]], keys=PAGE) -> DataFrame:
 
 def typical_counts(words: DataFrame, keys=PAGE, run: int = 4) -> DataFrame:
     """'TYP OF n' read over up to four consecutive words, n at least 2."""
-    w = Window.partitionBy(*keys).orderBy("word_id").rowsBetween(0, run - 1)
+    d, part = with_next(words, keys, "word_id", run - 1)
+    w = Window.partitionBy(*part).orderBy("word_id").rowsBetween(0, run - 1)
     ext = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
-    d = words.withColumns({"_s": F.array_join(F.collect_list("text").over(w), " "), **{"_" + k: f(k).over(w) for k, f in ext.items()}})
+    d = d.withColumns({"_s": F.array_join(F.collect_list("text").over(w), " "), **{"_" + k: f(k).over(w) for k, f in ext.items()}})
     n = group(c("_s"), V.TYPICAL_OF).try_cast("int")
-    d = d.where(F.upper("text").startswith("TYP")).withColumn("n", n).where("n >= 2")
+    d = d.where(~c("_copy") & F.upper("text").startswith("TYP")).withColumn("n", n).where("n >= 2")
     return d.select(*keys, "word_id", "n", ((c("_x0") + c("_x1")) / 2).alias("cx"), ((c("_y0") + c("_y1")) / 2).alias("cy"))
 
 

@@ -18,6 +18,8 @@ def build_session(app: str = "markgrid", cores: str = "*", shuffle: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # hash instead of sort-merge joins where every partition's build side is small at run time
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
