@@ -176,9 +176,9 @@ def _(t):
     return C.mark_notes(t.boxes, noted(t)).select(*ID, "nic", "typ_of", "units")
 
 
-@query("note_backfill", "C7", f"with {SQL_NOTED}, dn as (select doc_id from {{boxes}} group by 1 having sum(l_partkey) % 3 <> 0) select doc_id, page_no, det_id, cast(1 + l_suppkey % 2 as int) as old_units, units from un where doc_id in (select doc_id from dn) and units <> 1 + l_suppkey % 2")
+@query("note_backfill", "C7", f"with {SQL_NOTED}, dn as (select doc_id from {{boxes}} group by 1 having count(*) >= 1000) select doc_id, page_no, det_id, cast(1 + l_suppkey % 2 as int) as old_units, units from un where doc_id in (select doc_id from dn) and units <> 1 + l_suppkey % 2")
 def _(t):
-    jobs = t.boxes.groupBy("doc_id").agg(F.sum("l_partkey").alias("s")).selectExpr("doc_id", "case when s % 3 <> 0 then 'done' else 'running' end as status")
+    jobs = t.boxes.groupBy("doc_id").agg(F.count("*").alias("n")).selectExpr("doc_id", "case when n >= 1000 then 'done' else 'running' end as status")
     b = t.boxes.withColumn("units", (1 + c("l_suppkey") % 2).cast("int"))
     return C.backfill(jobs, b, noted(t))
 
@@ -213,9 +213,9 @@ select doc_id, 'error' as level, 'watermark' as code, 1 as n from d where wm uni
 union all select doc_id, 'error', 'missing_sheets', count(*) from mi group by 1 union all select doc_id, 'warning', 'unlisted_sheets', count(*) from un group by 1""")
 def _(t):
     pages = verified_pages(t)
-    n = t.pages.agg(F.floor(F.count("*") / 10).alias("n_docs"))
+    n = t.pages.count() // 10
     even = "exp_qty % 2 = 0"
-    index = t.expected.crossJoin(F.broadcast(n)).selectExpr("doc_id % n_docs as doc_id", f"case when {even} then 'M' else 'E' end || (row_no % 23) as sheet", f"case when {even} then 'Mechanical' else 'Electrical' end as discipline").distinct()
+    index = t.expected.selectExpr(f"doc_id % {n} as doc_id", f"case when {even} then 'M' else 'E' end || (row_no % 23) as sheet", f"case when {even} then 'Mechanical' else 'Electrical' end as discipline").distinct()
     return C.verify_document(pages, index, ["doc_id"])
 
 

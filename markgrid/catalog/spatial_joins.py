@@ -173,13 +173,13 @@ def _(t):
     return M.match_in_order(t.boxes, t.revision, 0.3).select(*PAGE, "l", "r")
 
 
-@query("review_diff", "G9", f"""with recursive rvp as (select doc_id, page_no from {{boxes}} group by 1, 2 having sum(l_partkey) % 4 <> 0),
+@query("review_diff", "G9", f"""with recursive rvp as (select doc_id, page_no from {{boxes}} group by 1, 2 having count(*) >= 130),
 {serial_pairs("select doc_id, page_no, l, r, iou, l_cls, r_cls from (" + rev_edges('0.4e0') + ") e1 where (doc_id, page_no) in (select (doc_id, page_no) from rvp)", '-iou')}
 select o.doc_id, o.page_no, o.det_id, case when p.l is null then 'deleted' when e.l_cls = e.r_cls then 'accepted' else 'relabeled' end as status from {{boxes}} o join rvp using (doc_id, page_no)
  left join picks p on {ON.format('p', 'o')} and p.l = o.det_id left join ed e on {ON.format('p', 'e')} and p.l = e.l and p.r = e.r
 union all select n.doc_id, n.page_no, n.det_id, 'added' from {{revision}} n join rvp using (doc_id, page_no) where not exists (select 1 from picks p where {ON.format('p', 'n')} and p.r = n.det_id)""")
 def _(t):
-    reviewed = t.boxes.groupBy(*PAGE).agg(F.sum("l_partkey").alias("s")).where("s % 4 <> 0")
+    reviewed = t.boxes.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n >= 130")
     return M.review_diff(t.boxes, t.revision, reviewed)
 
 

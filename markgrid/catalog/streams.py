@@ -68,9 +68,8 @@ JOBS = "select user_id as job_id, case max(event_id) % 4 when 0 then 'running' w
 @query("reap_stale_jobs", "ST4 D17", f"with j as ({JOBS}), n as (select max(updated_at) as now from j) select job_id, case when status in ('running', 'queued') and updated_at < now - interval 30 minute then 'error' else status end as status, case when status in ('running', 'queued') and updated_at < now - interval 30 minute then coalesce(error, 'interrupted') else error end as error from j, n")
 def _(t):
     j = t.spark.sql(JOBS, events=t.events)
-    now = j.agg(F.max("updated_at").alias("now"))
-    # one row: the clock of the log
-    return ST.reap_stale(j.crossJoin(F.broadcast(now)), c("now"), 30).select("job_id", "status", "error")
+    now = j.agg(F.max("updated_at").cast("string")).first()[0]  # the clock of the log
+    return ST.reap_stale(j, F.lit(now).cast("timestamp_ntz"), 30).select("job_id", "status", "error")
 
 
 @query("stream_stale_jobs", "ST4", """with g as (select user_id as job_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute, true)::int as nw from {events}), s as (select job_id, ts, sum(nw) over (partition by job_id order by ts rows unbounded preceding) as k from g),

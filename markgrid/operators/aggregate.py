@@ -222,9 +222,10 @@ def headline(rows: DataFrame, value: str) -> DataFrame:
     rates are taken to four digits, which bounds that table at 10,001 rows.
     """
     n = rows.where(c(value).isNotNull()).withColumn(value, F.round(value, 4)).groupBy(value).agg(F.count("*").alias("_n"))
-    tot = n.agg(F.sum("_n").alias("total"), F.max(value).alias("max"), F.sum(F.when(c(value) >= 0.5, c("_n")).otherwise(0)).alias("at_least_half"))
+    w = Window.partitionBy()
+    half = F.sum(F.when(c(value) >= 0.5, c("_n")).otherwise(0)).over(w)
     # the measure is bounded to 0..1 with four digits here, so the count table is small by construction
-    run = n.select(value, "_n", F.sum("_n").over(Window.orderBy(value)).alias("cum")).crossJoin(F.broadcast(tot))
+    run = n.select(value, F.sum("_n").over(Window.orderBy(value)).alias("cum"), F.sum("_n").over(w).alias("total"), F.max(value).over(w).alias("max"), half.alias("at_least_half"))
     return run.where(c("cum") > F.floor(c("total") / 2)).groupBy("total", "max", "at_least_half").agg(F.min(value).alias("upper_median"))
 
 

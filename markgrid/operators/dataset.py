@@ -157,10 +157,10 @@ def drop_report(rows: DataFrame, subject: str) -> DataFrame:
 
 def stable_index(existing: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """Existing class numbers stay; new names follow in name order. Class lists are short."""
-    top = existing.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("_top"))
+    top = existing.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
     new = names.select(name).distinct().join(existing, name, "left_anti")
-    numbered = new.withColumn("_k", F.row_number().over(Window.orderBy(name))).crossJoin(F.broadcast(top))
-    return existing.select(name, "idx").unionByName(numbered.select(name, (c("_top") + c("_k")).alias("idx")))
+    numbered = new.withColumn("_k", F.row_number().over(Window.orderBy(name)))
+    return existing.select(name, "idx").unionByName(numbered.select(name, (F.lit(top) + c("_k")).cast("bigint").alias("idx")))
 
 
 def append_truth(base: DataFrame, truth: DataFrame, classes: DataFrame, dpi: int) -> tuple[DataFrame, DataFrame]:
