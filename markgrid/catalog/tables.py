@@ -1,7 +1,7 @@
 """Tables of the domain (boxes, words, schedules, ...) derived from the given parquet tables.
 
 Each derivation is one SELECT over whole tables, shared by Spark and by the SQL oracle. ``//`` is
-integer division, ``{name}`` another table.
+integer division, ``{name}`` another table, EACH4 one copy of the row for each of 0 to 3.
 """
 
 from __future__ import annotations
@@ -144,13 +144,12 @@ DERIVED["items"] = """
 select doc_id, page_no, item_id, x as cx, y as cy, x - 30 as x1, y - 6 as y1, x + 30 as x2, y + 6 as y2, text from (
  select o_orderkey as doc_id, 1 as page_no, cast(k as bigint) as item_id, 100 + 200 * k + (o_orderkey % 5) as x, 100 + (k % 2) as y,
   case k when 0 then 'MARK' when 1 then 'CFM' when 2 then 'MODEL' else 'NECK SIZE' end as text
- from {orders} q_, (select 0 as k union all select 1 union all select 2 union all select 3) r_
+ from (select *, EACH4 as k from {orders}) q_
  union all
  select l_orderkey as doc_id, 1 as page_no, 10 * rn + k as item_id, 100 + 200 * k + (l_partkey % 40) as x, 100 + 30 * rn + (k + l_suppkey) % 4 as y,
   case k when 0 then case l_suppkey % 3 when 0 then 'EF-' when 1 then 'CU' else 'and ' end || (l_partkey % 200) when 1 then cast(30 + l_partkey % 900 as string)
    when 2 then 'M' || (l_suppkey % 70) else (4 + l_partkey % 9) || '"' end as text
- from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as bigint) as rn from {lineitem}) q_,
-  (select 0 as k union all select 1 union all select 2 union all select 3) r_) s_
+ from (select *, EACH4 as k from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) as bigint) as rn from {lineitem}) w_) q_) s_
 """
 
 # schedule grids: title, header and rows; tables of odd orders lie on their side without title
@@ -159,11 +158,10 @@ select doc_id, table_no, case when doc_id % 2 = 1 then c else r + 1 end as row_n
  select o_orderkey as doc_id, 0 as table_no, -1 as r, 0 as c, case when o_orderkey % 2 = 0 then 'FAN SCHEDULE ' || (o_custkey % 9) end as text from {orders}
  union all
  select o_orderkey, 0, 0, k, case k when 0 then 'MARK' when 1 then 'SERVICE' when 2 then 'MODEL' else 'CFM' end
- from {orders} q_, (select 0 as k union all select 1 union all select 2 union all select 3) r_
+ from (select *, EACH4 as k from {orders}) q_
  union all
  select l_orderkey, 0, rn, k, case k when 0 then raw_tag when 1 then service when 2 then model else cfm_text end
- from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, line_no, conf_pct) as int) as rn from {raw_items}) q_,
-  (select 0 as k union all select 1 union all select 2 union all select 3) r_) s_ where text is not null
+ from (select *, EACH4 as k from (select *, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, line_no, conf_pct) as int) as rn from {raw_items}) w_) q_) s_ where text is not null
 """
 
 # text lines of small documents
@@ -203,10 +201,11 @@ class Tables:
             return self.documents.selectExpr("doc_id", "posexplode(split(text, ' ')) as (pos, text)").selectExpr(
                 "doc_id", "cast(pos as bigint) as pos", r"regexp_replace(text, '[^A-Za-z0-9]', '') as text")
         sql = DERIVED[name]
-        return self.spark.sql(sql.replace("//", " div "), **{d: getattr(self, d) for d in references(sql)})
+        sql = sql.replace("//", " div ").replace("EACH4", "explode(sequence(0, 3))")
+        return self.spark.sql(sql, **{d: getattr(self, d) for d in references(sql)})
 
 
-DUCK = dict(DERIVED)
+DUCK = {name: sql.replace("EACH4", "unnest([0, 1, 2, 3])") for name, sql in DERIVED.items()}
 DUCK["tokens_raw"] = r"""
 select doc_id, generate_subscripts(parts, 1) - 1 as pos,
   regexp_replace(unnest(parts), '[^A-Za-z0-9]', '', 'g') as text
