@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,12 @@ def per_process(key: tuple, make: Callable):
     return store[key]
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast a value of bounded size; the result, called in a task, gives it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def add_columns(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[tuple[str, T.DataType]], drop: Iterable[str] = ()) -> DataFrame:
     """``df`` with columns computed from a text column, row by row, in Arrow batches.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from markgrid.llm.packing import op8_best_fit_packing
 from markgrid.llm.simhash import op9_simhash_near_dedup
+from markgrid.llm.toxicity import op4_toxic_segments
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_toxic_segments, op8_best_fit_packing, op9_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
