@@ -22,7 +22,7 @@ from markgrid.session import cut
 
 BITS = 64
 #: fingerprints on which correlations and candidate counts are estimated; results do not depend on it
-FIT_ROWS = 4096
+FIT_ROWS = 2048
 #: pairs that a verification step compares at once
 BLOCK = 2048
 
@@ -93,7 +93,7 @@ def probing_plan(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[
     For 2 to ``radius + 1`` partitions, the cost of a threshold is the pairs it brings to verification (the sample's share of
     pairs within it, scaled to ``rows``) plus its probes; the programme splits ``radius - m + 1`` over them.
     """
-    bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+    bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
     best: tuple[float, list] = (float("inf"), [])
     for m in range(2, radius + 2):
         parts, costs = correlated_parts(bits, m), []
@@ -145,7 +145,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     rows = fps.count()
     if rows < 2:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    taken = fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, rows // FIT_ROWS))) == 0).limit(2 * FIT_ROWS)
+    taken = fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, 2 * rows // (3 * FIT_ROWS)))) == 0).limit(FIT_ROWS)
     sample = np.array([r[0] for r in taken.collect()] or [0], dtype=np.int64).view(np.uint64)
     plan = probing_plan(sample, rows, radius)
 
