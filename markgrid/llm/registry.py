@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from markgrid.llm.mixing import op7_pfair_mixing
 from markgrid.llm.packing import op8_best_fit_packing
 from markgrid.llm.secrets import op3_secret_scan
 from markgrid.llm.simhash import op9_simhash_near_dedup
 from markgrid.llm.toxicity import op4_toxic_segments
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_toxic_segments, op8_best_fit_packing, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_toxic_segments, op7_pfair_mixing, op8_best_fit_packing, op9_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
