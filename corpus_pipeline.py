@@ -1,31 +1,75 @@
-"""Training-data pipeline: documents in, packed sequences out."""
+"""Training-data pipeline: documents in, packed sequences out.
+
+Each stage is one operator of ``markgrid.llm`` over all that its predecessor kept. All stages but the last return the
+columns of their input. Rows of a null doc_id and repeated rows go through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markgrid.llm import mixing, secrets, simhash, toxicity
 from markgrid.llm.common import table
 from markgrid.llm.packing import packed_digests
-from markgrid.llm.simhash import near_classes, with_fingerprint
 from markgrid.session import cut
 
+#: documents of this score or more are rejected
+TOXIC = 0.3
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under ``TOXIC``; null and empty texts stay unless all texts score as toxic."""
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic"))
+    columns = docs.columns
+    clashing = [c for c in columns if c in ("score", "passages", "_evidence")]
+    docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clashing})
+    kept = toxicity.scored(docs, model, passages=False).where(F.col("score") < TOXIC)
+    return kept.select(*[F.col(f"_own_{c}" if c in clashing else c).alias(c) for c in columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked fingerprints: the one of the smallest doc_id, once if its row is repeated."""
+    marked = simhash.with_fingerprint(docs, name="_fp")
+    classes = simhash.near_classes(marked.select("doc_id", F.col("_fp").alias("fp"))).groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id"), F.count("*").alias("_n"))
+    classes = cut(classes)
+    named = classes.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), "component_id", "_n")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_print"))
+    kept = marked.join(named.where(~F.col("_id").eqNullSafe(F.col("component_id"))), same, "left_anti")
+    # fingerprints of one document id that are linked with each other, and repeated rows: once
+    again = named.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_id")
+    one = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = kept.join(again, one, "left_anti")
+    least = kept.join(again, one, "left_semi").join(named.select(F.col("_id").alias("_i"), F.col("_print").alias("_p"), "component_id"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_fp") == F.col("_p")))
+    root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))
+    return once.select(*docs.columns).unionByName(least.withColumn("_root", root).dropDuplicates(["_root"]).select(*docs.columns))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and ``n_chars`` counted anew where it is a column."""
+    out = secrets.masked(docs, secrets.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each class of linked fingerprints."""
-    classes = near_classes(with_fingerprint(docs.select("doc_id", "text"), drop=("text",)).select("doc_id", F.col("fingerprint").alias("fp")))
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix. Only ids and sources are scheduled; rows of one id share its first place."""
+    slots = mixing.mix(docs.select("doc_id", "source"))
+    first = slots.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("position").alias("_position"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    return docs.join(first, same).orderBy("_position").select(*docs.columns)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens with every document's pieces placed."""
     return packed_digests(docs)
 
 
 STAGES = [
-    ("simhash_near_duplicates", near_duplicates),
-    ("best_fit_packing", packing),
+    ("toxic_segments", without_toxic),
+    ("simhash_near_duplicates", without_near_duplicates),
+    ("secret_scan", without_secrets),
+    ("pfair_mixing", mixed),
+    ("best_fit_packing", packed),
 ]
 
 ORACLE_SQL = None  # classifiers, fingerprints and token ids are beyond SQL; tests compare with a brute-force version
