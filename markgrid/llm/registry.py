@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from markgrid.llm.language import op10_output_codes
 from markgrid.llm.mixing import op7_pfair_mixing
 from markgrid.llm.packing import op8_best_fit_packing
+from markgrid.llm.quality import op1_isolation_forest
 from markgrid.llm.secrets import op3_secret_scan
 from markgrid.llm.simhash import op9_simhash_near_dedup
 from markgrid.llm.toxicity import op4_toxic_segments
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_toxic_segments, op7_pfair_mixing, op8_best_fit_packing, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_isolation_forest, op3_secret_scan, op4_toxic_segments, op7_pfair_mixing, op8_best_fit_packing, op9_simhash_near_dedup, op10_output_codes)}
 ORACLE_SQL: dict[str, str] = {}
