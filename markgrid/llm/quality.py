@@ -1,7 +1,8 @@
 """Quality rules and an isolation forest on their statistics.
 
-Every text gets counts that quality rules use. A forest of random splits isolates documents with unusual shares of them
-after few splits; the threshold on its anomaly score is calibrated on labelled documents. Rules reject first.
+Every text gets counts that quality rules use. Forests of random splits, one over all shares of them and one over each
+share, isolate unusual documents after few splits. Labels tell which unusual is bad: the threshold on each forest's
+anomaly score is calibrated on labelled documents. Rules reject first.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import types as T
 from markgrid.llm.common import add_columns, share, table
 from markgrid.session import cut
 
-#: trees, documents a tree sees, and documents they are drawn from at most (by a hash of the id)
-TREES, TREE_ROWS, FIT_DOCS = 100, 256, 8_192
-#: share of good labelled documents that the forest may reject, and least share of bad ones among those it rejects
-GOOD_LOST, PRECISION = 0.005, 0.5
+#: trees of a forest, documents a tree sees, and documents they are drawn from at most (by a hash of the id)
+TREES, TREE_ROWS, FIT_DOCS = 60, 256, 8_192
+#: share of good labelled documents that a forest may reject, and bad ones that each good one lost must bring
+GOOD_LOST, WORTH = 0.005, 4
 #: steps of the anomaly score in which labelled documents are counted
 STEPS = 1000
+#: shares that forests look at, by their place in ``features``
+FORESTS = {"all": (0, 1, 2, 3, 4), "symbols": (0,), "dup_lines": (1,), "repeats": (2,), "upper": (3,), "marks": (4,)}
 SYMBOLS, MARKS, BLANKS = "#*$%&|<>", "!?|", " \t\n\r\x0b\x0c"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_marks")
 
@@ -76,10 +79,11 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def features(s: np.ndarray) -> np.ndarray:
-    """Shares by which documents of any length compare, from rows of ``STATS``."""
+    """Shares by which documents of any length compare, from rows of ``STATS``: near 0 in ordinary prose, so splits isolate
+    what the rules watch for and not mere variety."""
     s = s.astype(np.float64)
     words, chars, lines = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1), np.maximum(s[:, 5], 1)
-    return np.c_[np.minimum(s[:, 1] / words, 20), s[:, 2] / chars, s[:, 3] / lines, s[:, 4] / words, s[:, 6] / np.sqrt(words), s[:, 7] / chars, s[:, 8] / chars, s[:, 9] / chars]
+    return np.c_[s[:, 2] / chars, s[:, 3] / lines, s[:, 4] / words, s[:, 7] / chars, s[:, 9] / chars]
 
 
 def usual_path(n: float) -> float:
@@ -107,7 +111,7 @@ def grow(x: np.ndarray, r: np.random.Generator, depth: int) -> list[tuple[int, f
     return nodes
 
 
-def forest(x: np.ndarray, seed: int = 5) -> list[tuple[np.ndarray, ...]]:
+def forest(x: np.ndarray, seed: int) -> list[tuple[np.ndarray, ...]]:
     """``TREES`` trees, each over ``TREE_ROWS`` rows drawn without replacement."""
     r = np.random.default_rng(seed)
     size = min(TREE_ROWS, len(x))
@@ -143,51 +147,54 @@ def base_failed():
 
 
 def judged(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """``stats`` (a written table of ``key`` and ``STATS``) with ``base_failed``, ``anomaly`` and ``kept``.
+    """``stats`` (a written table of ``key`` and ``STATS``) with ``base_failed``, an anomaly score for each forest and ``kept``.
 
-    The forest is fitted on at most ``FIT_DOCS`` documents that pass the rules. Its threshold is the lowest score above
-    which at most ``GOOD_LOST`` of all good labelled documents lie and at least ``PRECISION`` of the labelled ones are
-    bad; labelled documents are counted by score in ``STEPS`` steps. Without such a score, or without labels of both
-    kinds, the rules alone decide. A null id has no label; of several labels the largest counts.
+    The forests are fitted on at most ``FIT_DOCS`` documents that pass the rules. A forest's threshold is the score above
+    which the most bad labelled documents lie, each good one counting as ``WORTH``, with at most ``GOOD_LOST`` of all good
+    ones; labelled documents are counted by score in ``STEPS`` steps. Without such a score, or without bad labels, the
+    rules alone decide. A null id has no label; of several labels the largest counts.
     """
-    spark = stats.sparkSession
     stats = stats.withColumn("base_failed", base_failed())
     fine = stats.where("not base_failed")
     part = max(1, fine.count() // (FIT_DOCS // 2))
     rows = fine.where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).select(key, *STATS).orderBy(F.xxhash64(key), *STATS).limit(FIT_DOCS).collect()
     x = features(np.array([r[1:] for r in rows], dtype=np.int64).reshape(-1, len(STATS)))
-    trees, size = forest(x), min(TREE_ROWS, len(x))
-    get = share(spark, (trees, size))
-    kinds = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
+    size = min(TREE_ROWS, len(x))
+    get = share(stats.sparkSession, [(list(at), forest(x[:, list(at)], seed)) for seed, at in enumerate(FORESTS.values())])
+    names = [f"anomaly_{n}" for n in FORESTS]
+    kinds = T.StructType([*stats.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def score(batches):
-        t, n = get()
+        forests = get()
         for b in batches:
             f = features(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in STATS], axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(f, t, n), pa.float64())], names=[*b.schema.names, "anomaly"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(anomaly(f[:, at], t, size), pa.float64()) for at, t in forests]], names=[*b.schema.names, *names])
 
     scored = cut(stats.mapInArrow(score, kinds))
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    known = scored.where("not base_failed").select(key, F.floor(F.col("anomaly") * STEPS).cast("int").alias("_step")).join(one, key)
-    counts = known.groupBy("_step").agg(F.sum(F.when(F.col("_label") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_label") > 0, 0).otherwise(1)).alias("bad")).collect()  # STEPS rows
-    limit = threshold({r["_step"]: (r["good"], r["bad"]) for r in counts})
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))
+    known = scored.where("not base_failed").join(one, key).select("_label", F.posexplode(F.array(*names)).alias("forest", "score"))
+    counts = known.groupBy("forest", F.floor(F.col("score") * STEPS).cast("int").alias("step")).agg(F.sum(F.when(F.col("_label") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_label") > 0, 0).otherwise(1)).alias("bad")).collect()  # STEPS rows a forest
+    limits = [threshold({r["step"]: (r["good"], r["bad"]) for r in counts if r["forest"] == i}) for i in range(len(names))]
+    usual = F.lit(True)
+    for n, limit in zip(names, limits):
+        usual = usual & (F.floor(F.col(n) * STEPS) < limit)
+    return scored.withColumn("kept", ~F.col("base_failed") & usual)
 
 
-def threshold(counts: dict[int, tuple[int, int]]) -> float:
-    """The lowest step from which on few good documents and mostly bad ones lie; 2 if none."""
+def threshold(counts: dict[int, tuple[int, int]]) -> int:
+    """The step from which on rejecting pays most; beyond all steps if it never does."""
     good = bad = 0
-    most, best = GOOD_LOST * sum(g for g, _ in counts.values()), 2.0
+    most, best, gain = GOOD_LOST * sum(g for g, _ in counts.values()), 2 * STEPS, 0
     for step in sorted(counts, reverse=True):
         good, bad = good + counts[step][0], bad + counts[step][1]
         if good > most:
             break
-        if bad and bad >= PRECISION * (good + bad):
-            best = step / STEPS
+        if bad - WORTH * good > gain:
+            best, gain = step, bad - WORTH * good
     return best
 
 
 def op1_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
     out = judged(stats, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", *STATS[:5], "base_failed", "anomaly", "kept")
+    return out.select("doc_id", *STATS[:5], "base_failed", *[f"anomaly_{n}" for n in FORESTS], "kept")
