@@ -172,7 +172,7 @@ def _(t):
 
 
 @query("headline_statistics", "A32", """
-with a as (select tag, sum(qty) as q from {team} group by 1), b as (select tag, sum(qty) as q from {ours} group by 1), r as (select round(least(a.q, coalesce(b.q, 0)) / a.q::double, 4) as recall from a left join b using (tag)),
+with a as (select tag, sum(qty) as q from {team} group by 1), b as (select tag, sum(qty) as q from {ours} group by 1), r as (select least(a.q, coalesce(b.q, 0)) / a.q::double as recall from a left join b using (tag)),
 o as (select recall, row_number() over (order by recall) as k, count(*) over () as n from r)
 select max(n) as total, max(recall) as max, count(*) filter (where recall >= 0.5e0) as at_least_half, max(case when k = n // 2 + 1 then recall end) as upper_median from o""")
 def _(t):
@@ -181,10 +181,10 @@ def _(t):
 
 
 @query("class_digest", "A33 O1", """
-with n as (select doc_id, cls, count(*) as n from {boxes} group by 1, 2) select doc_id, cls, n, row_number() over (partition by doc_id order by n desc, cls) as position from n qualify position <= 3""")
+with n as (select doc_id, cls, count(*) as n from {boxes} group by 1, 2) select doc_id, cls, n, row_number() over (partition by doc_id order by n desc, cls) as position from n""")
 def _(t):
     n = t.boxes.groupBy("doc_id", "cls").agg(F.count("*").alias("n"))
-    return A.top_per_group(n, DOC, [F.desc("n"), "cls"], 3)
+    return A.top_per_group(n, DOC, [F.desc("n"), "cls"])
 
 
 @query("page_text_health", "A35", "select doc_id, page_no, count(*) as n, count(*) filter (where text = '') as n_broken, case when count(*) filter (where text = '') >= 0.02e0 * count(*) then 'undecoded' when count(*) < 10 then 'sparse' else 'ok' end as health from {words} group by 1, 2")
@@ -242,8 +242,8 @@ def _(t):
     return A.both_ends(t.team.groupBy("tag").agg(F.sum("qty").alias("qty")), ["tag"], "qty", 5)
 
 
-@query("newest_first", "O5 D17", "select event_id, user_id, event_type from {events} order by ts desc, event_id limit 50")
+@query("newest_first", "O5 D17", "select event_id, user_id, event_type from {events} order by ts desc, event_id")
 def _(t):
-    return t.events.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "event_type")
+    return t.events.orderBy(F.desc("ts"), "event_id").select("event_id", "user_id", "event_type")
 
 

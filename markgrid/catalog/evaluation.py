@@ -128,7 +128,7 @@ def log(t):
     return t.events.selectExpr("event_id", "event_type as source", "(event_id * 37) % 101 as pp", "((event_id * event_id * 13 + event_id * 7) % 100) < ((event_id * 37) % 101) as ok")
 
 
-@query("brier_scores", "A18", f"with {EV} select source, count(*) as n, round(avg((pp / 100e0 - ok::int) * (pp / 100e0 - ok::int)), 6) as brier from ev group by 1 union all select '(all)', count(*), round(avg((pp / 100e0 - ok::int) * (pp / 100e0 - ok::int)), 6) from ev")
+@query("brier_scores", "A18", f"with {EV} select source, count(*) as n, round(cast(sum(cast(round((pp / 100e0 - ok::int) * (pp / 100e0 - ok::int) * 1000000000000) as hugeint)) as double) / count(*) / 1000000000000, 6) as brier from ev group by 1 union all select '(all)', count(*), round(cast(sum(cast(round((pp / 100e0 - ok::int) * (pp / 100e0 - ok::int) * 1000000000000) as hugeint)) as double) / count(*) / 1000000000000, 6) from ev")
 def _(t):
     y = c("ok").cast("int")
     by, al = E.brier(log(t), ["source"], c("pp") / 100, y), E.brier(log(t), [], c("pp") / 100, y)

@@ -75,11 +75,11 @@ def _(t):
 
 
 @query("first_candidate_pages", "P8", f"""
-with {SQL_PAGES}, r as (select doc_id, page_no, type, case type when 'schedule' then 0 when 'air_balance' then 1 when 'mechanical_plan' then 2 when 'roof_plan' then 2 end as rk from pg)
-select doc_id, page_no, type, row_number() over (partition by doc_id order by rk, page_no) as position from r where rk is not null qualify position <= 8""")
+with {SQL_PAGES}, r as (select doc_id, page_no, type, case type when 'schedule' then 0 when 'air_balance' then 1 when 'legend' then 2 when 'details' then 3 when 'cover' then 4 when 'notes' then 5 when 'mechanical_plan' then 6 when 'roof_plan' then 6 end as rk from pg)
+select doc_id, page_no, type, row_number() over (partition by doc_id order by rk, page_no) as position from r where rk is not null""")
 def _(t):
     p = page_types(t).withColumn("is_plan", c("type").isin(V.PLAN_TYPES))
-    return P.first_pages(p, DOC, ["schedule", "air_balance"]).select("doc_id", "page_no", "type", "position")
+    return P.first_pages(p, DOC, V.SEARCH_ORDER).select("doc_id", "page_no", "type", "position")
 
 
 @query("common_classes", "P9", """

@@ -102,7 +102,7 @@ select doc_id, page_no, det_id, arg_min(tag, (tr, sr)) as tag, arg_min(size, (tr
 
 @query("tag_then_size", "W10", SQL_PAIR)
 def _(t):
-    n = M.nearest_words(M.nearby_words(t.boxes, M.word_points(t.tokens), 120), 1 << 30)
+    n = M.nearest_words(M.nearby_words(t.boxes, M.word_points(t.tokens), 120))
     n = n.withColumns({"tag": F.when(c("text").rlike("^P-?[0-9]+$"), c("text")), "size": F.when(c("text").rlike('^[0-9]+("|x[0-9]+)$'), c("text"))})
     return L.tag_then_size(n).select(*PAGE, "det_id", "tag", "size")
 
@@ -127,7 +127,7 @@ def _(t):
     return L.title_pick(t.spark.sql(SPANS, tokens=t.tokens), bonus)
 
 
-@query("sheet_index", "W14", """with l as (select * from {lines} where page_no <= 5), e as (select doc_id, page_no, line_no, case when regexp_matches(text, '^(M|E)[-\\s]?\\d{1,4}$') then 'column' else 'row' end as path, regexp_extract(text, '^([ME])', 1) as pre, regexp_extract(text, '^[ME][-\\s]?(\\d+)', 1) as num,
+@query("sheet_index", "W14", """with l as (select * from {lines}), e as (select doc_id, page_no, line_no, case when regexp_matches(text, '^(M|E)[-\\s]?\\d{1,4}$') then 'column' else 'row' end as path, regexp_extract(text, '^([ME])', 1) as pre, regexp_extract(text, '^[ME][-\\s]?(\\d+)', 1) as num,
   case when regexp_matches(text, '^M-\\d+ ') then regexp_extract(text, '^M-\\d+ (.*)$', 1) else '' end as title from l where regexp_matches(text, '^(M|E)[-\\s]?\\d{1,4}( [A-Z].*)?$')),
 u as (select doc_id, page_no, path, pre || '-' || num as sheet, pre, arg_min(title, line_no) as title from e group by 1, 2, 3, 4, 5), h as (select doc_id, page_no, bool_or(contains(text, 'SHEET INDEX')) as hd from l group by 1, 2),
 n as (select u.doc_id, u.page_no, hd, count(*) filter (where path = 'row') as nr, count(*) filter (where path = 'column') as nc from u join h using (doc_id, page_no) group by 1, 2, 3),

@@ -250,9 +250,10 @@ def _(t):
 @query("snapshot_changes", "J13", """
 with o as (select distinct doc_id, tag from {expected}), n as (select distinct doc_id, tag from {observed} where tag is not null),
 j as (select coalesce(o.doc_id, n.doc_id) as doc_id, o.tag as ot, n.tag as nt from o full join n on o.doc_id = n.doc_id and o.tag = n.tag)
-select doc_id, count(ot) as n_old, count(nt) as n_new, count(*) filter (where nt is null) as n_lost, count(*) filter (where ot is null) as n_gained, min(case when nt is null then ot end) as first_lost from j group by 1""")
+select doc_id, count(ot) as n_old, count(nt) as n_new, count(*) filter (where nt is null) as n_lost, count(*) filter (where ot is null) as n_gained, coalesce(string_agg(ot, '|' order by ot) filter (where nt is null), '') as lost, coalesce(string_agg(nt, '|' order by nt) filter (where ot is null), '') as gained from j group by 1""")
 def _(t):
-    return R.snapshot_changes(t.expected, t.observed.where("tag is not null"), DOC)
+    d = R.snapshot_changes(t.expected, t.observed.where("tag is not null"), DOC)
+    return d.withColumns({x: F.array_join(x, "|") for x in ("lost", "gained")})
 
 
 @query("truth_override", "J14", """
@@ -300,14 +301,16 @@ def _(t):
 
 
 @query("subtype_refinement", "J18", """
-with n as (select doc_id, replace(tag, '-', '') as tag, cls || '/' || (conf_pct % 3) as sub, count(*) as n from {observed} where tag is not null group by 1, 2, 3),
-m as (select doc_id, tag, sub as mode from n qualify row_number() over (partition by doc_id, tag order by n desc, sub) = 1)
-select b.doc_id, page_no, det_id, case when b.cls in ('A-F', 'N-O') and mode is not null then mode else b.cls end as cls, case when b.cls in ('A-F', 'N-O') and mode is not null then b.cls end as original_cls
-from {boxes} b left join m on m.doc_id = b.doc_id and m.tag = b.tag""")
+with s as (select l_orderkey // 250 as doc_id, 'P' || l_orderkey as tag, case l_suppkey % 5 when 0 then 'AD-GRD' when 1 then 'EXHAUST FAN' when 2 then 'AD-T-BAR SUPPLY' else 'AD-SURF SUPPLY' end as sub from {lineitem}),
+n as (select doc_id, tag, sub, count(*) as n from s group by 1, 2, 3),
+m as (select doc_id, tag, sub as mode from n qualify row_number() over (partition by doc_id, tag order by n desc, sub) = 1),
+b as (select doc_id, page_no, det_id, tag, case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-T-BAR SUPPLY' when 2 then 'AD-SURF SUPPLY' else 'FAN' end as cls from {boxes}),
+j as (select b.*, mode, starts_with(b.cls, 'AD-') and starts_with(coalesce(mode, ''), 'AD-') and mode <> b.cls and mode <> 'AD-GRD' as yes from b left join m on m.doc_id = b.doc_id and m.tag = b.tag)
+select doc_id, page_no, det_id, case when yes then mode else cls end as cls, case when yes then cls end as original_cls from j""")
 def _(t):
-    sched = t.observed.where("tag is not null").selectExpr("doc_id", "replace(tag, '-', '') as tag", "cls || '/' || (conf_pct % 3) as subtype")
-    b = t.boxes.select("doc_id", "page_no", "det_id", "cls", "tag")
-    return R.refine_by_mode(b, sched, DOC, ["A-F", "N-O"]).select("doc_id", "page_no", "det_id", "cls", "original_cls")
+    sched = t.lineitem.selectExpr("l_orderkey div 250 as doc_id", "'P' || l_orderkey as tag", "case l_suppkey % 5 when 0 then 'AD-GRD' when 1 then 'EXHAUST FAN' when 2 then 'AD-T-BAR SUPPLY' else 'AD-SURF SUPPLY' end as subtype")
+    b = t.boxes.selectExpr("doc_id", "page_no", "det_id", "case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-T-BAR SUPPLY' when 2 then 'AD-SURF SUPPLY' else 'FAN' end as cls", "tag")
+    return R.refine_by_mode(b, sched, DOC).select("doc_id", "page_no", "det_id", "cls", "original_cls")
 
 
 @query("value_to_tag", "J19", """
@@ -316,13 +319,13 @@ l as (select doc_id, val, arg_max(tag, row_no) as tag from v group by 1, 2)
 select b.doc_id, page_no, det_id, l.tag from {boxes} b join l on l.doc_id = b.doc_id and l.val = cast(l_partkey % 120 as string) where b.tag is null""")
 def _(t):
     props = t.expected.selectExpr("doc_id", "tag", "row_no", "(row_no % 97) || '\"' as value")
-    b = t.boxes.where("tag is null").selectExpr("doc_id", "page_no * 1000000 + det_id as det_id", "0 as ord", "cast(l_partkey % 120 as string) as value")
-    return R.tag_by_value(b, props, DOC).selectExpr("doc_id", "det_id div 1000000 as page_no", "det_id % 1000000 as det_id", "tag")
+    b = t.boxes.where("tag is null").selectExpr("doc_id", "page_no", "det_id", "0 as ord", "cast(l_partkey % 120 as string) as value")
+    return R.tag_by_value(b, props, DOC, ("page_no", "det_id")).select("doc_id", "page_no", "det_id", "tag")
 
 
 @query("match_cascade", "J20", """
 with tg as (select doc_id, regexp_replace(upper(tag), '[^A-Z0-9]', '', 'g') as n, min(tag) as tag from {expected} group by 1, 2),
-tx as (select doc_id, page_no * 1000000 + word_id as wid, text, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') as n from {tokens}),
+tx as (select doc_id, {'p': page_no, 'w': word_id} as wid, text, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') as n from {tokens}),
 e as (select tx.doc_id, wid, tag as match, 'exact' as strength from tx join tg on tg.doc_id = tx.doc_id and tg.n = tx.n),
 h as (select doc_id, wid, h.p as pos, h.s as n from (select doc_id, wid, unnest([{'p': 1, 's': case when contains(text, '-') then regexp_replace(upper(string_split(text, '-')[1]), '[^A-Z0-9]', '', 'g') end},
    {'p': 2, 's': case when contains(text, '/') then regexp_replace(upper(string_split(text, '/')[1]), '[^A-Z0-9]', '', 'g') end}]) as h from tx where wid not in (select wid from e where e.doc_id = tx.doc_id)) z where h.s <> ''),
@@ -330,10 +333,9 @@ p as (select h.doc_id, wid, arg_min(tag, pos) as match, 'prefix' as strength fro
 d as (select doc_id, wid from e union select doc_id, wid from p),
 f as (select tx.doc_id, wid, arg_min(tag, (-length(tg.n), tag)) as match, 'fuzzy' as strength from tx join tg on tg.doc_id = tx.doc_id and contains(tx.n, tg.n) and length(tg.n) >= 2
   where (tx.doc_id, wid) not in (select (doc_id, wid) from d) group by 1, 2)
-select * from e union all select * from p union all select * from f""")
+select doc_id, wid.p as page_no, wid.w as word_id, match, strength from (select * from e union all select * from p union all select * from f) z""")
 def _(t):
-    tx = t.tokens.selectExpr("doc_id", "page_no * 1000000 + word_id as wid", "text")
-    return R.match_cascade(tx, t.expected, DOC, "wid")
+    return R.match_cascade(t.tokens.select("doc_id", "page_no", "word_id", "text"), t.expected, DOC, ["page_no", "word_id"])
 
 
 @query("supplement_merge", "J21", """

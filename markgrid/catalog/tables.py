@@ -229,7 +229,7 @@ def duck_sql(sql: str) -> str:
     visit(sql)
     if not order:
         return plain(sql)
-    head = ",\n".join(f"{n} as (\n{plain(DUCK[n])}\n)" for n in order)
+    head = ",\n".join(f"{n} as materialized (\n{plain(DUCK[n])}\n)" for n in order)
     body = plain(sql)
     if re.match(r"with recursive\b", body, re.I):
         return f"with recursive {head},\n{body[len('with recursive'):].strip()}"

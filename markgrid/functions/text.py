@@ -28,8 +28,8 @@ def canonical_size(raw: Column) -> Column:
 def display_size(canon: Column) -> Column:
     c = F.coalesce(canon, F.lit(""))
     return (
-        F.when(c.startswith("round:"), F.concat(F.substring(c, 7, 99), F.lit('"')))
-        .when(c.startswith("rect:"), F.replace(F.substring(c, 6, 99), F.lit("x"), F.lit("/")))
+        F.when(c.startswith("round:"), F.concat(F.substr(c, F.lit(7)), F.lit('"')))
+        .when(c.startswith("rect:"), F.replace(F.substr(c, F.lit(6)), F.lit("x"), F.lit("/")))
         .otherwise(c)
     )
 

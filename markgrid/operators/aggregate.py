@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markgrid.functions import vocab as V
-from markgrid.functions.common import first_match, has_any, hits, rate
+from markgrid.functions.common import first_match, hits, rate
 from markgrid.functions.keys import class_of_tag
 from markgrid.functions.text import page_type_of_title
 
@@ -216,17 +216,20 @@ def severity_counts(checks: DataFrame, low_pages: DataFrame, keys: list[str]) ->
 
 
 def headline(rows: DataFrame, value: str) -> DataFrame:
-    """Count, maximum, upper median and number of at least a half, over a rate between 0 and 1.
+    """Count, maximum, upper median and number of at least a half, over a rate between 0 and 1, from exact values.
 
-    The upper median is the row at half the count in sorted order, found from a count per value;
-    rates are taken to four digits, which bounds that table at 10,001 rows.
+    The upper median is the row at half the count in sorted order. Rows are counted in ten thousand buckets first; only
+    the distinct values of the bucket that holds it are ranked.
     """
-    n = rows.where(c(value).isNotNull()).withColumn(value, F.round(value, 4)).groupBy(value).agg(F.count("*").alias("_n"))
+    v = rows.where(c(value).isNotNull()).select(c(value).cast("double").alias("v")).withColumn("b", F.floor(c("v") * 10_000))
+    per = v.groupBy("b").agg(F.count("*").alias("n"), F.max("v").alias("max"), F.sum((c("v") >= 0.5).cast("bigint")).alias("half"))
     w = Window.partitionBy()
-    half = F.sum(F.when(c(value) >= 0.5, c("_n")).otherwise(0)).over(w)
-    # the measure is bounded to 0..1 with four digits here, so the count table is small by construction
-    run = n.select(value, F.sum("_n").over(Window.orderBy(value)).alias("cum"), F.sum("_n").over(w).alias("total"), F.max(value).over(w).alias("max"), half.alias("at_least_half"))
-    return run.where(c("cum") > F.floor(c("total") / 2)).groupBy("total", "max", "at_least_half").agg(F.min(value).alias("upper_median"))
+    run = per.select("b", "n", F.sum("n").over(Window.orderBy("b")).alias("cum"), F.sum("n").over(w).alias("total"), F.max("max").over(w).alias("max"), F.sum("half").over(w).alias("at_least_half"))
+    at = run.where((c("cum") > F.floor(c("total") / 2)) & (c("cum") - c("n") <= F.floor(c("total") / 2)))
+    inside = v.join(at.select("b", "total", "max", "at_least_half", (F.floor(c("total") / 2) - c("cum") + c("n")).alias("skip")), "b")
+    distinct = inside.groupBy("v", "total", "max", "at_least_half", "skip").agg(F.count("*").alias("k"))
+    ranked = distinct.withColumn("upto", F.sum("k").over(Window.partitionBy("total").orderBy("v")))
+    return ranked.where("upto > skip").groupBy("total", "max", "at_least_half").agg(F.min("v").alias("upper_median"))
 
 
 def text_health(words: DataFrame, keys: list[str], broken: Column, share: float = 0.2, few: int = 10) -> DataFrame:
@@ -274,10 +277,11 @@ def value_recovery(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataF
     return g.withColumns({"hit": c("n_both") > 0, "coverage": rate(c("rows_right"), c("rows_found"))})
 
 
-def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """First n rows per key; Spark prunes each task to n rows per key before the shuffle."""
+def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int | None = None) -> DataFrame:
+    """Rows ranked per key; the first n if given, where Spark prunes each task to n rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("position", F.row_number().over(w)).where(c("position") <= n)
+    ranked = rows.withColumn("position", F.row_number().over(w))
+    return ranked if n is None else ranked.where(c("position") <= n)
 
 
 def both_ends(rows: DataFrame, order: list[str], score: str, n: int) -> DataFrame:
@@ -293,7 +297,3 @@ def by_rank(rows: DataFrame, status: str, order: list[str], then: list[str]) ->
 
 def legend_hits(text: Column) -> Column:
     return hits(F.upper(text), ["LEGEND", "SYMBOL", "ABBREVIATION"])
-
-
-def has_word(text: Column, words: list[str]) -> Column:
-    return has_any(F.upper(text), words)

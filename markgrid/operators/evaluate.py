@@ -104,9 +104,13 @@ def project_scores(truth: DataFrame, pred: DataFrame, matches: DataFrame, keys:
 
 
 def brier(events: DataFrame, keys: list[str], p: Column, y: Column) -> DataFrame:
-    """Mean squared gap between predicted probability and outcome."""
+    """Mean squared gap between predicted probability and outcome.
+
+    Gaps are added as whole millionths of a millionth, so the sum does not depend on the order of rows.
+    """
     d = p - y.cast("double")
-    aggs = [F.count("*").alias("n"), F.avg(d * d).alias("brier")]
+    whole = F.round(d * d * 1_000_000_000_000).cast("decimal(38,0)")
+    aggs = [F.count("*").alias("n"), (F.sum(whole).cast("double") / F.count("*") / 1_000_000_000_000).alias("brier")]
     return events.groupBy(*keys).agg(*aggs) if keys else events.agg(*aggs)
 
 

@@ -55,12 +55,12 @@ def keep_or_all(rows: DataFrame, keys: list[str], tests: list[Column]) -> DataFr
     return rows.join(per, keys).where(keep).select(*rows.columns)
 
 
-def first_pages(pages: DataFrame, keys: list[str], types: list[str], n: int = 8) -> DataFrame:
-    """Up to ``n`` pages per document: listed types in order, then plan pages."""
+def first_pages(pages: DataFrame, keys: list[str], types: list[str], n: int | None = None) -> DataFrame:
+    """Pages per document ranked by type: listed types in order, then plan pages; the first ``n`` if given."""
     rank = first_match([(c("type") == ty, F.lit(i)) for i, ty in enumerate(types)], F.when(c("is_plan"), F.lit(len(types))))
     w = Window.partitionBy(*keys).orderBy("_rank", "page_no")
     r = pages.withColumn("_rank", rank).where("_rank is not null").withColumn("position", F.row_number().over(w))
-    return r.where(c("position") <= n).drop("_rank")
+    return (r if n is None else r.where(c("position") <= n)).drop("_rank")
 
 
 def common_classes(rows: DataFrame, cls: str, least: int = 30) -> DataFrame:

@@ -72,13 +72,12 @@ def row_clusters(items: DataFrame, tol: float, keys=PAGE, y: str = "cy") -> Data
     return d.join(ext.select(*keys, "_b", "row_no"), [*keys, "_b"]).drop("_b")
 
 
-def column_anchors(items: DataFrame, tol: float, keys=PAGE, x: str = "cx", quantum: float = 0.01) -> DataFrame:
+def column_anchors(items: DataFrame, tol: float, keys=PAGE, x: str = "cx") -> DataFrame:
     """Column anchors of a page: the first x, then each next x more than ``tol`` beyond the last anchor.
 
-    The fold runs over the distinct x positions of a page, which its width bounds at the given
-    quantum however many items it holds.
+    The fold runs over the distinct x positions of a page, exactly as they are.
     """
-    q = items.select(*keys, (F.round(c(x) / quantum) * quantum).alias("_x")).distinct()
+    q = items.where(c(x).isNotNull()).select(*keys, c(x).cast("double").alias("_x")).distinct()
     xs = q.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
     fold = F.aggregate("_xs", F.array().cast("array<double>"), lambda acc, v: F.when(
         (F.size(acc) == 0) | (v - F.element_at(acc, -1) > tol), F.concat(acc, F.array(v))).otherwise(acc))
@@ -280,13 +279,13 @@ def title_pick(spans: DataFrame, score: Column, keys=PAGE) -> DataFrame:
     return s.groupBy(*keys).agg(F.min(F.struct((-c("score")).alias("neg"), "span_id", "text")).alias("_s")).select(*keys, c("_s.text").alias("text"), (-c("_s.neg")).alias("score"))
 
 
-def sheet_index(lines: DataFrame, doc: list[str], first_pages: int = 5) -> DataFrame:
+def sheet_index(lines: DataFrame, doc: list[str], first_pages: int | None = None) -> DataFrame:
     """Drawing index of a document: rows 'SHEET title' under an index heading (3 or more), else a
-    column of bare sheet numbers (6 or more), from the page that lists most."""
+    column of bare sheet numbers (6 or more), from the page that lists most. All pages are looked at unless ``first_pages`` is given."""
     pre = "|".join(sorted(V.DISCIPLINE_NAMES, key=len, reverse=True))
     row_pat, bare = rf"^({pre})[-\s]?(\d{{1,4}}[A-Z]?)\b\s*[-:.–]?\s*(.{{2,70}})$", rf"^({pre})[-\s]?(\d{{1,4}}[A-Z]?)$"
     page = [*doc, "page_no"]
-    d = lines.where(c("page_no") <= first_pages).withColumn("s", squeeze(c("text")))
+    d = (lines if first_pages is None else lines.where(c("page_no") <= first_pages)).withColumn("s", squeeze(c("text")))
     title = F.regexp_replace(F.regexp_extract("s", row_pat, 3), r"^[ \-:.–]+|[ \-:.–]+$", "")
     path = F.when(c("s").rlike(bare), "column").when(c("s").rlike(row_pat) & title.rlike("[A-Za-z]{3,}"), "row")
     pat = lambda i: F.when(c("path") == "column", F.regexp_extract("s", bare, i)).otherwise(F.regexp_extract("s", row_pat, i))

@@ -78,10 +78,11 @@ def nearby_words(boxes: DataFrame, words: DataFrame, radius: float, keys=PAGE, k
         "confidence", 1 - c("dist") / radius)
 
 
-def nearest_words(pairs: DataFrame, k: int, keys=PAGE) -> DataFrame:
-    """The k closest words of each box, ranked."""
+def nearest_words(pairs: DataFrame, k: int | None = None, keys=PAGE) -> DataFrame:
+    """The words of each box ranked by distance; the k closest if k is given."""
     w = Window.partitionBy(*keys, "det_id").orderBy("dist", "word_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(c("rank") <= k)
 
 
 def best_and_alternatives(pairs: DataFrame, k: int = 3, keys=PAGE) -> DataFrame:
@@ -227,8 +228,19 @@ def stacked_callouts(words: DataFrame, prefixes: list[str], tags: DataFrame, dx:
     u = F.regexp_replace(F.upper(F.trim("text")), "[-,]", "")
     heads = w.withColumn("text", u).where(c("text").isin(prefixes)).withColumn("h", F.greatest(c("y1") - c("y0"), F.lit(6.0)))
     nums = w.withColumn("text", F.trim("text")).where(c("text").rlike(r"^\d{1,3}$"))
-    reach = 64.0
-    p = near(prefixed(heads, "l_", keys), prefixed(nums, "r_", keys), keys, dx, reach, ("l_cx", "l_y0"), ("r_cx", "r_y0"))
+    # the number is at most one and a half heights below, so words meet in cells of the prefix's own height level
+    level = F.ceil(F.log2(c("h").cast("double"))).cast("int")
+    heads = heads.withColumn("_lv", level)
+    levels = sorted(r[0] for r in heads.select("_lv").distinct().collect() if r[0] is not None)
+    side = F.pow(F.lit(2.0), c("_lv")) * 1.5
+    nums = nums.withColumn("_lv", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    heads = heads.withColumn("_cy", F.explode(F.array(F.floor(c("y0") / side), F.floor(c("y0") / side) + 1)))
+    nums = nums.withColumn("_cy", F.floor(c("y0") / side))
+    cell = [*keys, "_lv", "_cy"]
+    heads = heads.withColumn("_cx", F.explode(F.sequence(F.floor((c("cx") - dx) / (2 * dx)), F.floor((c("cx") + dx) / (2 * dx)))))
+    nums = nums.withColumn("_cx", F.floor(c("cx") / (2 * dx)))
+    cell.append("_cx")
+    p = prefixed(heads, "l_", cell).join(prefixed(nums, "r_", cell), cell)
     dy = c("r_y0") - c("l_y0")
     p = p.where((F.abs(c("l_cx") - c("r_cx")) < dx) & (dy > c("l_h") * 0.3) & (dy < c("l_h") * 1.5))
     p = p.withColumn("tag", F.concat("l_text", F.lit("-"), "r_text")).join(tags.select(*doc, "tag").distinct(), [*doc, "tag"], "left_semi")

@@ -237,12 +237,12 @@ def quality_checks(expected: DataFrame, observed: DataFrame, keys: list[str], qt
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Tags lost and gained per document between two snapshots."""
+    """Tags lost and gained per document between two snapshots, as counts and sorted lists."""
     j = stacked(old, new, [*keys, "tag"], {"o": ("l", "1"), "n": ("r", "1")})
     return j.groupBy(*keys).agg(
         F.sum((c("o") > 0).cast("int")).alias("n_old"), F.sum((c("n") > 0).cast("int")).alias("n_new"),
         F.sum(((c("o") > 0) & (c("n") == 0)).cast("int")).alias("n_lost"), F.sum(((c("o") == 0) & (c("n") > 0)).cast("int")).alias("n_gained"),
-        F.min(F.when(c("n") == 0, c("tag"))).alias("first_lost"))
+        F.array_sort(F.collect_list(F.when(c("n") == 0, c("tag")))).alias("lost"), F.array_sort(F.collect_list(F.when(c("o") == 0, c("tag")))).alias("gained"))
 
 
 def truth_override(rows: DataFrame, human: DataFrame, keys: list[str], derived: str, ruling: str) -> DataFrame:
@@ -272,53 +272,59 @@ def direct_assignment(boxes: DataFrame, schedule: DataFrame, keys: list[str], cl
     return j.withColumn("direct_tag", F.coalesce("own_tag", "alias_tag")).drop("_alias", "own_tag", "alias_tag")
 
 
-def refine_by_mode(boxes: DataFrame, schedule: DataFrame, keys: list[str], generic: list[str]) -> DataFrame:
-    """Boxes of a generic class take the most frequent subtype the schedule gives their tag."""
+def refine_by_mode(boxes: DataFrame, schedule: DataFrame, keys: list[str], family: str = "AD-", generic: tuple[str, ...] = ("AD-GRD",)) -> DataFrame:
+    """Boxes of a family take the most frequent subtype the schedule gives their tag, if it is of the family and not its
+    generic class; a specific class is never replaced by the generic one."""
     n = schedule.groupBy(*keys, "tag", "subtype").agg(F.count("*").alias("n"))
     mode = n.groupBy(*keys, "tag").agg(F.min_by("subtype", F.struct(-c("n"), "subtype")).alias("mode"))
     j = boxes.join(mode, [*keys, "tag"], "left")
-    use = c("cls").isin(generic) & c("mode").isNotNull() & (c("mode") != c("cls"))
+    use = F.coalesce(c("cls").startswith(family) & c("mode").startswith(family) & (c("mode") != c("cls")) & ~c("mode").isin(*generic), F.lit(False))
     return j.withColumns({"original_cls": F.when(use, c("cls")), "cls": F.when(use, c("mode")).otherwise(c("cls"))}).drop("mode")
 
 
-def tag_by_value(readings: DataFrame, properties: DataFrame, keys: list[str]) -> DataFrame:
+def tag_by_value(readings: DataFrame, properties: DataFrame, keys: list[str], box: tuple[str, ...] = ("det_id",), longest: int = 30) -> DataFrame:
     """Reverse lookup of a read value among schedule property values (last row wins).
 
-    ``readings``: keys, det_id, ord, value; ``properties``: keys, tag, row_no, value.
+    ``readings``: keys, box, ord, value; ``properties``: keys, tag, row_no, value. Values of more than ``longest``
+    characters are prose, not readings, and generic words say nothing; neither is looked up.
     """
     v = F.upper(F.trim(F.regexp_replace(c("value"), "[\"']", "")))
-    clean = properties.withColumn("value", v).where((c("value") != "") & (F.length("value") <= 30) & ~c("value").isin(V.GENERIC_VALUES))
+    clean = properties.withColumn("value", v).where((c("value") != "") & (F.length("value") <= longest) & ~c("value").isin(V.GENERIC_VALUES))
     table = last_wins(clean.select(*keys, "value", "tag", "row_no"), [*keys, "value"], "row_no").drop("row_no")
     hit = readings.withColumn("value", v).join(table, [*keys, "value"])
-    return hit.groupBy(*keys, "det_id").agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
+    return hit.groupBy(*keys, *box).agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
 
 
-def substrings(text: Column, shortest: int, longest: int = 24) -> Column:
-    """All distinct substrings within the length bounds; turns CONTAINS into an equi-join."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (shortest - 1), F.lit(1)))
-    subs = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(shortest), F.greatest(F.least(F.lit(longest), F.length(text) - i + 1), F.lit(shortest))),
-        lambda n: F.substr(text, i, n))))
-    return F.when(F.length(text) >= shortest, F.array_distinct(subs))
+def substrings(text: Column, lengths: list[int]) -> Column:
+    """All distinct substrings of the given lengths; turns CONTAINS into an equi-join."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
+    return F.array_distinct(F.flatten(F.transform(fits, of)))
 
 
-def match_cascade(texts: DataFrame, tags: DataFrame, keys: list[str], tid: str) -> DataFrame:
+def match_cascade(texts: DataFrame, tags: DataFrame, keys: list[str], tid: str | list[str], shortest: int = 2) -> DataFrame:
     """Text to scheduled tag: exact, else the part before a separator, else a tag inside the text.
 
-    Later steps run only for texts the earlier ones left; in each the longest, then smallest tag wins.
+    Later steps run only for texts the earlier ones left; in each the longest, then smallest tag wins. Inside a text,
+    tags of ``shortest`` characters or more are looked for, at the lengths that tags have.
     """
+    tid = [tid] if isinstance(tid, str) else list(tid)
     norm = lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")
     tg = tags.select(*keys, "tag", norm(c("tag")).alias("_n")).where("_n <> ''").groupBy(*keys, "_n").agg(F.min("tag").alias("match"))
-    best = lambda df, s: df.groupBy(*keys, tid).agg(
+    best = lambda df, s: df.groupBy(*keys, *tid).agg(
         F.min_by("match", F.struct(-F.length("_n"), "match")).alias("match")).withColumn("strength", F.lit(s))
-    t = texts.select(*keys, tid, c("text"), norm(c("text")).alias("_n")).where("_n <> ''")
+    t = texts.select(*keys, *tid, c("text"), norm(c("text")).alias("_n")).where("_n <> ''")
     exact = best(t.join(tg, [*keys, "_n"]), "exact")
-    rest = t.join(exact, [*keys, tid], "left_anti")
+    rest = t.join(exact, [*keys, *tid], "left_anti")
     heads = F.array_compact(F.array(*[F.when(c("text").contains(s), norm(F.substring_index("text", s, 1))) for s in "-/ "]))
-    split = rest.select(*keys, tid, F.posexplode(heads).alias("pos", "_n")).join(tg, [*keys, "_n"])
-    prefix = split.groupBy(*keys, tid).agg(F.min_by("match", "pos").alias("match")).withColumn("strength", F.lit("prefix"))
-    rest = rest.join(prefix, [*keys, tid], "left_anti")
-    inside = rest.select(*keys, tid, F.explode(substrings(c("_n"), 2)).alias("_n")).join(tg, [*keys, "_n"])
+    split = rest.select(*keys, *tid, F.posexplode(heads).alias("pos", "_n")).join(tg, [*keys, "_n"])
+    prefix = split.groupBy(*keys, *tid).agg(F.min_by("match", "pos").alias("match")).withColumn("strength", F.lit("prefix"))
+    rest = rest.join(prefix, [*keys, *tid], "left_anti")
+    # as many numbers as tags have lengths
+    lengths = sorted(r[0] for r in tg.select(F.length("_n")).distinct().collect() if r[0] >= shortest)
+    if not lengths:
+        return exact.unionByName(prefix)
+    inside = rest.select(*keys, *tid, F.explode(substrings(c("_n"), lengths)).alias("_n")).join(tg, [*keys, "_n"])
     return exact.unionByName(prefix).unionByName(best(inside, "fuzzy"))
 
 

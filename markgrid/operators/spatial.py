@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,12 @@ def nearest(
 
     With ``cap`` one grid join is enough. Without it the reach grows fourfold per round, and only
     rows still unserved go on, so the wide rounds are small; rows of a key that has no right row
-    are left out from the start, which bounds the number of rounds by the page size.
+    are left out from the start, which bounds the number of rounds by the page size. Rows without a
+    point on either side match nothing.
     """
+    there = lambda df, at: df.where(reduce(lambda x, y: x & y, [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) & (F.abs(F.col(a).cast("double")) < float("inf")) for a in at]))
+    left, right = there(left, lxy), there(right, rxy)
+
     def best(pairs: DataFrame) -> DataFrame:
         b = F.min(F.struct("dist", rid)).alias("_best")
         return pairs.groupBy(*keys, lid).agg(b).select(*keys, lid, F.col("_best." + rid).alias(rid), F.col("_best.dist").alias("dist"))
@@ -87,8 +92,8 @@ def nearest(
 
 
 def _level(p: str) -> Column:
-    side = F.greatest(F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1"), F.lit(1))
-    return F.ceil(F.log2(side.cast("double"))).cast("int") + 1
+    side = F.greatest(F.col(p + "x2") - F.col(p + "x1"), F.col(p + "y2") - F.col(p + "y1")).cast("double")
+    return F.ceil(F.log2(F.greatest(side, F.lit(2.0**-40)))).cast("int") + 1
 
 
 def size_levels(df: DataFrame) -> list[int]:

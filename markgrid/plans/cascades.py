@@ -16,7 +16,6 @@ from markgrid.functions import text as X
 from markgrid.functions import vocab as V
 from markgrid.operators import match as M
 from markgrid.operators import reconcile as R
-from markgrid.operators.aggregate import mode_of
 from markgrid.operators.layout import tag_then_size
 from markgrid.operators.suppress import closed_rectangles
 from markgrid.session import cut
@@ -53,10 +52,9 @@ def infer_tags(boxes: DataFrame, words: DataFrame, schedule: DataFrame, values:
     fp = M.fingerprint_match(open2, words, M.fingerprints(values, DOC), radius)
     l2a = level(fp, "fingerprint", F.least(0.5 + 0.15 * c("score"), F.lit(0.95)))
     open3 = _left_open(open2, l2a)
-    wid = words.withColumn("_w", c("page_no") * 1_000_000_000 + c("word_id"))
-    hit = R.match_cascade(wid, sched, DOC, "_w").where("strength <> 'fuzzy'")
+    hit = R.match_cascade(words, sched, DOC, ["page_no", "word_id"]).where("strength <> 'fuzzy'")
     cls_of = sched.groupBy(*DOC, "tag").agg(F.min("cls").alias("tag_cls"))
-    matched = wid.join(hit, [*DOC, "_w"]).join(cls_of.withColumnRenamed("tag", "match"), [*DOC, "match"]).select(
+    matched = words.join(hit, [*PAGE, "word_id"]).join(cls_of.withColumnRenamed("tag", "match"), [*DOC, "match"]).select(
         *PAGE, "word_id", "cx", "cy", c("match").alias("tag"), "tag_cls", F.length(K.alnum_key(c("match"))).alias("matched_len"))
     matched = cut(matched)
     l2b1 = level(M.longest_near_tag(open3, matched, 6 * radius), "bubble_detect", c("confidence"), c("new_cls"))
@@ -66,10 +64,7 @@ def infer_tags(boxes: DataFrame, words: DataFrame, schedule: DataFrame, values:
     open5 = _left_open(open4, l2b)
     near = M.nearby_words(open5, words, 0.8 * radius).withColumn("value", F.coalesce(X.word_reading(c("text"))["cfm"], X.word_reading(c("text"))["size"]))
     near = near.where("value is not null").select(*PAGE, "det_id", c("word_id").alias("ord"), "value")
-    vals = values.select(*DOC, "tag", "row_no", "value")
-    clean = lambda x: F.upper(F.trim(F.regexp_replace(x, "[\"']", "")))
-    table = R.last_wins(vals.withColumn("value", clean(c("value"))), [*DOC, "value"], "row_no")
-    hit2 = near.withColumn("value", clean(c("value"))).join(table, [*DOC, "value"]).groupBy(*ID).agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
+    hit2 = R.tag_by_value(near, values.select(*DOC, "tag", "row_no", "value"), DOC, ("page_no", "det_id"))
     l2c = level(hit2, "size_cfm", F.lit(0.7))
     tagged = reduce(DataFrame.unionByName, [l1, l1b, l2a, l2b1, l2b, l2c])
     real = base.join(tagged, ID, "left").select(
@@ -83,7 +78,7 @@ def infer_tags(boxes: DataFrame, words: DataFrame, schedule: DataFrame, values:
 def near_text_size(boxes: DataFrame, words: DataFrame, reach: float = 72.0) -> DataFrame:
     """Level 1: a combined label such as S1-8" next to the box, else a tag followed by a size."""
     combined = r'^([A-Z]{1,3}-?\d{1,6})-(\d+(?:\.\d+)?"|\d+[xX/]\d+)$'
-    near = M.nearest_words(M.nearby_words(boxes, words, reach), 1 << 30)
+    near = M.nearest_words(M.nearby_words(boxes, words, reach))
     t = F.upper(F.trim("text"))
     near = near.withColumns({"ctag": F.nullif(F.regexp_extract(t, combined, 1), F.lit("")), "csize": F.nullif(F.regexp_extract(t, combined, 2), F.lit("")),
                              "tag": F.when(t.rlike(r"^[A-Z]{1,3}-?\d{1,6}$"), t), "size": X.read_size(c("text"))})
@@ -97,9 +92,8 @@ def near_text_size(boxes: DataFrame, words: DataFrame, reach: float = 72.0) -> D
 def schedule_size(boxes: DataFrame, words: DataFrame, schedule: DataFrame, reach: float = 200.0) -> DataFrame:
     """Level 2: nearest word that names a scheduled tag; the size is the schedule's. Where the schedule
     says the size varies, the tag is kept at low confidence without a size."""
-    wid = words.withColumn("_w", c("page_no") * 1_000_000_000 + c("word_id"))
-    hit = R.match_cascade(wid, schedule, DOC, "_w")
-    m = wid.join(hit, [*DOC, "_w"]).select(*PAGE, "word_id", "cx", "cy", c("match").alias("text"), "strength", "ocr_pct")
+    hit = R.match_cascade(words, schedule, DOC, ["page_no", "word_id"])
+    m = words.join(hit, [*PAGE, "word_id"]).select(*PAGE, "word_id", "cx", "cy", c("match").alias("text"), "strength", "ocr_pct")
     n = M.nearest_words(M.nearby_words(boxes, m, reach, keep=["strength", "ocr_pct"]), 1)
     s = schedule.groupBy(*DOC, c("tag").alias("text")).agg(F.min("size").alias("size")).where("size <> ''")
     j = n.join(s, [*DOC, "text"])
@@ -271,10 +265,6 @@ def post_process(boxes: DataFrame, words: DataFrame, schedule: DataFrame, bands:
     }
 
 
-def dominant_type(pages: DataFrame) -> DataFrame:
-    return mode_of(pages, DOC, "type", "dominant")
-
-
 def stage_manifest(stages: dict[str, DataFrame]) -> DataFrame:
     parts = [d.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("stage", F.lit(k)) for k, d in stages.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +25,9 @@ def build_session(app: str = "markgrid", cores: str = "*", shuffle: int = 8) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the one the cluster names, else a local one under a local master."""
+    """Folder for lineage cuts: the one the cluster names, else one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="markgrid-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_cuts"
 
 
 def cut(df: DataFrame) -> DataFrame:
