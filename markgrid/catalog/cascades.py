@@ -27,7 +27,7 @@ SQL_SCHED = "sd as (select doc_id, tag, row_no, case exp_qty when 1 then 'AD-GRD
 
 
 def bands(t):
-    return t.expected.where("exp_qty = 1").selectExpr("doc_id", "(row_no * 37) % 900 as lo", "(row_no * 37) % 900 + 20 as hi", "(4 + row_no % 13) || '\"' as band")
+    return t.expected.selectExpr("doc_id", "(row_no * 37) % 900 as lo", "(row_no * 37) % 900 + 20 as hi", "(4 + row_no % 13) || '\"' as band")
 
 
 def words(t):
@@ -59,7 +59,9 @@ mt as (select k.doc_id, k.page_no, k.word_id, k.cx, k.cy, coalesce(e.tag, p.tag)
 al(src, dst) as (values {", ".join(f"('{a}', '{x}')" for a, v in V.CLASS_ALIASES.items() for x in (v if isinstance(v, list) else [v]))}),
 j4 as (select b.doc_id, b.page_no, b.det_id, m.tag, m.tcls, m.word_id, {DIST.format('b', 'm')} as dist, {DIST.format('b', 'm')} - 80 * m.ln as score from b3 b join mt m on {ON.format('b', 'm')} and (b.cls = m.tcls or (b.cls, m.tcls) in (select (src, dst) from al)) where {DIST.format('b', 'm')} <= 600),
 l4 as (select doc_id, page_no, det_id, arg_min(tag, (score, word_id)) as tag, arg_min(tcls, (score, word_id)) as tcls, arg_min(dist, (score, word_id)) as dist from j4 group by 1, 2, 3), b4 as (select * from b3 where {ANTI.format('b3', 'l4')}),
-j5 as (select b.doc_id, b.page_no, b.det_id, m.tag, m.word_id, {DIST.format('b', 'm')} as dist from b4 b join mt m on {ON.format('b', 'm')} where {DIST.format('b', 'm')} <= 140), l5 as (select doc_id, page_no, det_id, arg_min(tag, (dist, word_id)) as tag, min(dist) as dist from j5 group by 1, 2, 3), b5 as (select * from b4 where {ANTI.format('b4', 'l5')}),
+s5 as (select distinct doc_id, tag, cls from sd), p5 as (select doc_id, cls, count(*) as n from s5 group by 1, 2),
+r5 as (select b.*, coalesce(o.cls, a.cls) as rc from b4 b left join p5 o on o.doc_id = b.doc_id and o.cls = b.cls left join p5 a on a.doc_id = b.doc_id and a.cls = case b.cls when 'SPLIT SYSTEM' then 'CONDENSING UNIT' when 'AD-SURF SUPPLY' then 'AD-GRD' end where coalesce(o.n, a.n) >= 2),
+j5 as (select b.doc_id, b.page_no, b.det_id, m.tag, m.word_id, {DIST.format('b', 'm')} as dist from r5 b join mt m on {ON.format('b', 'm')} join s5 on s5.doc_id = m.doc_id and s5.tag = m.tag and s5.cls = b.rc where {DIST.format('b', 'm')} <= 140), l5 as (select doc_id, page_no, det_id, arg_min(tag, (dist, word_id)) as tag, min(dist) as dist from j5 group by 1, 2, 3), b5 as (select * from b4 where {ANTI.format('b4', 'l5')}),
 vq as (select doc_id, cast(l_orderkey * 7 % 1013 as string) as value, arg_max('T' || (l_orderkey % 251), l_orderkey) as tag from {{raw_items}} group by 1, 2),
 w6 as (select b.doc_id, b.page_no, b.det_id, k.word_id, coalesce(nullif(regexp_extract(upper(k.text), '^(\\d{{2,4}})$', 1), ''), nullif(regexp_extract(upper(k.text), '^(\\d{{1,3}})"?$', 1), ''), nullif(regexp_extract(upper(k.text), '^(\\d{{1,3}}X\\d{{1,3}})$', 1), '')) as value from b5 b join tk k on {ON.format('b', 'k')} where {DIST.format('b', 'k')} <= 80),
 l6 as (select w6.doc_id, w6.page_no, w6.det_id, arg_min(vq.tag, (word_id, vq.tag)) as tag from w6 join vq on vq.doc_id = w6.doc_id and vq.value = w6.value group by 1, 2, 3)"""
@@ -104,7 +106,7 @@ j3 as (select b.doc_id, b.page_no, b.det_id, s.word_id, s.size, s.oc, {DIST.form
 m3 as (select doc_id, page_no, det_id, min({{'rank': -oc * (1 - least(dist / 600, 0.8e0)), 'w': word_id, 'size': size, 'oc': oc, 'dist': dist}}) as h from j3 group by 1, 2, 3),
 l3 as (select doc_id, page_no, det_id, h.size as size, 0.8e0 * h.oc * (case when h.dist < 200 then 1e0 else greatest(0.3e0, 1e0 - (h.dist - 200) / 400 * 0.5e0) end) * (case when contains(h.size, 'X') then 0.95e0 else 1e0 end) as conf from m3)"""
 SQL_WATERFALL = f"""{BOX_XY}, {TOK_XY}, {SQL_SCHED}, l1 as ({QUERIES['near_text_size'].sql}), l2 as ({QUERIES['schedule_size'].sql}), {SQL_L3},
-bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi, (4 + row_no % 13) || '"' as band from {{expected}} where exp_qty = 1), nb as (select doc_id, count(*) as n from bd group by 1), cf as (select doc_id, tag, min(cfm) as cfm from sd group by 1, 2),
+bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi, (4 + row_no % 13) || '"' as band from {{expected}}), nb as (select doc_id, count(*) as n from bd group by 1), cf as (select doc_id, tag, min(cfm) as cfm from sd group by 1, 2),
 h4 as (select b.doc_id, b.page_no, b.det_id, b.tag, cf.cfm, min({{'lo': lo, 'hi': hi, 'band': band}}) as h from bx b join cf on cf.doc_id = b.doc_id and cf.tag = b.tag join bd on bd.doc_id = b.doc_id and cf.cfm between lo and hi group by 1, 2, 3, 4, 5),
 l4 as (select h4.doc_id, page_no, det_id, tag, h.band as size, 0.55e0 * greatest(0.5e0, 1 - abs(cfm - (h.lo + h.hi) / 2e0) / greatest(1e0, (h.hi - h.lo) / 2e0) * 0.5e0) * (case when n < 4 then 0.75e0 when n >= 8 then 1e0 else 0.85e0 end) as conf from h4 join nb using (doc_id)),
 wf as (select b.doc_id, b.page_no, b.det_id, b.tag as own, case when l1.det_id is not null then l1.tag when l2.det_id is not null then l2.tag when l3.conf >= 0.2e0 then null else l4.tag end as rd,
@@ -143,7 +145,7 @@ def _(t):
     return C.context_stats(C.enrich_context(t.strips, w, ["F"], ["O"]), merge_runs(t.strips))
 
 
-@query("fill_counts", "C5 F14 G19", """with bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi from {expected} where exp_qty = 1), it as (select doc_id, raw_cls as cls, raw_tag as tag, model, 20 + (l_partkey * 13) % 900 as cfm, case when l_suppkey % 3 = 0 then raw_size end as neck, case when l_orderkey % 4 = 0 then 1e0 end as slot from {raw_items}),
+@query("fill_counts", "C5 F14 G19", """with bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi from {expected}), it as (select doc_id, raw_cls as cls, raw_tag as tag, model, 20 + (l_partkey * 13) % 900 as cfm, case when l_suppkey % 3 = 0 then raw_size end as neck, case when l_orderkey % 4 = 0 then 1e0 end as slot from {raw_items}),
 h as (select distinct n.doc_id, n.cfm from (select distinct doc_id, cfm from it where neck is null) n join bd on bd.doc_id = n.doc_id and n.cfm between lo and hi)
 select it.doc_id, count(*) filter (where neck is null and h.cfm is not null) as neck_filled, count(*) filter (where slot is null and (contains(cls, 'LINEAR') or contains(cls, 'SLOT') or regexp_matches(upper(tag), '^(LD|LSD|L-)')) and model in ('AS22O', '2-SLOT', '1.5" SLOT')) as slot_filled from it left join h on h.doc_id = it.doc_id and h.cfm = it.cfm group by 1""")
 def _(t):

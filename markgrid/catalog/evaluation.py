@@ -151,7 +151,10 @@ def _(t):
     return rounded(E.calibrate(log(t), curves, "source", c("pp") / 100), "calibrated").select("event_id", "source", "calibrated")
 
 
-@query("isotonic_calibration", "A20 H7")
+@query("isotonic_calibration", "A20 H7", f"""with {EV}, a as (select pp, count(*) as n, sum(ok::int) as s from ev group by 1), r as (select pp, sum(n) over (order by pp) as cn, sum(s) over (order by pp) as cs, n, s from a),
+m as (select lo.pp as lo, hi.pp as hi, (hi.cs - lo.cs + lo.s) / (hi.cn - lo.cn + lo.n)::double as mean from r lo join r hi on hi.pp >= lo.pp),
+w as (select a.pp, m.lo, min(m.mean) as least from a join m on m.lo <= a.pp and m.hi >= a.pp group by 1, 2), f as (select pp, max(least) as fitted from w group by 1)
+select event_id, round(fitted, 6) as calibrated from ev join f using (pp)""")
 def _(t):
     ev = log(t).select("event_id", (c("pp") / 100).alias("p"), c("ok").cast("double").alias("y"))
     return E.isotonic(ev, "p", "y").transform(ev).select("event_id", F.round("prediction", 6).alias("calibrated"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from markgrid.catalog.keys_text import sql_list
 from markgrid.catalog.registry import QUERIES, query
 from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, TOK_XY
 from markgrid.functions import vocab as V
@@ -35,7 +36,11 @@ def _(t):
     return d.select(*PAGE, "row_no", c("col_no").cast("bigint").alias("col_no"), "text")
 
 
-@query("header_rows", "W4", "select o_orderkey as doc_id, 1 as page_no, 0 as header_row, 6 as score, 0 as best from {orders}")
+@query("header_rows", "W4", f"""with {SQL_ROWS}, p as (select *, trim(upper(text), ' :,.-') as u from it),
+s as (select doc_id, page_no, row_no, sum(case when u in {sql_list(V.READ_TAG_HEADERS)} then 3 when {' or '.join(f"contains(u, '{w}')" for w in V.READ_PROPERTY_HEADERS)} then 1 else 0 end) as score from p group by 1, 2, 3),
+b as (select doc_id, page_no, arg_min(row_no, (-score, row_no)) as best from s where score > 0 group by 1, 2),
+h as (select * from s where score >= 4 and not exists (select 1 from s a where a.doc_id = s.doc_id and a.page_no = s.page_no and a.score >= 4 and (a.row_no = s.row_no - 1 and a.score >= s.score or a.row_no = s.row_no + 1 and a.score > s.score)))
+select doc_id, page_no, cast(row_no as bigint) as header_row, cast(score as bigint) as score, cast(best as bigint) as best from h join b using (doc_id, page_no)""")
 def _(t):
     it = L.row_clusters(t.items, 12)
     return L.header_rows(it).join(L.best_header(it).withColumnRenamed("header_row", "best"), PAGE)

@@ -140,7 +140,7 @@ def _(t):
 
 
 def tag_table_inputs(t):
-    bom = t.boxes.where("tag like 'P-%'").groupBy("doc_id", "tag", (c("l_partkey") % 3).cast("string").alias("neck")).agg(
+    bom = t.boxes.where("tag is not null").groupBy("doc_id", "tag", (c("l_partkey") % 3).cast("string").alias("neck")).agg(
         F.count("*").alias("qty"), F.sum((c("l_suppkey") % 5 == 0).cast("int")).alias("cfm_missing"))
     boxes = t.boxes.selectExpr("doc_id", "cls", "tag", "case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck",
                                "case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units", "conf_pct as conf")
@@ -149,7 +149,7 @@ def tag_table_inputs(t):
 
 
 SQL_TAG_TABLE = """
-bom as (select doc_id, tag, cast(l_partkey % 3 as string) as neck, count(*) as qty, count(*) filter (where l_suppkey % 5 = 0) as cfm_missing from {boxes} where tag like 'P-%' group by 1, 2, 3),
+bom as (select doc_id, tag, cast(l_partkey % 3 as string) as neck, count(*) as qty, count(*) filter (where l_suppkey % 5 = 0) as cfm_missing from {boxes} where tag is not null group by 1, 2, 3),
 bx as (select doc_id, cls, coalesce(tag, '') as tag, case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck,
   case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units, conf_pct as conf from {boxes}),
 live as (select * from bx where units > 0),

@@ -99,13 +99,14 @@ def _(t):
 
 
 @query("closest_valid_tag", "G4", f"""
-with {BOX_XY}, {TOK_XY}, j as (select b.doc_id, b.page_no, b.det_id, k.text as tag, k.word_id, {DIST.format('b', 'k')} as dist from bx b join tk k on {ON.format('b', 'k')}
- where {DIST.format('b', 'k')} <= 140 and exists (select 1 from {{expected}} e where e.doc_id = k.doc_id and e.tag = k.text))
+with {BOX_XY}, {TOK_XY}, sd as (select distinct doc_id, tag, case exp_qty when 1 then 'AD-GRD' when 2 then 'AD-T-BAR SUPPLY' when 3 then 'FAN' else 'CONDENSING UNIT' end as cls from {{expected}}), per as (select doc_id, cls, count(*) as n from sd group by 1, 2), bc as (select *, case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-SURF SUPPLY' when 2 then 'EXHAUST FAN' else 'SPLIT SYSTEM' end as c0 from bx),
+rb as (select b.doc_id, b.page_no, b.det_id, b.cx, b.cy, coalesce(o.cls, a.cls) as rc from bc b left join per o on o.doc_id = b.doc_id and o.cls = b.c0 left join per a on a.doc_id = b.doc_id and a.cls = case b.c0 when 'SPLIT SYSTEM' then 'CONDENSING UNIT' when 'AD-SURF SUPPLY' then 'AD-GRD' end where coalesce(o.n, a.n) >= 2),
+j as (select b.doc_id, b.page_no, b.det_id, k.text as tag, k.word_id, {DIST.format('b', 'k')} as dist from rb b join tk k on {ON.format('b', 'k')} join sd on sd.doc_id = k.doc_id and sd.tag = k.text and sd.cls = b.rc where {DIST.format('b', 'k')} <= 140)
 select doc_id, page_no, det_id, arg_min(tag, (dist, word_id)) as tag, round(1 - min(dist) / 140, 6) as confidence from j group by 1, 2, 3""")
 def _(t):
-    valid = M.word_points(t.tokens).join(t.expected.select("doc_id", c("tag").alias("text")).distinct(), ["doc_id", "text"], "left_semi")
-    n = M.nearest_words(M.nearby_words(t.boxes, valid, 140), 1)
-    return n.select(*PAGE, "det_id", c("text").alias("tag"), F.round("confidence", 6).alias("confidence"))
+    b = t.boxes.selectExpr(*PAGE, "det_id", "case l_partkey % 4 when 0 then 'AD-GRD' when 1 then 'AD-SURF SUPPLY' when 2 then 'EXHAUST FAN' else 'SPLIT SYSTEM' end as cls", "x1", "y1", "x2", "y2")
+    s = t.expected.selectExpr("doc_id", "tag", "case exp_qty when 1 then 'AD-GRD' when 2 then 'AD-T-BAR SUPPLY' when 3 then 'FAN' else 'CONDENSING UNIT' end as cls")
+    return M.closest_valid_tag(b, M.word_points(t.tokens).withColumn("tag", c("text")), s, 140).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("distance_greedy_pairs", "G5", f"""with recursive {BOX_XY}, {TOK_XY},
@@ -317,12 +318,12 @@ def _(t):
 
 
 @query("band_fill", "G19 C5", """
-with bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi, 'b' || (row_no % 13) as band from {expected} where exp_qty = 1),
+with bd as (select doc_id, (row_no * 37) % 900 as lo, (row_no * 37) % 900 + 20 as hi, 'b' || (row_no % 13) as band from {expected}),
 it as (select doc_id, l_orderkey, l_partkey, l_suppkey, line_no, 20 + (l_partkey * 13) % 900 as cfm, case when l_suppkey % 3 = 0 then raw_size end as neck from {raw_items}),
 nd as (select distinct doc_id, cfm from it where neck is null), h as (select n.doc_id, n.cfm, arg_min(band, (lo, hi, band)) as band from nd n join bd on bd.doc_id = n.doc_id and n.cfm between lo and hi group by 1, 2)
 select it.doc_id, l_orderkey, l_partkey, l_suppkey, line_no, it.cfm, coalesce(neck, band) as neck, case when neck is not null then 'own' when band is not null then 'band' else 'none' end as origin from it left join h on h.doc_id = it.doc_id and h.cfm = it.cfm""")
 def _(t):
-    bands = t.expected.where("exp_qty = 1").selectExpr("doc_id", "(row_no * 37) % 900 as lo", "(row_no * 37) % 900 + 20 as hi", "'b' || (row_no % 13) as band")
+    bands = t.expected.selectExpr("doc_id", "(row_no * 37) % 900 as lo", "(row_no * 37) % 900 + 20 as hi", "'b' || (row_no % 13) as band")
     rows = t.raw_items.selectExpr("doc_id", "l_orderkey", "l_partkey", "l_suppkey", "line_no", "20 + (l_partkey * 13) % 900 as cfm", "case when l_suppkey % 3 = 0 then raw_size end as neck")
     return M.fill_from_band(rows, bands, ["doc_id"], "cfm", "neck", 32.0)
 

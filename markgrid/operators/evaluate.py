@@ -159,10 +159,11 @@ def calibrate(rows: DataFrame, curves: DataFrame, source: str, p: Column) -> Dat
 
 
 def isotonic(events: DataFrame, p: str, y: str):
-    """Monotone alternative: Spark's isotonic regression model."""
+    """Monotone alternative: Spark's isotonic regression over the distinct predictions, weighted by their events."""
     from pyspark.ml.regression import IsotonicRegression
 
-    return IsotonicRegression(featuresCol=p, labelCol=y).fit(events.select(c(p).cast("double"), c(y).cast("double")))
+    points = events.groupBy(c(p).cast("double").alias(p)).agg(F.avg(c(y).cast("double")).alias(y), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol=p, labelCol=y, weightCol="weight").fit(points)
 
 
 def coverage(rows: DataFrame, cls: str, held_out: Column, thin: int = 30) -> DataFrame:

@@ -135,9 +135,10 @@ def read_tables(items: DataFrame, keys=PAGE, tol: float = 80.0) -> DataFrame:
     """
     items = cut(items.select(*keys, "row_no", "item_id", "cx", "text"))
     heads = cut(header_rows(items, keys).select(*keys, "header_row"))
-    rows = items.select(*keys, "row_no").distinct().join(heads, keys).where(c("row_no") > c("header_row"))
-    block = rows.groupBy(*keys, "row_no").agg(F.max("header_row").alias("header_row"))
-    block = block.join(heads.withColumnRenamed("header_row", "row_no"), [*keys, "row_no"], "left_anti")
+    own = heads.withColumn("row_no", c("header_row"))
+    rows = items.select(*keys, "row_no").distinct().join(own, [*keys, "row_no"], "left")
+    block = carry_forward(rows, keys, "row_no", "header_row", "_last").where(c("header_row").isNull() & c("_last").isNotNull())
+    block = block.select(*keys, "row_no", c("_last").alias("header_row"))
     names = items.join(heads.withColumnRenamed("header_row", "row_no"), [*keys, "row_no"]).select(
         *keys, c("row_no").alias("header_row"), c("item_id").alias("col_id"), c("cx").alias("col_x"), c("text").alias("name"))
     body = _within(items.join(block, [*keys, "row_no"]), names, [*keys, "header_row"], "cx", "col_x", tol)
@@ -360,7 +361,3 @@ def field_cascade(lines: DataFrame, labels: dict[str, str], keys: list[str]) ->
     e = d.select(*keys, "line_no", F.explode(F.array(*cand)).alias("f")).select(*keys, "line_no", "f.*").where("value is not null")
     e = e.where(valid_field(c("field"), c("value")))
     return e.groupBy(*keys, "field").agg(F.min_by("value", F.struct("pass", "line_no")).alias("value"))
-
-
-def keyword_score(text: Column, words: list[str]) -> Column:
-    return hits(F.upper(text), words)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markgrid.functions.geom import distance, with_center
-from markgrid.functions.keys import alias_set
+from markgrid.functions.keys import alias_set, scalar_alias
 from markgrid.operators.kernels import mutual_best, serial_choice
 from markgrid.operators.spatial import near, near_radius, nearest, overlap_pairs, prefixed
 
@@ -93,6 +93,24 @@ def best_and_alternatives(pairs: DataFrame, k: int = 3, keys=PAGE) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when(c("rank") > 1, F.struct("rank", "text")))), lambda s: s["text"]).alias("alternatives"))
 
 
+def closest_valid_tag(boxes: DataFrame, tagged: DataFrame, schedule: DataFrame, radius: float, keys=PAGE, doc=("doc_id",)) -> DataFrame:
+    """Closest word that names a tag of the box's class, or of its single alias where the schedule lacks the class.
+
+    Classes of one tag are left to direct assignment. ``boxes``: cls; ``tagged``: word_id, tag, cx, cy; ``schedule``: cls, tag.
+    """
+    tags = schedule.select(*doc, "cls", "tag").distinct()
+    per = tags.groupBy(*doc, "cls").agg(F.count("*").alias("_n"))
+    want = boxes.select(*doc, "cls").distinct().withColumn("_alias", scalar_alias(c("cls")))
+    own, other = per.select(*doc, "cls", c("_n").alias("_own")), per.select(*doc, c("cls").alias("_alias"), c("_n").alias("_other"))
+    as_ = want.join(own, [*doc, "cls"], "left").join(other, [*doc, "_alias"], "left").where(F.coalesce("_own", "_other") >= 2)
+    as_ = as_.select(*doc, "cls", F.when(c("_own").isNotNull(), c("cls")).otherwise(c("_alias")).alias("_as"))
+    on = [*keys, "_as"]
+    lp = _points(with_center(boxes).join(as_, [*doc, "cls"]), "l_", on, ["det_id"])
+    rp = _points(tagged.join(tags.withColumnRenamed("cls", "_as"), [*doc, "tag"]), "r_", on, ["word_id", "tag"])
+    hit = near_radius(lp, rp, on, radius).groupBy(*keys, c("l_det_id").alias("det_id")).agg(F.min(F.struct("dist", "r_word_id", "r_tag")).alias("_hit"))
+    return hit.select(*keys, "det_id", c("_hit.r_tag").alias("tag"), (1 - c("_hit.dist") / radius).alias("confidence"))
+
+
 def closest_pairs(left: DataFrame, right: DataFrame, radius: float, lid: str, rid: str, keys=PAGE) -> DataFrame:
     """1:1 pairs, closest first, within the radius."""
     p = near_radius(_points(left, "l_", keys, [lid]), _points(right, "r_", keys, [rid]), keys, radius)

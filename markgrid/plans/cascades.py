@@ -59,8 +59,7 @@ def infer_tags(boxes: DataFrame, words: DataFrame, schedule: DataFrame, values:
     matched = cut(matched)
     l2b1 = level(M.longest_near_tag(open3, matched, 6 * radius), "bubble_detect", c("confidence"), c("new_cls"))
     open4 = _left_open(open3, l2b1)
-    n = M.nearest_words(M.nearby_words(open4, matched.withColumn("text", c("tag")), 1.4 * radius), 1)
-    l2b = level(n.withColumn("tag", c("text")), "bubble_ocr", c("confidence"))
+    l2b = level(M.closest_valid_tag(open4, matched, sched, 1.4 * radius), "bubble_ocr", c("confidence"))
     open5 = _left_open(open4, l2b)
     near = M.nearby_words(open5, words, 0.8 * radius).withColumn("value", F.coalesce(X.word_reading(c("text"))["cfm"], X.word_reading(c("text"))["size"]))
     near = near.where("value is not null").select(*PAGE, "det_id", c("word_id").alias("ord"), "value")
