@@ -149,8 +149,7 @@ def _(t):
     d = t.documents.join(t.labels.selectExpr("doc_id", "quality = 1 as q"), "doc_id", "left").groupBy("source").agg(F.expr("map_from_entries(collect_list(struct(cast(doc_id as string), q)))").alias("m"))
     # one record per file; nulls must survive
     d.select(F.to_json(F.create_map("source", "m"), {"ignoreNullFields": "false"}).alias("value")).repartition(8, "value").write.text(path)
-    r = t.spark.read.text(path).select(F.from_json("value", "map<string,map<string,boolean>>").alias("m")).select(F.explode("m").alias("pdf", "pages"))
-    return r.select("pdf", F.explode("pages").alias("page", "is_plan")).select("pdf", c("page").cast("int").alias("page_no"), "is_plan")
+    return R.page_truth(t.spark, path, lines=True)
 
 
 @query("snapshot_round_trip", "S12 J13", "select doc_id, count(distinct tag) as n_tags from {expected} group by 1")

@@ -81,18 +81,12 @@ def manifest(spark: SparkSession, path: str, contains: str | None = None) -> Dat
     return d.where(F.lower("name").contains(contains.lower())) if contains else d
 
 
-def page_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Three-valued page truth: file -> page -> true, false or null (unknown), nulls kept."""
-    d = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,boolean>>").alias("m"))
+def page_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Three-valued page truth: file -> page -> true, false or null (unknown), nulls kept; an object a file, or a line."""
+    d = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,map<string,boolean>>").alias("m"))
     return d.select(F.explode("m").alias("pdf", "pages")).select("pdf", F.explode("pages").alias("page", "is_plan")).select("pdf", c("page").cast("int").alias("page_no"), "is_plan")
 
 
-def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files under a folder: path, name, size."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), c("length").alias("bytes"))
-
-
 def first_of_name(files: DataFrame, include: str | None = None, exclude: str | None = None, prefer: list[str] | None = None) -> DataFrame:
     """One path per file name, tokens included and excluded; preferred folder words first, then path order."""
     if include:
@@ -103,15 +97,15 @@ def first_of_name(files: DataFrame, include: str | None = None, exclude: str | N
     return files.groupBy("name").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
 
 
-def takeoff_sheet(rows: DataFrame, keys: list[str], first: int = 10) -> DataFrame:
+def takeoff_sheet(rows: DataFrame, keys: list[str], first: int | None = None) -> DataFrame:
     """Quantity rows of a sheet given as keys, row_no, cells (array of strings).
 
-    The header is the first of the top rows with PRODUCT and QTY or COUNT; a blank product repeats
+    The header is the first row (of the first ``first``, if given) with PRODUCT and QTY or COUNT; a blank product repeats
     the one above; TOTAL rows and quantities of 0 or less are left out.
     """
     up = F.transform("cells", lambda x: F.upper(F.trim(F.coalesce(x, F.lit("")))))
     d = rows.withColumn("u", up)
-    is_head = (c("row_no") <= first) & F.array_contains("u", "PRODUCT") & (F.array_contains("u", "QTY") | F.array_contains("u", "COUNT"))
+    is_head = (F.lit(True) if first is None else c("row_no") <= first) & F.array_contains("u", "PRODUCT") & (F.array_contains("u", "QTY") | F.array_contains("u", "COUNT"))
     head = d.where(is_head).groupBy(*keys).agg(F.min_by(F.struct("row_no", "u"), "row_no").alias("_h"))
     at = lambda n: F.nullif(F.array_position("_h.u", n), F.lit(0))
     head = head.select(*keys, c("_h.row_no").alias("_head"), at("PRODUCT").alias("_p"), F.coalesce(at("QTY"), at("COUNT")).alias("_q"), at("TAG").alias("_t"))
@@ -130,15 +124,16 @@ TEAM_HEADERS = {
 
 
 def team_sheet(rows: DataFrame, keys: list[str], pivot: bool, products: list[str] | None = None) -> DataFrame:
-    """Team rows by (tag, neck). Raw sheets hold one row per instance (quantity = rows); pivot sheets
+    """Team rows by (tag, neck), below the first row that names a tag column. Raw sheets hold one row per instance (quantity = rows); pivot sheets
     carry a quantity and TOTAL rows, which are left out. ``products`` keeps rows naming one of them."""
     up = F.transform("cells", lambda x: F.upper(F.trim(F.coalesce(x, F.lit("")))))
     d = rows.withColumn("u", up)
-    head = d.where("row_no = 1").select(*keys, c("u").alias("_h"))
+    named = d.where(F.arrays_overlap("u", F.array(*[F.lit(n) for n in TEAM_HEADERS["tag"]])))
+    head = named.groupBy(*keys).agg(F.min("row_no").alias("_head"), F.min_by("u", "row_no").alias("_h"))
     col = lambda names: F.coalesce(*[F.nullif(F.array_position("_h", n), F.lit(0)) for n in names])
-    head = head.select(*keys, *[col(ns).alias("_" + f) for f, ns in TEAM_HEADERS.items()])
+    head = head.select(*keys, "_head", *[col(ns).alias("_" + f) for f, ns in TEAM_HEADERS.items()])
     cell = lambda f: F.when(c("_" + f).isNotNull(), F.get("u", (c("_" + f) - 1).cast("int")))
-    b = d.where("row_no > 1").join(head, keys).select(*keys, "row_no", base_tag(cell("tag")).alias("tag"), comparable_size(cell("neck")).alias("neck"),
+    b = d.join(head, keys).where(c("row_no") > c("_head")).select(*keys, "row_no", base_tag(cell("tag")).alias("tag"), comparable_size(cell("neck")).alias("neck"),
                                                       F.coalesce(cell("product"), F.lit("")).alias("product"), cell("qty").try_cast("int").alias("qty"), cell("cfm").try_cast("int").alias("cfm"))
     b = b.where("tag <> ''")
     if products:
