@@ -9,7 +9,7 @@ share splits them, and each part that still spans different continuations is a m
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +110,66 @@ def maximal_repeats(before: list[bytes], after: list[bytes], length: int, low: i
     return out
 
 
+def later_places(before: list[bytes], after: list[bytes], age: list[int], length: int, low: int, high: int) -> list[tuple[int, int, int]]:
+    """``member, left, right``: strings around the anchor that an older member has too, enough to cover all of them.
+
+    The interval tree is walked bottom-up as its stack scan closes intervals; every open interval keeps its members in the
+    order of what precedes them. When a child joins, only the members of the smaller side are looked up in the larger:
+    those that share ``left`` bytes before the anchor stand next to each other there, and their oldest decides. If it is
+    older, the member repeats it, else it repeats the member; all others of that stretch already repeat their oldest, with
+    a longer string. Walking outwards stops at the first older one or where the strings get too short.
+    """
+    n = len(after)
+    if n == 2:
+        right, left = shared(*after), min(high, shared(*before))
+        return [(0 if age[0] > age[1] else 1, left, right)] if left >= low and left + right >= length else []
+    order = sorted(range(n), key=after.__getitem__)
+    by_left = sorted(range(n), key=before.__getitem__)
+    lefts, rank = [before[k] for k in by_left], [0] * n
+    for r, k in enumerate(by_left):
+        rank[k] = r
+    ages = np.array([age[k] for k in by_left])
+    out: list[tuple[int, int, int]] = []
+
+    def join(a: np.ndarray, b: np.ndarray, right: int) -> np.ndarray:
+        small, big = (a, b) if len(a) <= len(b) else (b, a)
+        least = max(low, length - right)
+        for y in small.tolist():
+            i = j = int(np.searchsorted(big, y))  # big[i:j] shares `left` bytes with y
+            while True:
+                left = max(shared(lefts[y], lefts[big[i - 1]]) if i else -1, shared(lefts[y], lefts[big[j]]) if j < len(big) else -1)
+                left = min(left, high)
+                if left < least:
+                    break
+                head = lefts[y][:left]
+                i = int(np.searchsorted(big, bisect_left(lefts, head)))
+                j = int(np.searchsorted(big, bisect_left(lefts, head + b"\xff" * (length + 1)) if left else len(lefts)))
+                oldest = int(big[i + int(ages[big[i:j]].argmin())])
+                if ages[oldest] < ages[y]:
+                    out.append((by_left[y], left, right))
+                    break
+                out.append((by_left[oldest], left, right))
+                if left == least:
+                    break
+        return np.insert(big, np.searchsorted(big, small), small)
+
+    stack: list[list] = []  # common length and members of each open interval
+    one = np.array([rank[order[0]]])
+    for i in range(1, n + 1):
+        value = shared(after[order[i - 1]], after[order[i]]) if i < n else 0
+        value = value if value >= length - high else 0
+        while stack and stack[-1][0] > value:
+            right, members = stack.pop()
+            one = join(members, one, right)
+        if value and stack and stack[-1][0] == value:
+            stack[-1][1] = join(stack[-1][1], one, value)
+        elif value:
+            stack.append([value, one])
+        if i < n:
+            one = np.array([rank[order[i]]])
+    return out
+
+
 def pieces_key(before: bytes, after: bytes, length: int, low: int, high: int) -> int | None:
     """Key under which all strings meet whose part before the anchor has ``low`` to ``high`` bytes; None if there is none."""
     import xxhash
@@ -261,16 +321,24 @@ def search(around: DataFrame, length: int, low: int, high: int, keep_first: bool
         def done():
             import xxhash
 
-            t = pa.Table.from_batches(held)
-            if t.num_rows < 2:
+            if len(held) == 1 and held[0].num_rows < 2:
                 return None
+            t = pa.Table.from_batches(held)
             doc, pos, before, after = (t.column(c).to_pylist() for c in ("doc", "pos", "before", "behind"))
+            if not keep_first:
+                age = np.empty(len(doc), dtype=np.int64)
+                age[np.lexsort((pos, doc))] = np.arange(len(doc))
+                found = later_places(before, after, age.tolist(), length, low, high)
+                if not found:
+                    return None
+                cols = [doc[m] for m, _, _ in found], [pos[m] - x for m, x, _ in found], [pos[m] + y for m, _, y in found]
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array([False] * len(found)), pa.nulls(len(found), pa.int64())], schema=schema)
             rows = []
             for left, right, members in maximal_repeats(before, after, length, low, high):
                 earliest = min(members, key=lambda m: (doc[m], pos[m]))
                 m = members[0]
                 name = xxhash.xxh64_intdigest(before[m][:left][::-1] + after[m][:right])
-                rows += [(doc[m], pos[m] - left, pos[m] + right, m == earliest, name) for m in members if keep_first or m != earliest]
+                rows += [(doc[m], pos[m] - left, pos[m] + right, m == earliest, name) for m in members]
             if not rows:
                 return None
             d, s, e, z, g = zip(*rows)
@@ -335,7 +403,8 @@ def repeats(docs: DataFrame, length: int = 100, keep_first: bool = True) -> Data
 
     ``docs`` has unique long ``doc`` (the order of documents) and ``text``. ``string`` names equal strings and ``first`` the
     earliest place, by document and start. Together the places that are not first cover exactly the bytes of strings that
-    also start earlier. Rows for a string met before in the same surroundings are given with no ``string``.
+    also start earlier. Rows for a string met before in the same surroundings are given with no ``string``. Without
+    ``keep_first`` the list is only as long as it must be to cover these bytes, and names no strings.
     """
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes")
