@@ -107,13 +107,16 @@ def tiles(boxes: DataFrame, width: Column, height: Column, tile: int = 640, over
     """Boxes on every overlapping tile that holds their centre, clipped to it and normalised.
 
     Tiles start every ``tile - overlap`` pixels; the last are pushed back to the page edge. Each box
-    computes its own candidate starts.
+    computes its own first and last start, so a large page costs no more.
     """
     step = tile - overlap
     d = boxes.withColumns({"_cx": (c("x1") + c("x2")) / 2, "_cy": (c("y1") + c("y2")) / 2,
                            "_bw": F.greatest(F.lit(1), c("x2") - c("x1")), "_bh": F.greatest(F.lit(1), c("y2") - c("y1"))})
     for a, size, at in (("x", width, "_cx"), ("y", height, "_cy")):
-        start = F.explode(F.sequence(F.lit(0), size - 1, F.lit(step)))
+        first = F.greatest(F.lit(0), F.floor((c(at) - tile) / step) * step)
+        # all tiles pushed back to the edge start at the same pixel
+        last = F.when(c(at) >= size - tile, F.floor((size - 1) / step) * step).otherwise(F.floor(c(at) / step) * step)
+        start = F.explode(F.sequence(first.cast("int"), F.greatest(first, last).cast("int"), F.lit(step)))
         d = d.withColumn(f"t{a}", start).withColumn(f"_o{a}", F.greatest(F.lit(0), F.least(c(f"t{a}") + tile, size) - tile))
         d = d.withColumn(f"_t{a}", c(at) - c(f"_o{a}")).where((c(f"_t{a}") >= 0) & (c(f"_t{a}") < tile))
     lo = lambda a, b: F.greatest(F.lit(0.0), c(f"_t{a}") - c(b) / 2)

@@ -300,9 +300,11 @@ def longest_near_tag(boxes: DataFrame, matched: DataFrame, reach: float, bonus:
 
     ``matched``: keys, word_id, cx, cy, tag, tag_cls, matched_len.
     """
-    lp = _points(with_center(boxes), "l_", keys, ["det_id", "cls"])
-    rp = _points(matched, "r_", keys, ["word_id", "tag", "tag_cls", "matched_len"])
-    p = near_radius(lp, rp, keys, reach).where(F.array_contains(alias_set(c("l_cls")), c("r_tag_cls")))
+    # classes meet by equality before points do
+    on = [*keys, "_as"]
+    lp = _points(with_center(boxes).withColumn("_as", F.explode(alias_set(c("cls")))), "l_", on, ["det_id", "cls"])
+    rp = _points(matched.withColumn("_as", c("tag_cls")), "r_", on, ["word_id", "tag", "tag_cls", "matched_len"])
+    p = near_radius(lp, rp, on, reach)
     score = c("dist") - bonus * c("r_matched_len")
     row = F.min(F.struct(score.alias("score"), "r_word_id", "r_tag", "r_tag_cls", "dist")).alias("_hit")
     g = p.groupBy(*keys, c("l_det_id").alias("det_id"), c("l_cls").alias("cls")).agg(row)
@@ -388,7 +390,9 @@ def text_near_point(points: DataFrame, words: DataFrame, radius: float, run: int
             spell = F.concat(spell, c(f"_t{i}"))
         arr.append(F.when(spell.isNotNull(), F.struct(F.lit(i + 1).alias("n"), F.regexp_replace(F.upper(spell), "[^A-Z0-9]", "").alias("want"))))
     runs = runs.select(*keys, "word_id", c("x0").alias("cx"), c("y0").alias("cy"), F.explode(F.array_compact(F.array(*arr))).alias("s"))
-    runs = runs.select(*keys, "word_id", "cx", "cy", "s.n", "s.want").where("want <> ''")
+    # only runs that some point of the page asks for go on
+    wanted = points.select(*keys, "want").distinct()
+    runs = runs.select(*keys, "word_id", "cx", "cy", "s.n", "s.want").where("want <> ''").join(wanted, [*keys, "want"], "left_semi")
     p = near_radius(_points(points, "l_", [*keys, "want"], ["det_id"]), _points(runs, "r_", [*keys, "want"], ["word_id", "n"]), [*keys, "want"], radius)
     row = F.min(F.struct("dist", "r_word_id", "r_n")).alias("_hit")
     return p.groupBy(*keys, c("l_det_id").alias("det_id"), "want").agg(row).select(*keys, "det_id", "want", c("_hit.r_word_id").alias("word_id"), c("_hit.r_n").alias("n_words"), "_hit.dist")
