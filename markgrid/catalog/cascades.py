@@ -134,6 +134,11 @@ def _(t):
     return C.enrich_context(t.boxes, words(t), ["A-F"], ["N-O"]).select(*ID, "with_grille", "damper_type", "typical")
 
 
+@query("context_corners", "C4 N5", f"with cr as ({QUERIES['closed_rectangles'].sql}), m as (select distinct doc_id, page_no, unnest([t_id, b_id, l_id, r_id]) as det_id from cr) select s.doc_id, s.page_no, s.det_id, case when m.det_id is not null then 4 end as corners from {{strips}} s left join m using (doc_id, page_no, det_id)")
+def _(t):
+    return C.enrich_context(t.strips, words(t), ["F"], ["O"]).select(*ID, "corners")
+
+
 @query("context_statistics", "C4 N4 N5", f"""with bx as (select *, (x1 + x2) / 2e0 as cx, (y1 + y2) / 2e0 as cy from {{strips}}), {TOK_XY}, rm as ({QUERIES['run_merge'].sql}), cr as ({QUERIES['closed_rectangles'].sql}),
 o as (select * from bx where cls = 'F'), g as (select * from bx where cls = 'O'), w1 as (select distinct o.doc_id, o.page_no, o.det_id from o join g on {ON.format('o', 'g')} where {SQL_IOU.format('o', 'g')} > 0.05e0 or {DIST.format('o', 'g')} < 100),
 cd as (select distinct g.doc_id, g.page_no, g.det_id from g join tk on {ON.format('g', 'tk')} and tk.text = 'C.R.D.' and abs(tk.cx - g.cx) < 200 and abs(tk.cy - g.cy) < 200), ty as (select distinct b.doc_id, b.page_no, b.det_id from bx b join tk on {ON.format('b', 'tk')} and tk.text = 'TYP' and abs(tk.cx - b.cx) < 200 and abs(tk.cy - b.cy) < 200),
