@@ -14,14 +14,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-#: rows that a Python function sees at once; long texts make these slices, not whole Arrow batches, the unit of memory
-SLICE = 256
+#: bytes of an Arrow batch, the unit of memory of every Python function: both sides hold one whole; a longer text is alone
+BATCH_BYTES = 2 << 20
+#: rows that a Python function sees at once
+SLICE = 1024
+
+
+def bounded(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by any path that Spark reads."""
-    # an Arrow batch is held whole by both sides: few rows, as one text may be very long
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +50,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable], fields:
     ``make()`` runs once a task and returns ``f(values) -> one list or array per field``. Rows are neither joined nor
     reordered, so repeated rows, null ids and any further columns pass through; a column of a computed name is replaced.
     """
+    bounded(df.sparkSession)
     gone = {n for n, _ in fields} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in gone]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in fields]])
@@ -68,6 +74,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable], fields:
 
 def flat_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Any number of rows from each slice of rows: ``f(record batch) -> list of columns``."""
+    bounded(df.sparkSession)
     out = T._parse_datatype_string(schema)
     names, kinds = [f.name for f in out.fields], [to_arrow_type(f.dataType) for f in out.fields]
 
