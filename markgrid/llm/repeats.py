@@ -315,47 +315,48 @@ def search(around: DataFrame, length: int, low: int, high: int, keep_first: bool
     """Occurrences ``doc, start, end, first, string`` of the maximal repeats within each key of ``around``."""
 
     def f(batches):
+        import xxhash
+
         schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("string", pa.int64())])
-        key, held = None, []
+        rows: list[tuple] = []
+        key, held = None, [[], [], [], []]  # a key's doc, pos, before, behind
 
         def done():
-            import xxhash
-
-            if len(held) == 1 and held[0].num_rows < 2:
-                return None
-            t = pa.Table.from_batches(held)
-            doc, pos, before, after = (t.column(c).to_pylist() for c in ("doc", "pos", "before", "behind"))
+            doc, pos, before, after = held
+            if len(doc) < 2:
+                return
             if not keep_first:
-                age = np.empty(len(doc), dtype=np.int64)
-                age[np.lexsort((pos, doc))] = np.arange(len(doc))
-                found = later_places(before, after, age.tolist(), length, low, high)
-                if not found:
-                    return None
-                cols = [doc[m] for m, _, _ in found], [pos[m] - x for m, x, _ in found], [pos[m] + y for m, _, y in found]
-                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array([False] * len(found)), pa.nulls(len(found), pa.int64())], schema=schema)
-            rows = []
+                age = list(zip(doc, pos))
+                if len(doc) > 2:
+                    rank = {x: i for i, x in enumerate(sorted(age))}
+                    age = [rank[x] for x in age]
+                rows.extend((doc[m], pos[m] - left, pos[m] + right, False, None) for m, left, right in later_places(before, after, age, length, low, high))
+                return
             for left, right, members in maximal_repeats(before, after, length, low, high):
                 earliest = min(members, key=lambda m: (doc[m], pos[m]))
-                m = members[0]
-                name = xxhash.xxh64_intdigest(before[m][:left][::-1] + after[m][:right])
-                rows += [(doc[m], pos[m] - left, pos[m] + right, m == earliest, name) for m in members]
-            if not rows:
-                return None
-            d, s, e, z, g = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(z), pa.array(signed(g))], schema=schema)
+                name = xxhash.xxh64_intdigest(before[members[0]][:left][::-1] + after[members[0]][:right])
+                rows.extend((doc[m], pos[m] - left, pos[m] + right, m == earliest, int(signed([name])[0])) for m in members)
+
+        def out():
+            cols = list(zip(*rows)) or [[]] * 5
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
         for b in batches:
             k = b.column("key").to_numpy()
-            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else []
+            cols = [b.column(c).to_pylist() for c in ("doc", "pos", "before", "behind")]
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]).tolist() if len(k) else []
             for s, e in zip(at, [*at[1:], len(k)]):
-                if key is not None and k[s] != key:
-                    if (r := done()) is not None:
-                        yield r
-                    held = []
-                key = k[s]
-                held.append(b.slice(s, e - s))
-        if key is not None and (r := done()) is not None:
-            yield r
+                if k[s] != key:
+                    done()
+                    key, held = k[s], [[], [], [], []]
+                for h, c in zip(held, cols):
+                    h.extend(c[s:e])
+                if len(rows) > 1 << 16:
+                    yield out()
+            yield out()
+        done()
+        yield out()
 
     n = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return around.repartition(n, "key").sortWithinPartitions("key").mapInArrow(f, REPEATS)
