@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from markgrid.llm import mixing, secrets, simhash, toxicity
 from markgrid.llm.common import table
@@ -30,19 +31,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked fingerprints: the one of the smallest doc_id, once if its row is repeated."""
+    # a key without nulls, so that join and window share one exchange of the texts
+    keyed = lambda df: df.withColumns({"_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_none": F.col("doc_id").isNull()})
     marked = simhash.with_fingerprint(docs, name="_fp")
-    classes = simhash.near_classes(marked.select("doc_id", F.col("_fp").alias("fp"))).groupBy("doc_id", "fp").agg(F.min("component_id").alias("component_id"), F.count("*").alias("_n"))
-    classes = cut(classes)
-    named = classes.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print"), "component_id", "_n")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_print"))
-    kept = marked.join(named.where(~F.col("_id").eqNullSafe(F.col("component_id"))), same, "left_anti")
-    # fingerprints of one document id that are linked with each other, and repeated rows: once
-    again = named.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_id")
-    one = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = kept.join(again, one, "left_anti")
-    least = kept.join(again, one, "left_semi").join(named.select(F.col("_id").alias("_i"), F.col("_print").alias("_p"), "component_id"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_fp") == F.col("_p")))
-    root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))
-    return once.select(*docs.columns).unionByName(least.withColumn("_root", root).dropDuplicates(["_root"]).select(*docs.columns))
+    classes = simhash.near_classes(marked.select("doc_id", F.col("_fp").alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.col("fp").alias("_fp"))).alias("_first")
+    stay = classes.groupBy("root").agg(first).select("_first.doc_id", "_first._fp")
+    found = keyed(marked).join(keyed(stay).select("_id", "_none", "_fp"), ["_id", "_none", "_fp"])
+    once = Window.partitionBy("_id", "_none", "_fp").orderBy(F.xxhash64("text"))
+    return found.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,7 +201,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_classes(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
-    """``key, fp, component_id``: the smallest ``key`` reachable over links of at most ``radius`` differing bits.
+    """``key, fp, component_id, root``: the smallest ``key`` reachable over links of at most ``radius`` differing bits, and the
+    class, named by a fingerprint of it.
 
     ``prints`` has ``key, fp``. Copies meet as one fingerprint first, so a group of copies costs a partial aggregate per
     task. Rows of a null key keep a class, whose id is the smallest key that is not null, else null. Repeated rows stay.
@@ -211,8 +212,8 @@ def near_classes(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> Dat
     joined = components(links(least, radius), []).select(F.col("id").alias("fp"), "root")
     named = cut(least.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = named.join(smallest, "root").select("fp", "component_id", "root")
+    return prints.join(by_fp, "fp").select(key, "fp", "component_id", "root")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,4 +423,6 @@ def test_pipeline_of_edges(spark, docs, none, tmp_path):
 
 def test_repeated_rows_stay_once(spark, docs):
     out = corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()
+    twice = spark.createDataFrame([(5, "one text of five words here"), (5, "ganz anderer Text mit sechs Wörtern"), (5, "one text of five words here")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.without_near_duplicates(spark, twice, SF).collect()) == ["ganz anderer Text mit sechs Wörtern", "one text of five words here"]
     assert Counter(r["doc_id"] for r in out)[3] == 1 and Counter(r["doc_id"] for r in out)[4] == 0 and Counter(r["doc_id"] for r in out)[0] == 1
