@@ -77,22 +77,19 @@ def class_index(rows: DataFrame, cls: str, known: list[str], least: int = 30) ->
     return n.withColumn("idx", F.row_number().over(w) - 1)
 
 
-def leakage_guard(rows: DataFrame, name: Column, bench_text: DataFrame, text: str, shortest: int = 4, longest: int = 24) -> DataFrame:
+def leakage_guard(rows: DataFrame, name: Column, bench_text: DataFrame, text: str, shortest: int = 4) -> DataFrame:
     """Rows whose name holds no word (of at least ``shortest`` letters) of a benchmark text.
 
-    Names are short, so containment becomes an equi-join on their substrings; benchmark words
-    longer than ``longest`` letters are compared by their own length class.
+    Containment becomes an equi-join on the names' substrings, at the lengths that benchmark words have.
     """
     words = bench_text.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{%d,})" % shortest), 1)).alias("w")).distinct()
-    low = F.lower(name)
-    short = words.where(F.length("w") <= longest)
-    ids = rows.withColumn("_name", low)
-    hit_names = ids.select("_name").distinct().withColumn("w", F.explode(substrings(c("_name"), shortest, longest))).join(short, "w", "left_semi").select("_name").distinct()
-    # a longer word can only occur where its first `longest` letters do
-    long = words.where(F.length("w") > longest).withColumn("p", F.substring("w", 1, longest))
-    near = ids.select("_name").distinct().withColumn("p", F.explode(substrings(c("_name"), longest, longest))).join(long, "p")
-    hit_long = near.where(c("_name").contains(c("w"))).select("_name").distinct()
-    return ids.join(hit_names.unionByName(hit_long).distinct(), "_name", "left_anti").select(*rows.columns)
+    # as many numbers as words have lengths
+    lengths = sorted(r[0] for r in words.select(F.length("w")).distinct().collect())
+    if not lengths:
+        return rows
+    ids = rows.withColumn("_name", F.lower(name))
+    hit = ids.select("_name").distinct().withColumn("w", F.explode(substrings(c("_name"), lengths))).join(words, "w", "left_semi").select("_name").distinct()
+    return ids.join(hit, "_name", "left_anti").select(*rows.columns)
 
 
 def own_trade_schedule(name: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from markgrid.operators import aggregate, evaluate, match, reconcile, spatial
+from markgrid.operators import aggregate, evaluate, filters, match, reconcile, spatial
 
 
 def test_a_long_tag_is_found_inside_a_text(spark):
@@ -75,3 +75,26 @@ def test_brier_does_not_depend_on_order(spark):
     rows = [(i % 97 / 97, i % 3 == 0) for i in range(3000)]
     a, b = (evaluate.brier(spark.createDataFrame(r, "p double, y boolean").repartition(n), [], F.col("p"), F.col("y").cast("int")).first()["brier"] for r, n in ((rows, 7), (rows[::-1], 3)))
     assert a == b
+
+
+def test_leakage_guard_finds_words_of_any_length(spark):
+    long = "abcdefghijklmnopqrstuvwxyzabcd"
+    bench = spark.createDataFrame([(f"Some WORD and {long}",), (None,)], "text string")
+    names = ["x/someone", "x/wo/rd", "SWORDS", f"x{long}y", long[:-1], None, "", "x"]
+    rows = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    assert sorted(r["page_id"] for r in filters.leakage_guard(rows, F.col("url"), bench, "text").collect()) == [1, 4, 5, 6, 7]
+    assert filters.leakage_guard(rows, F.col("url"), bench.limit(0), "text").count() == len(names)
+
+
+def test_leakage_guard_against_sql(spark):
+    import duckdb
+
+    from markgrid.catalog.registry import load, runner
+    from markgrid.catalog.tables import BASE
+    from tools.check import rows
+
+    sf, con, q = "/root/testdata/sf0.001", duckdb.connect(), load()["leakage_guard"]
+    for t in BASE:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df, res = runner(q)(spark, sf), con.execute(q.sql)
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in res.description], res.fetchall())
