@@ -129,7 +129,7 @@ def filtered(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: st
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` has ``host, path, verdict`` (allow or block). A rule fits its host and the hosts below it where the URL's path
-    starts with the rule's; of those that fit the longest (host and path together) wins, else ``rule`` is null and the
+    starts with the rule's; of those that fit the longest (host and path together; of equal ones that of the longer host) wins, else ``rule`` is null and the
     verdict ``otherwise``. Null URLs and those without ``://`` have an empty host and path and fit none. Rules of null host
     or path are left out. The array holds at most ``MOST_BYTES`` of rules; beyond, the same keys are joined.
     """
@@ -177,7 +177,7 @@ def _joined(pages: DataFrame, rules: DataFrame, url: str, otherwise: str) -> Dat
     distinct = parted.select(F.concat_ws("\0", "host", "path").alias("_both")).distinct()
     tried = add_columns(distinct, "_both", keys, [("_keys", T.ArrayType(T.StringType()))]).select("_both", F.explode("_keys").alias("_key"))
     stored = rules.groupBy(F.concat_ws("\0", "host", "path").alias("_key")).agg(F.min("verdict").alias("_verdict"))
-    won = tried.join(stored, "_key").groupBy("_both").agg(F.max_by(F.struct("_key", "_verdict"), F.struct(F.length("_key"), "_key")).alias("_won"))
+    won = tried.join(stored, "_key").groupBy("_both").agg(F.max_by(F.struct("_key", "_verdict"), F.struct(F.length("_key"), F.length(F.substring_index("_key", "\0", 1)))).alias("_won"))
     out = parted.drop("rule", "verdict").withColumn("_both", F.concat_ws("\0", "host", "path")).join(won, "_both", "left")
     return out.withColumn("rule", F.replace(F.col("_won._key"), F.lit("\0"), F.lit(""))).withColumn("verdict", F.coalesce("_won._verdict", F.lit(otherwise))).drop("_both", "_won")
 

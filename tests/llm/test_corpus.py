@@ -373,6 +373,14 @@ def test_digests_that_collide_are_told_apart(tmp_path, monkeypatch):
     assert [a.key(j) for j in a.find([b"net\0/", b"com\0/"])] == [("net", "/"), ("com", "/")] and a.find([b"xyz\0/"])[0] == -1
 
 
+@pytest.mark.parametrize("most", [urls.MOST_BYTES, 1])
+def test_rules_of_equal_length_go_to_the_longer_host(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MOST_BYTES", most)
+    rules = spark.createDataFrame([("a.com", "/", "block"), ("com", "/xy", "allow")], "host string, path string, verdict string")
+    r = urls.filtered(spark.createDataFrame([(1, "x://a.com/xy")], "page_id long, url string"), rules).first()
+    assert (r["rule"], r["verdict"]) == ("a.com/", "block")
+
+
 def test_urls_without_pages_or_rules(spark):
     pages = spark.createDataFrame([(1, "x://a.com/")], "page_id long, url string")
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
