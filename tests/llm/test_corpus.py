@@ -257,6 +257,30 @@ def test_packing_against_the_tokenizer(spark):
     assert len(fill) <= 1.02 * total / 1024 + 1
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\n", "  <|endoftext|>  z", "<|endoftext| >", "don't <|ENDOFTEXT|> 漢<|endoftext|>字"])
+def test_added_tokens_have_their_own_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_files_that_tiktoken_cannot_cut_alike_are_run_by_tokenizers(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    path = tmp_path / "stripping.json"
+    path.write_text(json.dumps(spec))
+    text = "a   <|endoftext|> b"
+    assert packing.encoder(str(path))(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_edges(spark, docs, none):
     out = packing.packed_digests(docs)
     assert out.select("sequence_id", "offset").distinct().count() == out.count() >= docs.count()
