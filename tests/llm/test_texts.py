@@ -167,6 +167,46 @@ def test_windows_show_the_whole_candidate():
     assert seen.count("A") >= 200 and all(len(w) == secrets.WIDTH for w in secrets.windows(text, 10, 210) + secrets.windows("ab", 0, 2))
 
 
+def test_recall_alone_sets_the_threshold():
+    p = np.r_[np.linspace(0.3, 0.8, 100), np.linspace(0.0, 0.5, 100)]
+    y = np.r_[np.ones(100), np.zeros(100)]
+    at = secrets.threshold(p, y)
+    assert at < 0.9 and (p[:100] >= at).mean() == 0.98
+
+
+def test_runs_that_a_rule_covers_in_part_are_candidates():
+    key = "0123456789abcdef01234567"
+    text = f"see prefix_{key}MORE, {key} and longname_token=abcdefgh then short1 xy secret=abc AKIA{'B' * 16} z"
+    found = [text[a:b] for a, b in secrets.candidates(text, secrets.rule_spans(text))]
+    assert found == [f"prefix_{key}MORE", "longname_", "short1", "secret=abc"]
+    assert [text[a:b] for a, b in secrets.candidates(text, secrets.rule_spans(text), touched=False)] == ["short1", "secret=abc"]
+
+
+def test_a_key_that_a_rule_finds_in_part_is_masked_whole(spark):
+    class Sure(secrets.Network):
+        def probability(self, x):
+            return np.ones(len(x))
+
+    net = Sure()
+    net.threshold = 0.5
+    text = "a prefix_0123456789abcdef01234567MORE b"
+    assert [s[2] for s in secrets.find([text], net)[0]] == ["network", "hex"]
+    assert [s[:2] for s in secrets.find([None, "", text], net)[2]] == [(2, 37), (9, 33)]
+
+
+def test_vectorised_windows_and_convolution_are_the_plain_ones():
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcXYZ019_=/ .\n漢ü"), 900)) + "Q" * 130
+    found = secrets.candidates(text, [])
+    starts = [(s, b) for a, b in found for s in (range(a, max(a + 1, b - secrets.BODY // 2), secrets.BODY // 2) if b - a > secrets.BODY else (a,))]
+    want = secrets.encode([w for a, b in found for w in secrets.windows(text, a, b)])
+    pad = np.zeros(secrets.WIDTH, np.uint8)
+    x = np.concatenate([pad, secrets.codes(text), pad])
+    got = secrets.encoded_windows(x, *(np.array(c) + secrets.WIDTH for c in zip(*starts)))
+    net = secrets.Network()
+    assert (got == want).all() and np.allclose(net.logit(got), net.hidden(want)[2] @ net.p["w"] + net.p["b"], atol=1e-4)
+
+
 def test_language_on_the_held_out_fold(spark):
     got = {r["doc_id"]: r for r in QUERIES["op10_output_codes"](spark, MID).collect()}
     docs = table(spark, MID, "documents").collect()
