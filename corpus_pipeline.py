@@ -48,17 +48,25 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix. Only ids and sources are scheduled; rows of one id share its first place."""
-    slots = mixing.mix(docs.select("doc_id", "source"))
-    first = slots.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("position").alias("_position"))
+def places(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``doc_id, source, position`` of the mix. Only ids and sources are scheduled; rows of one id share its first place."""
+    slots = mixing.mix(docs.select("doc_id", "source"), weights)
+    return slots.groupBy("doc_id", "source").agg(F.min("position").alias("position"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """All documents in the order of the mix."""
+    first = places(docs, weights).withColumnsRenamed({"doc_id": "_id", "source": "_source", "position": "_position"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     return docs.join(first, same).orderBy("_position").select(*docs.columns)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens with every document's pieces placed."""
-    return packed_digests(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """Sequences of at most 1024 tokens with every document's pieces placed, in the order of the mix.
+
+    A table keeps no order, so the places are computed again from ids and sources; they are those of the stage before.
+    """
+    return packed_digests(docs, places(docs, weights))
 
 
 STAGES = [
@@ -72,11 +80,11 @@ STAGES = [
 ORACLE_SQL = None  # classifiers, fingerprints and token ids are beyond SQL; tests compare with a brute-force version
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next; ``weights`` are the targets of the mix."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, weights) if stage in (mixed, packed) else stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
     return docs

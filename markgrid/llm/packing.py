@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markgrid.llm.common import flat_rows, per_process, rank_within, table
+from markgrid.llm.common import flat_rows, ordered_rank, per_process, rank_within, table
 from markgrid.session import cut
 
 #: rows of all pieces that one part of the ranking holds
@@ -50,8 +50,8 @@ def encoder(path: str):
     return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a piece: ``key, piece, start, length, ids`` (little-endian 32-bit ids as binary).
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a piece: ``key, piece, start, length, ids`` (little-endian 32-bit ids as binary), then the columns ``carry``.
 
     A document is its ids followed by ``end_id``; null and empty texts are that id alone. Only documents of more than
     ``capacity`` ids are cut, into whole pieces of ``capacity``; their first piece holds what does not fill one.
@@ -69,12 +69,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
                 while a < n:
                     take.append(row), piece.append(k), start.append(a), length.append(b - a), ids.append(raw[4 * a : 4 * b])
                     a, b, k = b, b + capacity, k + 1
-            return [batch.column(0).take(pa.array(take, pa.int32())), piece, start, length, ids]
+            at = pa.array(take, pa.int32())
+            return [batch.column(0).take(at), piece, start, length, ids, *(batch.column(2 + i).take(at) for i in range(len(carry)))]
 
         return f
 
-    kind = docs.schema[key].dataType.simpleString()
-    return flat_rows(docs.select(key, text), make, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+    kind = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
+    return flat_rows(docs.select(key, text, *carry), make, ", ".join([kind(key), "piece int, start long, length long, ids binary", *map(kind, carry)]))
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -118,44 +119,63 @@ def _fill(plan, room, length: int, rank: int, left: int, first: int, n: int, r:
     return rank + used, left - used
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, order: list[str], by_order: bool = False) -> DataFrame:
     """Rows of ``pieces`` with ``sequence_id`` and ``offset``: as few sequences of at most ``capacity`` as best-fit
     decreasing needs, each filled without gaps from 0.
 
     ``length`` must lie in 1..capacity. ``order`` names columns that tell pieces apart; equal rows get slots of their
-    own. The slim input is written once, as it is counted and then placed. An empty table gives an empty table.
+    own. The slim input is written once, as it is counted and then placed. An empty table gives an empty table. With
+    ``by_order`` the pieces of a length take their slots in this order, else in a shuffle by hash, and sequences are numbered
+    by their first piece in it.
     """
     slim = cut(pieces)
     counts = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = best_fit_plan(counts, capacity)
     spark = pieces.sparkSession
     slots = spark.createDataFrame(plan, "_len long, _from long, _to long, _first long, _each long, _base long")
-    ranked = rank_within(slim, ["length"], order, sum(counts.values()), PART_ROWS, "_rank")
+    ranked = (ordered_rank if by_order else rank_within)(slim, ["length"], order, sum(counts.values()), PART_ROWS, "_rank")
     at = F.col("_rank") - F.col("_from")
     # the plan has a few rows for each of at most `capacity` lengths, whatever the number of pieces
-    return (
+    placed = (
         ranked.join(F.broadcast(slots), (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
         .withColumn("sequence_id", F.col("_first") + F.floor(at / F.col("_each")).cast("long"))
         .withColumn("offset", F.col("_base") + at % F.col("_each") * F.col("length"))
         .select(*pieces.columns, "sequence_id", "offset")
     )
+    if not by_order:
+        return placed
+    placed = cut(placed)
+    least = placed.groupBy("sequence_id").agg(F.min(F.struct(*order)).alias("_least"))
+    named = ordered_rank(least, [], ["_least", "sequence_id"], sum(counts.values()), PART_ROWS, "_named").select("sequence_id", "_named")
+    return placed.join(named, "sequence_id").withColumn("sequence_id", F.col("_named")).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, payload: dict[str, Column] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, payload: dict[str, Column] | None = None, key: str = "doc_id", text: str = "text", places: DataFrame | None = None) -> DataFrame:
     """Tokenize, cut and pack ``docs``: ``key, piece, start, length, <payload>, sequence_id, offset``.
 
     ``payload`` are columns of each piece's binary ``ids``; by default the ids themselves. Only they are written and moved.
+    ``places`` (``key, source, position``) gives each document's position, in whose order pieces are packed; rows without
+    one come first.
     """
     payload = {"ids": F.col("ids")} if payload is None else payload
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, key, text).select(key, "piece", "start", "length", *[c.alias(n) for n, c in payload.items()])
-    return pack(pieces, capacity, [key, "piece", "start"])
-
-
-def packed_digests(docs: DataFrame) -> DataFrame:
+    columns = [key, "piece", "start", "length", *payload]
+    carry = () if places is None else ("source",)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, key, text, carry).select(*columns[:4], *[c.alias(n) for n, c in payload.items()], *carry)
+    if places is None:
+        return pack(pieces, capacity, [key, "piece", "start"])
+    at = places.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("position").alias("_position"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
+    placed = pieces.join(at, same, "left").select(*columns, "_position")
+    # all columns: pieces that share a place are told apart, however many
+    out = pack(placed, capacity, ["_position", *columns], by_order=True)
+    return out.select(*columns, "sequence_id", "offset")
+
+
+def packed_digests(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """The packing with a checksum of each piece's ids."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), payload={"ids_crc32": F.crc32("ids")})
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), payload={"ids_crc32": F.crc32("ids")}, places=places)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,6 +444,30 @@ def test_pipeline_stage_by_stage(spark):
         docs = out
 
 
+def test_packing_follows_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 64)
+    docs = table(spark, SF, "documents")
+    sources = sorted({r["source"] for r in docs.select("source").collect()})
+
+    def run(weights):
+        table_ = spark.createDataFrame(weights, "source string, weight long")
+        at = {r["doc_id"]: r["position"] for r in corpus_pipeline.places(docs, table_).collect()}
+        return at, sorted(tuple(r) for r in corpus_pipeline.packed(spark, docs, SF, table_).collect())
+
+    (at, one), (_, other) = (run([(s, 1 + 30 * (s == hot)) for s in sources]) for hot in (sources[0], sources[-1]))
+    assert [r[:5] for r in one] == [r[:5] for r in other] and one != other
+    plan = {}
+    for length, a, b, first, each, base in packing.best_fit_plan(dict(Counter(r[3] for r in one)), 1024):
+        for rank in range(a, b):
+            plan[length, rank] = (first + (rank - a) // each, base + (rank - a) % each * length)
+    seen, want = Counter(), {}
+    for r in sorted(one, key=lambda r: (at[r[0]], r[:5])):
+        want[r[:5]] = plan[r[3], seen[r[3]]]
+        seen[r[3]] += 1
+    order = list(dict.fromkeys(want[r[:5]][0] for r in sorted(one, key=lambda r: (at[r[0]], r[:5]))))
+    assert all((order[r[5]], r[6]) == want[r[:5]] for r in one)
+
+
 def test_pipeline_of_edges(spark, docs, none, tmp_path):
     spark.createDataFrame([(3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for data, name in ((docs, "some"), (none, "none")):
