@@ -66,24 +66,26 @@ class Model:
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``first, last, score`` of a sequence that is ``-drift`` but for the given positions.
 
-    ``scores`` are ``position, positive score`` in order. Linear time: each position is pushed and merged once.
+    ``scores`` are ``position, positive score`` in order. Linear time: every segment links to the nearest earlier one that starts
+    from a lower sum, so a search passes over no segment twice.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
     total, at = 0.0, 0
     for pos, s in scores:
         total -= drift * (pos - at)
-        new = [pos, pos, total, total + s]
+        first, before = pos, total
         total, at = total + s, pos + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                found.append((first, pos, before, total, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            first, _, before, _, link = found[j]
             del found[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in found]
+            j = link
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 def evidence(text: str | None, model: Model, cache: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:

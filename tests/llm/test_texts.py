@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,29 @@ def test_segments_against_all_subsequences():
         assert sum(x[2] for x in found) == pytest.approx(sum(x[2] for x in want)) and max([x[2] for x in found], default=0) == max([x[2] for x in want], default=0)
 
 
+def test_segment_spans_by_the_definition():
+    rng = np.random.default_rng(3)
+    for n in [1, 2, 5, 20, 60] * 30:
+        s = [float(x) if x > 0 else -0.5 for x in rng.normal(-0.3, 1.5, n)]
+        rest, want = [(0, n)], []
+        while rest:
+            a, b = rest.pop()
+            best = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            if best[0] > 0:
+                _, i, j = best
+                want.append((i, j - 1))
+                rest += [(a, i), (j, b)]
+        assert [x[:2] for x in toxicity.segments([(i, x) for i, x in enumerate(s) if x > 0], 0.5)] == sorted(want)
+
+
+def test_segments_in_linear_time():
+    for gap, weight in ((50, 1.0), (3, 1.4), (1, 0.1)):
+        hits = [(gap * i, weight + i % 7 / 100) for i in range(1_000_000)]
+        start = time.process_time()
+        toxicity.segments(hits, 0.5)
+        assert time.process_time() - start < 6
+
+
 def test_toxicity_of_edges(spark, docs, none):
     for labels in ([(3, 1), (4, 0), (None, 1), (5, None)], []):
         table_ = spark.createDataFrame(labels, "doc_id long, toxic int")
