@@ -28,7 +28,7 @@ SPACE = "▁"
 #: kinds of pieces in model files; fixed values of the file format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: stretches of text whose pieces a Python worker remembers at least, and the longest of them in characters
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 400_000, 64
 #: characters up to which a scan for the best pair is faster than a heap
 SCANNED = 48
 
@@ -114,8 +114,8 @@ class Model:
     fallback: bool = False
     unknown_text: str = " ⁇ "
     rank: dict[str, int] = field(default_factory=dict)
-    cache: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
-    older: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         if USER in self.kinds:
@@ -231,38 +231,32 @@ class Model:
 
         return [q for p in part if p for q in used(p)]
 
-    def _stretch(self, s: str) -> tuple[bytes, bytes]:
-        """Ids of a stretch and how many normalised bytes each stands for."""
-        out = self.cache.get(s)
-        if out is not None:
-            return out
-        out = self.older.get(s)
+    def _stretch(self, s: str) -> bytes:
+        """Pairs of 32-bit numbers: the ids of a stretch, and how many normalised bytes each stands for."""
+        out = self.cache.get(s) or self.older.get(s)
         if out is None:
             joined = self.joined
             # merging never crosses two characters that no piece holds side by side
             cuts = [i for i in range(1, len(s)) if s[i - 1] + s[i] not in joined]
-            if cuts:
-                parts = [self._stretch(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]
-                out = b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
-            else:
-                out = self._merged_ids(s)
+            out = b"".join([self._stretch(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]) if cuts else self._merged_ids(s)
         if len(s) <= CACHED_CHARS:
             if len(self.cache) >= CACHED:
                 self.cache, self.older = {}, self.cache
             self.cache[s] = out
         return out
 
-    def _merged_ids(self, s: str) -> tuple[bytes, bytes]:
-        ids, width = array("I"), array("I")
+    def _merged_ids(self, s: str) -> bytes:
+        out = array("I")
         for p in self.merged(s):
             i, raw = self.rank.get(p), p.encode()
             if i is not None:
-                ids.append(i), width.append(len(raw))
+                out.append(i), out.append(len(raw))
             elif self.fallback:
-                ids.extend(self.bytes[b] for b in raw), width.extend([1] * len(raw))
+                for b in raw:
+                    out.append(self.bytes[b]), out.append(1)
             else:
-                ids.append(self.unknown), width.append(len(raw))
-        return ids.tobytes(), width.tobytes()
+                out.append(self.unknown), out.append(len(raw))
+        return out.tobytes()
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``ids, begins, ends``; begins and ends are bytes of the source text.
@@ -270,9 +264,9 @@ class Model:
         A character that falls back to bytes belongs to the last of its byte pieces; the others are empty at its start.
         """
         plain, origin = self.normalise(text) if text else (b"", np.array([0]))
-        found = [self._stretch(s) for s in self.stretch.findall(plain.decode())]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.uint32)
-        width = np.frombuffer(b"".join([f[1] for f in found]), np.uint32).astype(np.int64)
+        known, new = self.cache.get, self._stretch
+        found = np.frombuffer(b"".join([known(s) or new(s) for s in self.stretch.findall(plain.decode())]), np.uint32).reshape(-1, 2)
+        ids, width = found[:, 0], found[:, 1].astype(np.int64)
         if not len(ids):
             return ids, width, width
         stop = np.cumsum(width)
