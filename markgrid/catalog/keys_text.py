@@ -7,6 +7,7 @@ from markgrid.functions import geom as G
 from markgrid.functions import keys as K
 from markgrid.functions import text as X
 from markgrid.functions import vocab as V
+from markgrid.operators.inside import close_pairs
 
 c = F.col
 
@@ -172,6 +173,20 @@ def _(t):
     return rows.withColumn("close", K.close_tags(c("a"), c("b")))
 
 
+SQL_OCR = "map {'I':'1','L':'1','O':'0','Q':'0','D':'0','S':'5','Z':'2','B':'8','G':'6','T':'7'}"
+
+
+@query("fuzzy_tag_join", "T13", f"""
+with w as (select distinct doc_id, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') as word from {{tokens}}), g as (select distinct doc_id, regexp_replace(upper(tag), '[^A-Z0-9]', '', 'g') as tag from {{expected}})
+select doc_id, word, tag from w join g using (doc_id) where word <> '' and tag <> '' and abs(length(word) - length(tag)) <= 1 and case when word = tag then true
+ when length(word) = length(tag) then len(list_filter(generate_series(1, cast(length(word) as int)), lambda i: word[i] <> tag[i] and not (
+  coalesce({SQL_OCR}[word[i]] = tag[i], false) or coalesce({SQL_OCR}[tag[i]] = word[i], false)))) <= 1 else levenshtein(word, tag) <= 1 end""")
+def _(t):
+    words = t.tokens.select("doc_id", K.alnum_key(c("text")).alias("word"))
+    tags = t.expected.select("doc_id", K.alnum_key(c("tag")).alias("tag"))
+    return close_pairs(words, tags, ["doc_id"], "word", "tag")
+
+
 @query("slug_and_project", "T14", """
 with s as (select page_id, url, 'site ' || url || '__p' || page_id as stem from {pages})
 select page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') as slug, regexp_extract(stem, '(?s)^(.*)__p', 1) as project from s""")

@@ -8,6 +8,7 @@ from markgrid.catalog.registry import query
 from markgrid.functions import keys as K
 from markgrid.functions import text as X
 from markgrid.functions import vocab as V
+from markgrid.operators import assign as A
 from markgrid.operators import kernels as KN
 from markgrid.operators import match as M
 from markgrid.operators import reconcile as R
@@ -213,6 +214,21 @@ def _(t):
     return M.pair_sizes_greedy(M.size_edges(m, s)).select(*PAGE, c("l").alias("mark_id"), c("r").alias("size_id"))
 
 
+@query("mark_size_optimal", "G11", f"""with recursive {TOK_XY}, e9 as ({SQL_SIZE_EDGES}), ee as (select doc_id, page_no, l as a, r as b from e9 union select doc_id, page_no, r, l from e9),
+cc(doc_id, page_no, id, root) using key (doc_id, page_no, id) as (select distinct doc_id, page_no, a, a from ee union
+ select ee.doc_id, ee.page_no, ee.a, min(cc.root) from cc join ee on {ON.format('ee', 'cc')} and ee.b = cc.id join recurring.cc as rc on {ON.format('rc', 'ee')} and rc.id = ee.a where cc.root < rc.root group by 1, 2, 3),
+m9 as (select e9.doc_id, e9.page_no, root, l, list({{'r': r, 'cost': cost}}) as cs, row_number() over (partition by e9.doc_id, e9.page_no, root order by l) as k from e9 join cc on {ON.format('e9', 'cc')} and cc.id = e9.l group by 1, 2, 3, 4),
+-- every way to give each mark of a component a free size or none
+al(doc_id, page_no, root, k, used, total) as (select distinct doc_id, page_no, root, 0::bigint, []::bigint[], 0::double from m9
+ union all select al.doc_id, al.page_no, al.root, al.k + 1, case when o.r is null then used else list_append(used, o.r) end, total + coalesce(o.cost, 0)
+ from al join m9 on {ON.format('al', 'm9')} and al.root = m9.root and m9.k = al.k + 1, unnest(list_append(m9.cs, {{'r': null, 'cost': null}})) as u(o) where o.r is null or not list_contains(used, o.r)),
+la as (select al.*, row_number() over (partition by al.doc_id, al.page_no, al.root order by len(used) desc, total) as rk from al join (select doc_id, page_no, root, max(k) as k from m9 group by 1, 2, 3) z using (doc_id, page_no, root, k))
+select doc_id, page_no, cast(sum(len(used)) as bigint) as n_pairs, round(sum(total), 2) as total from la where rk = 1 group by 1, 2""")
+def _(t):
+    best = A.optimal_pairs(M.size_edges(*marks_sizes(t)), PAGE)
+    return best.groupBy(*PAGE).agg(F.count("*").alias("n_pairs"), F.round(F.sum("cost"), 2).alias("total"))
+
+
 @query("mark_size_components", "G11 D20", f"""with recursive {TOK_XY}, e9 as ({SQL_SIZE_EDGES}), ee as (select doc_id, page_no, l as a, r as b from e9 union select doc_id, page_no, r, l from e9),
 cc(doc_id, page_no, id, root) using key (doc_id, page_no, id) as (select distinct doc_id, page_no, a, a from ee union
  select ee.doc_id, ee.page_no, ee.a, min(cc.root) from cc join ee on {ON.format('ee', 'cc')} and ee.b = cc.id join recurring.cc as rc on {ON.format('rc', 'ee')} and rc.id = ee.a where cc.root < rc.root group by 1, 2, 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markgrid.functions import vocab as V
 from markgrid.functions.common import first_match, has_any, hits
 from markgrid.functions.keys import class_threshold
-from markgrid.operators.reconcile import substrings
+from markgrid.operators.inside import containing
 
 c = F.col
 
@@ -80,15 +80,11 @@ def class_index(rows: DataFrame, cls: str, known: list[str], least: int = 30) ->
 def leakage_guard(rows: DataFrame, name: Column, bench_text: DataFrame, text: str, shortest: int = 4) -> DataFrame:
     """Rows whose name holds no word (of at least ``shortest`` letters) of a benchmark text.
 
-    Containment becomes an equi-join on the names' substrings, at the lengths that benchmark words have.
+    Words are looked for in the different names by their rarest gram of ``shortest`` letters.
     """
     words = bench_text.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{%d,})" % shortest), 1)).alias("w")).distinct()
-    # as many numbers as words have lengths
-    lengths = sorted(r[0] for r in words.select(F.length("w")).distinct().collect())
-    if not lengths:
-        return rows
     ids = rows.withColumn("_name", F.lower(name))
-    hit = ids.select("_name").distinct().withColumn("w", F.explode(substrings(c("_name"), lengths))).join(words, "w", "left_semi").select("_name").distinct()
+    hit = containing(ids, words, [], "_name", "w", shortest).select("_name").distinct()
     return ids.join(hit, "_name", "left_anti").select(*rows.columns)
 
 

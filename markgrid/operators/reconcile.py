@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from markgrid.functions import vocab as V
 from markgrid.functions.common import rate, tier
 from markgrid.functions.keys import canonical_tag
+from markgrid.operators.inside import containing
 from markgrid.operators.spatial import overlap_pairs
 from markgrid.session import cut
 
@@ -295,18 +296,11 @@ def tag_by_value(readings: DataFrame, properties: DataFrame, keys: list[str], bo
     return hit.groupBy(*keys, *box).agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
 
 
-def substrings(text: Column, lengths: list[int]) -> Column:
-    """All distinct substrings of the given lengths; turns CONTAINS into an equi-join."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
-    return F.array_distinct(F.flatten(F.transform(fits, of)))
-
-
 def match_cascade(texts: DataFrame, tags: DataFrame, keys: list[str], tid: str | list[str], shortest: int = 2) -> DataFrame:
     """Text to scheduled tag: exact, else the part before a separator, else a tag inside the text.
 
     Later steps run only for texts the earlier ones left; in each the longest, then smallest tag wins. Inside a text,
-    tags of ``shortest`` characters or more are looked for, at the lengths that tags have.
+    tags of ``shortest`` characters or more are looked for, each by its rarest gram of that many characters.
     """
     tid = [tid] if isinstance(tid, str) else list(tid)
     norm = lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")
@@ -320,11 +314,9 @@ def match_cascade(texts: DataFrame, tags: DataFrame, keys: list[str], tid: str |
     split = rest.select(*keys, *tid, F.posexplode(heads).alias("pos", "_n")).join(tg, [*keys, "_n"])
     prefix = split.groupBy(*keys, *tid).agg(F.min_by("match", "pos").alias("match")).withColumn("strength", F.lit("prefix"))
     rest = rest.join(prefix, [*keys, *tid], "left_anti")
-    # as many numbers as tags have lengths
-    lengths = sorted(r[0] for r in tg.select(F.length("_n")).distinct().collect() if r[0] >= shortest)
-    if not lengths:
-        return exact.unionByName(prefix)
-    inside = rest.select(*keys, *tid, F.explode(substrings(c("_n"), lengths)).alias("_n")).join(tg, [*keys, "_n"])
+    held = containing(rest, tg.withColumnRenamed("_n", "_tag"), keys, "_n", "_tag", shortest)
+    found = held.join(tg.withColumnsRenamed({"_n": "_tag"}), [*keys, "_tag"])
+    inside = rest.select(*keys, *tid, "_n").join(found, [*keys, "_n"]).withColumn("_n", c("_tag"))
     return exact.unionByName(prefix).unionByName(best(inside, "fuzzy"))
 
 
