@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markgrid.llm.common import add_columns, bounded, share, table
-from markgrid.llm.turns import EMPTY, TURN_ORDER, numbered, tie_keys
+from markgrid.llm.turns import CRC_SQL, EMPTY, TURN_ORDER, numbered, tie_keys
 from markgrid.session import cut
 
 #: white space of the contracts, and what ends a sentence
@@ -324,3 +324,50 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repaired(damaged(rows), rows)
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _more(way: str, cost: str, letters: str) -> str:
+    return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{letters}'}}"
+
+
+def _steps_sql() -> str:
+    """One row of the recursion: insertions before the row, then what may be done with it. A cost of a billion is no way."""
+    enter = [
+        "v0", "v1",
+        _least("v2", _more("v0", "2", "I"), _more("v1", "2", "I"), _more("v3", "2", "I")),
+        _least("v3", _more("v0", "4", "II"), _more("v1", "4", "II"), _more("v2", "2", "I")),
+    ]
+    keep = lambda w, who: _more(w, f"case when keep = '{who}' then short else 1000000000 end", "K")
+    again = lambda w: _more(w, "case when keep = 'x' then 1000000000 else 2 + short end", "R")
+    to_user = [f(w) for w in ("w0", "w1", "w3") for f in (lambda x: keep(x, "u"), again)]
+    leave = [_more("w0", "3", "D"), _least(_more("w1", "3", "D"), keep("w0", "s")), _least(_more("w2", "3", "D"), *to_user), _least(_more("w3", "3", "D"), keep("w2", "a"), again("w2"))]
+    first = ", ".join(f"{x} as w{i}" for i, x in enumerate(enter))
+    then = ", ".join(f"{x} as v{i}" for i, x in enumerate(leave))
+    return f"select conv_id, k + 1 as k, {then} from (select st.conv_id, st.k, sy.keep, sy.short, {first} from st join sy on sy.conv_id is not distinct from st.conv_id and sy.k = st.k + 1) z"
+
+
+_NONE = "{'c': 1000000000::bigint, 'a': ''}"
+OP12_SQL = f"""
+with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, cast({CRC_SQL.format("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as int) as kind from conversations),
+da as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text from o, (select unnest([1, 2]) as copy) c where kind <> 0 and (copy = 1 or kind = 3)),
+nu as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from da),
+fa as (select *, regexp_replace(text, '[ \t\n\x0b\f\r]+$', '') as full_, min(k) over (partition by conv_id, role, text) as first_ from nu),
+fb as (select *, case when full_ = '' then 'blank' when k > first_ then 'duplicate' when right(full_, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, left(role, 1) as ini from fa),
+sy as (select conv_id, k, case when fault in ('blank', 'duplicate') then 'x' when ini in ('s', 'u', 'a') then ini else 'o' end as keep, case when fault = 'truncated' then 1 else 0 end as short from fb),
+st(conv_id, k, v0, v1, v2, v3) as (select distinct conv_id, 0::bigint, {{'c': 0::bigint, 'a': ''}}, {_NONE}, {_NONE}, {_NONE} from sy union all {_steps_sql()}),
+n as (select conv_id, max(k) as n from sy group by conv_id),
+be as (select st.conv_id, {_least("v0", "v3", _more("v2", "2", "I"), _more("v1", "4", "II"))} as best from st join n on n.conv_id is not distinct from st.conv_id and n.n = st.k),
+le as (select conv_id, best.a as audit, unnest(generate_series(1, length(best.a))) as i from be),
+lt as (select conv_id, i, audit[i] as letter, sum(case when audit[i] <> 'I' then 1 else 0 end) over w as k, sum(case when audit[i] <> 'D' then 1 else 0 end) over w as spot from le window w as (partition by conv_id order by i)),
+lr as (select lt.*, fb.role, case when letter = 'I' then '' else fb.text end as text, ini, max(case when spot = 1 and letter = 'K' and ini = 's' then 1 else 0 end) over (partition by lt.conv_id) as sys from lt left join fb on fb.conv_id is not distinct from lt.conv_id and fb.k = lt.k and letter <> 'I'),
+re as (select conv_id, string_agg(case when letter = 'K' then role when (spot - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by i) filter (where letter <> 'D') as whole from lr group by conv_id),
+ad as (select conv_id, ini || lead(ini) over (partition by conv_id order by k) as pair, k, lead(k) over (partition by conv_id order by k) as after from fb),
+il as (select conv_id, count(*) filter (where after is not null and pair not in ('su', 'ua', 'au')) as illegal from ad group by conv_id),
+co as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated from fb group by conv_id)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join co on co.conv_id is not distinct from a.conv_id left join il on il.conv_id is not distinct from a.conv_id
+left join be on be.conv_id is not distinct from a.conv_id left join re on re.conv_id is not distinct from a.conv_id"""

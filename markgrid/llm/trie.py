@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markgrid.llm.common import table
-from markgrid.llm.turns import EMPTY, LEAST, hashes, listed_digests, numbered, tie_keys
+from markgrid.llm.turns import CRC_SQL, EMPTY, LEAST, hashes, listed_digests, numbered, tie_keys
 from markgrid.session import cut, is_empty
 
 #: turns that one level of matrices covers
@@ -238,3 +238,20 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     their own; an empty table gives no node.
     """
     return prefix_trie(*with_shared_beginnings(turn_rows(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = f"""
+with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p from conversations where conv_id is not null),
+cv as (select c, count(*) as n, cast({CRC_SQL.format('c::varchar')} % {SHARED} as bigint) as h from t group by c),
+rb as (select cv.c, b.p, b.r, b.x from cv join t b on b.c = cv.c - cv.c % {FAMILY} and b.p <= cv.h
+ union all select t.c, least(cv.h, coalesce(bn.n, 0)) + t.p - cv.h, t.r, t.x from cv join t on t.c = cv.c left join cv bn on bn.c = cv.c - cv.c % {FAMILY} where t.p > cv.h),
+k as (select c, p as d, md5(string_agg(md5(r) || md5(x), '') over (partition by c order by p)) as key, length(x) as len from rb union all select c, 0, '', 0 from cv),
+m as (select c, max(d) as last from k group by c),
+up as (select distinct d, key, above from (select d, key, lag(key) over (partition by c order by d) as above from k) z),
+g as (select k.d, k.key, min(k.c) as conv_id, count(*) as n_convs, max(len) as len, coalesce(string_agg(k.c::varchar, ',' order by k.c) filter (where d = last), '') as ends from k join m on m.c = k.c group by k.d, k.key),
+ch as (select d - 1 as d, above as key, count(*) as n from up where d > 0 group by 1, 2),
+n as (select g.*, coalesce(ch.n, 0) as kids from g left join ch on ch.d = g.d and ch.key = g.key),
+below as (select distinct a.d, a.key, b.d as d2, b.key as key2 from k a join k b on a.c = b.c and b.d >= a.d),
+s as (select below.d, below.key, count(*) filter (where n.kids = 0) as leaves, sum((n.n_convs - 1) * n.len) as saved from below join n on n.d = d2 and n.key = key2 group by 1, 2)
+select n.conv_id, n.d as depth, pn.conv_id as parent_conv_id, n.n_convs, n.kids as n_children, s.leaves as n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from n join up on up.d = n.d and up.key = n.key join s on s.d = n.d and s.key = n.key left join n pn on pn.d = n.d - 1 and pn.key = up.above"""

@@ -20,6 +20,9 @@ TIE_CHARS = 32
 #: SHA-256 of the empty string
 EMPTY = hashlib.sha256(b"").hexdigest()
 LEAST = -(2**63)
+#: CRC-32 of a string of ASCII characters, as SQL
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::ubigint)),
+ lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda y, z: xor(y >> 1, (y & 1) * 3988292384::ubigint))), 4294967295::ubigint)"""
 
 
 def hashes(*columns: str) -> list[Column]:

@@ -188,3 +188,21 @@ def test_repair_edges(spark):
     assert got_repair(repair.repaired(repair.damaged(df), df)) == plain_repair(rows)
     none = df.limit(0)
     assert repair.repaired(repair.damaged(none), none).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op12_structure_repair", "op13_prefix_trie"])
+def test_sql_says_the_same_of_edges(name):
+    """The SQL of the queries on nulls, repeated rows and odd roles, against the plain versions."""
+    import duckdb
+    import pandas as pd
+
+    from markgrid.llm.registry import ORACLE_SQL
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, *range(230)]), rnd.choice([None, *range(9)]), rnd.choice(["user", "assistant", "system", "tool", None]), rnd.choice(["Done.", "cut", "", None, "漢字。", "x!"])) for _ in range(900)]
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    columns, plain = (REPAIR, plain_repair) if name.startswith("op12") else (TRIE, plain_trie)
+    got = con.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) q").fetchall()
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in got) == plain(rows)
