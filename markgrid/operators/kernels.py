@@ -1,25 +1,59 @@
-"""Order-dependent resolution as rounds of joins.
+"""Order-dependent resolution: a walk over sorted groups, and rounds of joins for groups too large for one task.
 
 Every kernel takes candidate edges, keyed by ``keys`` (for example document and page), and a
-strict total order. Each round settles every row whose outcome cannot depend on undecided
-rows, removes it, and writes the remainder to the shared folder, so plans stay short and lost
-executors cost one round at most. Only emptiness is read by the driver.
+strict total order. Spark deals the groups over tasks and sorts them; a task walks its groups in order
+and remembers only what is taken, so a chain of dependent rows costs one pass, however long.
+Groups of more than ``WALKED`` edges are resolved in rounds: each settles every row whose outcome cannot
+depend on undecided rows, removes it, and writes the remainder to the shared folder, so plans stay short
+and lost executors cost one round at most. The driver reads only emptiness. Both give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markgrid.session import cut, is_empty
 
+#: edges of a group that one task walks at most
+WALKED = 500_000
+
 
 def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else empty.limit(0)
 
 
+def _split(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of groups that one task can walk, and those of larger groups, if there are any."""
+    many = edges.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > WALKED).select(*keys)
+    if is_empty(many):
+        return edges, None
+    many = cut(many)
+    return edges.join(many, keys, "left_anti").select(*edges.columns), cut(edges.join(many, keys, "left_semi").select(*edges.columns))
+
+
+def _walk(edges: DataFrame, keys: list[str], order: list[str], read: list[str], taker: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The edges that are taken when each group is walked in ``order``. ``taker()`` starts a group; what it returns is
+    called with the columns ``read`` of one edge after another and says whether the edge is taken."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = take = None
+        for b in batches:
+            won = []
+            for i, (g, *x) in enumerate(zip(zip(*[b.column(k).to_pylist() for k in keys]), *[b.column(c).to_pylist() for c in read], strict=True)):
+                if g != group:
+                    group, take = g, taker()
+                if take(*x):
+                    won.append(i)
+            if won:
+                yield b.take(pa.array(won, pa.int64()))
+
+    return edges.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, edges.schema)
+
+
 def mutual_best(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Greedy 1:1 pairing over edges ``keys, l, r, *order`` taken in ascending ``order``.
 
@@ -28,9 +62,21 @@ def mutual_best(edges: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """
     rank = [c for c in order if c not in ("l", "r")] + ["l", "r"]
     cols = [*keys, *rank]
-    todo = cut(edges.select(*cols))
-    done: list[DataFrame] = []
-    while not is_empty(todo):
+    few, todo = _split(cut(edges.select(*cols)), keys)
+
+    def taker():
+        left, right = set(), set()
+
+        def take(le, ri) -> bool:
+            if le in left or ri in right:
+                return False
+            left.add(le), right.add(ri)
+            return True
+
+        return take
+
+    done = [cut(_walk(few, keys, rank, ["l", "r"], taker))]
+    while todo is not None and not is_empty(todo):
         best = F.min(F.struct(*rank)).alias("_best")
         by_l = todo.groupBy(*keys, "l").agg(best).select(*keys, "_best.*")
         by_r = todo.groupBy(*keys, "r").agg(best).select(*keys, F.col("_best.l").alias("l"), F.col("_best.r").alias("r"))
@@ -41,7 +87,7 @@ def mutual_best(edges: DataFrame, keys: list[str], order: list[str]) -> DataFram
             .join(won.select(*keys, "r"), [*keys, "r"], "left_anti")
             .select(*cols)
         )
-    return _union(done, todo)
+    return reduce(DataFrame.unionByName, done)
 
 
 def serial_choice(
@@ -57,9 +103,25 @@ def serial_choice(
     p = prefer if "r" in prefer else [*prefer, "r"]
     extra = [consume] if consume and consume not in p else []
     cols = list(dict.fromkeys([*keys, *t, *p, *extra]))
-    todo = cut(edges.select(*cols))
-    done: list[DataFrame] = []
-    while not is_empty(todo):
+    few, todo = _split(cut(edges.select(*cols)), keys)
+
+    def taker():
+        used = set()
+        chose = object()
+
+        def take(le, ri, takes=True) -> bool:
+            nonlocal chose
+            if le == chose or ri in used:
+                return False
+            chose = le
+            if takes:
+                used.add(ri)
+            return True
+
+        return take
+
+    done = [cut(_walk(few, keys, [*t, *p, *extra], ["l", "r", *([consume] if consume else [])], taker))]
+    while todo is not None and not is_empty(todo):
         best = (
             todo.groupBy(*keys, *t)
             .agg(F.min(F.struct(*p, *extra)).alias("_best"))
@@ -74,7 +136,48 @@ def serial_choice(
             .join(taken.select(*keys, "r"), [*keys, "r"], "left_anti")
             .select(*cols)
         )
-    return _union(done, todo)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _worse(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, lo`` of what greedy suppression removes, a group at a time: a row is decided when all better ones are."""
+    out = edges.select(*keys, "lo").schema
+
+    def removed(pairs: list[tuple]) -> list:
+        after, open_ = {}, {}
+        for hi, lo in pairs:
+            after.setdefault(hi, []).append(lo)
+            open_[lo] = open_.get(lo, 0) + 1
+        ready, gone = [x for x in after if x not in open_], {}
+        while ready:
+            x = ready.pop()
+            for lo in after.get(x, ()):
+                if x not in gone:
+                    gone[lo] = True
+                open_[lo] -= 1
+                if not open_[lo]:
+                    ready.append(lo)
+        return list(gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pairs, kinds = None, [], None
+
+        def result() -> pa.RecordBatch:
+            ids = removed(pairs)
+            return pa.RecordBatch.from_arrays([*[pa.array([g] * len(ids), t) for g, t in zip(group, kinds[:-1])], pa.array(ids, kinds[-1])], names=[*keys, "lo"])
+
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in [*keys, "lo"]]
+            for g, hi, lo in zip(zip(*[b.column(k).to_pylist() for k in keys]), b.column("hi").to_pylist(), b.column("lo").to_pylist()):
+                if g != group:
+                    if pairs:
+                        yield result()
+                    group, pairs = g, []
+                pairs.append((hi, lo))
+        if pairs:
+            yield result()
+
+    return edges.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,9 +186,9 @@ def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
     A row with no undecided better neighbour is kept; every row next to a kept better one is
     suppressed; edges of settled rows leave. Rows without edges never enter.
     """
-    todo = cut(edges.select(*keys, "hi", "lo").distinct())
-    gone: list[DataFrame] = []
-    while not is_empty(todo):
+    few, todo = _split(cut(edges.select(*keys, "hi", "lo").distinct()), keys)
+    gone = [cut(_worse(few, keys))]
+    while todo is not None and not is_empty(todo):
         kept = todo.select(*keys, "hi").distinct().join(
             todo.select(*keys, F.col("lo").alias("hi")).distinct(), [*keys, "hi"], "left_anti"
         )
@@ -97,7 +200,7 @@ def suppressed(edges: DataFrame, keys: list[str]) -> DataFrame:
             .join(out.withColumnRenamed("lo", "hi"), [*keys, "hi"], "left_anti")
             .select(*keys, "hi", "lo")
         )
-    return _union(gone, todo.select(*keys, "lo")).select(*keys, F.col("lo").alias("id"))
+    return reduce(DataFrame.unionByName, gone).select(*keys, F.col("lo").alias("id"))
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from markgrid.operators import kernels as KN
@@ -12,6 +13,14 @@ from markgrid.operators import suppress as S
 N = 150
 
 
+@pytest.fixture(autouse=True, params=["walked", "rounds"])
+def way(request, monkeypatch):
+    """Every kernel as a walk over groups, and as rounds of joins."""
+    if request.param == "rounds":
+        monkeypatch.setattr(KN, "WALKED", 0)
+    return request.param
+
+
 def graphs(seed):
     r = random.Random(seed)
     for g in range(N):
@@ -181,3 +190,15 @@ def test_diff_is_one_to_one(spark):
     assert n == m.select("doc_id", "page_no", "l").distinct().count() == m.select("doc_id", "page_no", "r").distinct().count()
     d = M.revision_diff(a, b)
     assert d.where("det_id is not null").count() == 120
+
+
+def test_long_chain_in_few_jobs(spark, way):
+    """Each row's choice depends on the one before: 5,000 of them take one walk."""
+    n = 5000 if way == "walked" else 6
+    rows = [(1, i, r) for i in range(n) for r in ((i - 1, i) if i else (0,))]
+    df = spark.createDataFrame(rows, "doc_id long, l long, r long").withColumn("turn", F.col("l")).withColumn("pick", F.col("r"))
+    got = {(x.l, x.r) for x in KN.serial_choice(df, ["doc_id"], ["turn"], ["pick", "r"]).collect()}
+    assert got == {(i, i) for i in range(n)}
+    pairs = df.where("l <> r or l = 0").select("doc_id", F.col("r").alias("hi"), F.col("l").alias("lo")).where("hi <> lo")
+    gone = {x.id for x in KN.suppressed(pairs, ["doc_id"]).collect()}
+    assert gone == set(range(1, n, 2))
