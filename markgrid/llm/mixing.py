@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from markgrid.llm.common import rank_within, table
+from markgrid.session import cut
 
 #: documents a block
 BLOCK_DOCS = 16
@@ -35,9 +36,9 @@ def tempered(docs: DataFrame, source: str = "source", period: int = PERIOD) -> D
 def period_schedule(weights: DataFrame) -> DataFrame:
     """``source, weight, period, turn, slot``: where each block of one period goes, earliest deadline first.
 
-    ``weights`` is the table of target weights, one row a source (its size is the user's choice, not the corpus's). Ties of
-    deadline go to the smaller source; a null source comes first. At every slot a source has had between w t - 1 and
-    w t + 1 blocks, both excluded.
+    ``weights`` is the table of target weights, one row a source. One task folds over the slots of a period, with work in
+    proportion to its slots times its sources. Ties of deadline go to the smaller source; a null source comes first. At every
+    slot a source has had between w t - 1 and w t + 1 blocks, both excluded.
     """
     one = weights.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "weight"))).alias("all")).where(F.size("all") > 0)
     one = one.withColumn("period", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["weight"]))
@@ -51,9 +52,9 @@ def period_schedule(weights: DataFrame) -> DataFrame:
                 i.alias("i"),
             ),
         )
-        best = F.array_min(due)["i"]
-        had = F.transform(state["had"], lambda h, i: h + F.when(i == best, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.struct(had.alias("had"), F.concat(state["order"], F.array(best)).alias("order"))
+        # an array of one element binds the pick, so that it is made once a slot
+        after = lambda best: F.struct(F.transform(state["had"], lambda h, i: h + (i == best).cast("long")).alias("had"), F.concat(state["order"], F.array(best)).alias("order"))
+        return F.transform(F.array(F.array_min(due)["i"]), after)[0]
 
     start = F.struct(F.transform("all", lambda _: F.lit(0).cast("long")).alias("had"), F.array().cast("array<int>").alias("order"))
     folded = one.select("all", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda s: s["order"]).alias("order"))
@@ -77,15 +78,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLO
     own = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("_n"))
     weights = tempered(docs, source) if weights is None else weights.select("source", "weight")
     given = own.join(weights.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).cast("long").alias("weight"))
-    plan = period_schedule(given)
+    # written, so that their true sizes decide how they are joined
+    given = cut(given)
+    plan = cut(period_schedule(given))
     ranked = rank_within(docs, [source], [key], rows, PART_ROWS, "_rank")
     at = F.floor(F.col("_rank") / block_docs).cast("long")
     # the schedule has one row a slot of one period, whatever the number of documents
     placed = (
         ranked.withColumn("block", at)
-        .join(F.broadcast(given.withColumnRenamed("source", "_s").withColumnRenamed("weight", "_w")), F.col(source).eqNullSafe(F.col("_s")))
+        .join(given.withColumnRenamed("source", "_s").withColumnRenamed("weight", "_w"), F.col(source).eqNullSafe(F.col("_s")))
         .withColumn("_turn", F.col("block") % F.col("_w"))
-        .join(F.broadcast(plan.select(F.col("source").alias("_p"), "period", "turn", F.col("slot").alias("_slot"))), F.col(source).eqNullSafe(F.col("_p")) & (F.col("_turn") == F.col("turn")))
+        .join(plan.select(F.col("source").alias("_p"), "period", "turn", F.col("slot").alias("_slot")), F.col(source).eqNullSafe(F.col("_p")) & (F.col("_turn") == F.col("turn")))
         .withColumn("_round", F.floor(F.col("block") / F.col("_w")).cast("long"))
         .withColumn("slot", F.col("_round") * F.col("period") + F.col("_slot"))
     )
