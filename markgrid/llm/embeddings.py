@@ -1,31 +1,36 @@
 """Embedding near-duplicates by a forest of random projection trees.
 
 Every tree splits the sphere by random directions; vectors near a split go to both sides. Trees are fitted on a bounded
-sample, every vector is dropped into all of them, and vectors that share a leaf are compared exactly. A pair that meets in
-several leaves counts in the first only, so links are counted without listing pairs; leaves return spanning forests.
+sample and every vector is dropped into all of them; leaves that are still too large are split again by a tree grown on a
+sample of their own rows, in rounds until none is left, so leaves stay small however large the table is. Vectors that share
+a leaf are compared exactly. A pair that meets in several leaves counts in the first only, so links are counted without
+listing pairs; leaves return spanning forests.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markgrid.llm.common import flat_rows, share, table
+from markgrid.llm.common import SLICE, bounded, flat_rows, share, table
 from markgrid.operators.kernels import components
-from markgrid.session import cut
+from markgrid.session import cut, is_empty
 
-#: trees, and vectors that they are fitted on at most (by a hash)
-TREES, FIT_ROWS = 4, 65_536
+#: trees, vectors that they are fitted on at most (by a hash), and bytes of these vectors in double precision
+TREES, FIT_ROWS, FIT_BYTES = 4, 65_536, 64 << 20
+#: rows of a leaf that is too large that its own tree is grown on, and rows that pass one copy of this tree
+OWN_ROWS, PASS_ROWS = 4096, 65_536
 #: vectors a leaf should have, sample rows a split needs, tries for a split that parts its rows
 LEAF_ROWS, SPLIT_ROWS, TRIES = 1024, 32, 4
 #: half-width of the overlap at a split, in standard deviations of the projected distance of vectors just linked
 SPILL = 0.4
 #: a leaf of more rows is compared as pairs of blocks of about so many
 BLOCK_ROWS = 4096
-#: rows of a block that are multiplied at once, and pairs up to which links are walked one by one
-STEP, FEW = 512, 20_000
+#: rows of a block that are multiplied at once
+STEP = 512
 
 
 def normal(vectors: list[list[float]]) -> np.ndarray:
@@ -35,25 +40,30 @@ def normal(vectors: list[list[float]]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def grow(x: np.ndarray, rows: int, margin: float, r: np.random.Generator) -> list[tuple[np.ndarray | None, float, int, int]]:
-    """A tree over ``x`` that stands for ``rows`` vectors: nodes ``direction (None: leaf), value, left, right``."""
-    nodes: list[tuple[np.ndarray | None, float, int, int]] = []
+def direction(seed: int, size: int) -> np.ndarray:
+    """The random direction of a seed; trees hold seeds, so that they are small at any length of vectors."""
+    d = np.random.default_rng(seed).normal(size=size)
+    return d / np.sqrt(d @ d)
+
+
+def grow(x: np.ndarray, rows: int, margin: float, r: np.random.Generator) -> list[tuple[int, float, int, int]]:
+    """A tree over ``x`` that stands for ``rows`` vectors: nodes ``seed (-1: leaf), value, left, right``."""
+    nodes: list[tuple[int, float, int, int]] = []
     each = rows / max(1, len(x))
 
     def build(at: np.ndarray) -> int:
         me = len(nodes)
-        nodes.append((None, 0.0, 0, 0))
+        nodes.append((-1, 0.0, 0, 0))
         if len(at) < SPLIT_ROWS or len(at) * each <= LEAF_ROWS:
             return me
         for _ in range(TRIES):
-            d = r.normal(size=x.shape[1])
-            d /= np.sqrt(d @ d)
-            p = x[at] @ d
+            seed = int(r.integers(2**62))
+            p = x[at] @ direction(seed, x.shape[1])
             v = float(np.quantile(p, r.uniform(0.4, 0.6)))
             left, right = at[p <= v + margin], at[p >= v - margin]
             # a heap that is narrower than the overlap stays whole
             if max(len(left), len(right)) <= 0.8 * len(at):
-                nodes[me] = (d, v, build(left), build(right))
+                nodes[me] = (seed, v, build(left), build(right))
                 break
         return me
 
@@ -61,6 +71,11 @@ def grow(x: np.ndarray, rows: int, margin: float, r: np.random.Generator) -> lis
     return nodes
 
 
+def planted(nodes: list[tuple[int, float, int, int]], size: int) -> list[tuple[np.ndarray | None, float, int, int]]:
+    """A tree with its directions drawn."""
+    return [(None if seed < 0 else direction(seed, size), v, left, right) for seed, v, left, right in nodes]
+
+
 def leaves(x: np.ndarray, trees: list, margin: float) -> list[list[int]]:
     """For each row, the leaves it falls into over all trees, ascending; a leaf is ``tree * 2**24 + node``."""
     out: list[list[int]] = [[] for _ in range(len(x))]
@@ -133,6 +148,78 @@ def compare(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, mx: np
     return nx, ny, list(zip(moved.tolist(), root[moved].tolist()))
 
 
+def own_trees(found: DataFrame, margin: float) -> DataFrame:
+    """A tree for each leaf of ``leaf, n, vec``, grown on a sample of about ``OWN_ROWS`` of its ``n`` rows."""
+    bounded(found.sparkSession)
+    some = found.where(F.pmod(F.xxhash64("cid", "leaf"), F.col("n")) < OWN_ROWS).select("leaf", "n", "vec")
+
+    def tree(t: pa.Table) -> pa.Table:
+        leaf = t.column("leaf")[0].as_py()
+        nodes = grow(normal(t.column("vec").to_pylist()), t.column("n")[0].as_py(), margin, np.random.default_rng(leaf))
+        return pa.table({"leaf": [leaf], "n": t.column("n")[:1], "nodes": pa.array([[dict(zip(("seed", "value", "left", "right"), x)) for x in nodes]], NODES)})
+
+    return some.groupBy("leaf").applyInArrow(tree, "leaf long, n long, nodes array<struct<seed:long,value:double,left:int,right:int>>")
+
+
+NODES = pa.list_(pa.struct([("seed", pa.int64()), ("value", pa.float64()), ("left", pa.int32()), ("right", pa.int32())]))
+
+
+def split_to_the_end(met: DataFrame, size: int, margin: float) -> DataFrame:
+    """``met`` (``leaf, cid, vec, copies, leaves``) without leaves of more than ``BLOCK_ROWS`` rows that can be split.
+
+    A round splits all leaves that are too large at once: each has a tree grown on a bounded sample of its own rows, and its
+    rows, in parts of about ``PASS_ROWS``, stream behind a copy of it. A child is never more than four fifths of the sample,
+    so rounds end; a heap narrower than the overlap stays whole. ``leaves`` is gathered anew if anything was split.
+    """
+    spark = met.sparkSession
+    columns, kind = ["leaf", "cid", "vec", "copies"], met.schema["vec"].dataType.simpleString()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def large(rows: DataFrame) -> DataFrame:
+        return cut(rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS))
+
+    def split(batches):
+        forest, leaf = [], 0
+        for batch in batches:
+            first = np.flatnonzero(batch.column("cid").is_null().to_numpy(zero_copy_only=False))
+            for s, e in zip([0, *first], [*first, batch.num_rows]):
+                if s < e and batch.column("nodes")[int(s)].is_valid:
+                    leaf = batch.column("leaf")[int(s)].as_py()
+                    forest = [planted([(x["seed"], x["value"], x["left"], x["right"]) for x in batch.column("nodes")[int(s)].as_py()], size)]
+                    s += 1
+                for i in range(s, e, SLICE):
+                    rows = batch.slice(i, min(SLICE, e - i))
+                    found = leaves(normal(rows.column("vec").to_pylist()), forest, margin)
+                    row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                    # where two names collide, more rows are compared; a row that is in both counts once there
+                    names = {node: xxhash.xxh64_intdigest(f"{leaf}:{node}") >> 1 for node in {node for x in found for node in x}}
+                    new = [names[node] if len(forest[0]) > 1 else leaf for x in found for node in x]
+                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), *(rows.column(c).take(row) for c in columns[1:]), pa.array([len(forest[0]) == 1] * len(new), pa.bool_())], names=[*columns, "whole"])
+
+    sizes = large(met.select("leaf"))
+    if is_empty(sizes):
+        return met
+    todo, done = cut(met.select(*columns)), []
+    while not is_empty(sizes):
+        found = todo.join(sizes, "leaf")
+        done.append(todo.join(sizes, "leaf", "left_anti"))
+        parts = F.ceil(F.col("n") / PASS_ROWS).cast("int")
+        trees = cut(own_trees(found, margin)).select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "nodes")
+        rows = found.select("leaf", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), *columns[1:])
+        both = trees.unionByName(rows, allowMissingColumns=True).select("leaf", "part", "cid", "vec", "copies", "nodes")
+        dealt = both.repartition(n, "leaf", "part").sortWithinPartitions("leaf", "part", F.col("cid").asc_nulls_first())
+        todo = cut(dealt.mapInArrow(split, f"leaf long, cid long, vec {kind}, copies long, whole boolean"))
+        done.append(todo.where("whole").drop("whole"))
+        todo = todo.where("not whole").drop("whole")
+        sizes = large(todo.select("leaf"))
+    met = todo
+    for rows in done:
+        met = met.unionByName(rows)
+    met = cut(met)
+    lists = met.groupBy("cid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    return met.join(lists, "cid")
+
+
 def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """Links of distinct vectors ``cid, vec, copies`` (a written table, one length, all finite, none zero).
 
@@ -140,24 +227,28 @@ def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[Da
     """
     spark = vectors.sparkSession
     rows = vectors.count()
-    part = max(1, 2 * rows // FIT_ROWS)
-    sample = normal([list(r[0]) for r in vectors.where(F.pmod(F.xxhash64("vec"), F.lit(part)) == 0).select("vec").limit(FIT_ROWS).collect()] or [[1.0]])
-    margin = SPILL * float(np.sqrt(2 * max(0.0, 1 - least)) / np.sqrt(sample.shape[1]))
+    size = (vectors.select(F.size("vec")).first() or [1])[0]
+    most = max(SPLIT_ROWS, min(FIT_ROWS, FIT_BYTES // (8 * size)))
+    part = max(1, 2 * rows // most)
+    taken = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(part)) == 0).select("vec").limit(most).toArrow().column(0)
+    sample = normal(taken.combine_chunks().flatten().to_numpy().reshape(-1, size)) if len(taken) else np.ones((1, size))
+    margin = SPILL * float(np.sqrt(2 * max(0.0, 1 - least)) / np.sqrt(size))
     r = np.random.default_rng(1)
     get = share(spark, [grow(sample, rows, margin, r) for _ in range(trees)])
 
     def assign():
-        forest = get()
+        forest = [planted(nodes, size) for nodes in get()]
 
         def f(batch: pa.RecordBatch):
             found = leaves(normal(batch.column(1).to_pylist()), forest, margin)
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            return [np.array([leaf for x in found for leaf in x], dtype=np.int32), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array([found[i] for i in row], pa.list_(pa.int32()))]
+            return [np.array([leaf for x in found for leaf in x], dtype=np.int64), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array([found[i] for i in row], pa.list_(pa.int64()))]
 
         return f
 
     kind = vectors.schema["vec"].dataType.simpleString()
-    met = flat_rows(vectors.select("cid", "vec", "copies"), assign, f"leaf int, cid long, vec {kind}, copies long, leaves array<int>")
+    met = flat_rows(vectors.select("cid", "vec", "copies"), assign, f"leaf long, cid long, vec {kind}, copies long, leaves array<long>")
+    met = split_to_the_end(met, size, margin)
     sizes = met.groupBy("leaf").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_ROWS)
     blocks = sizes.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
     dealt = (
@@ -173,6 +264,7 @@ def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[Da
 
         def done():
             t = pa.Table.from_batches(held)
+            t = t.take(np.unique(t.column("cid").to_numpy(), return_index=True)[1])
             leaf, low, high = key
             own = t.column("own").to_numpy()
             x = normal(t.column("vec").to_pylist())

@@ -112,6 +112,39 @@ def test_forest_against_all_pairs(spark, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_leaves_are_split_to_the_end(spark, monkeypatch):
+    """The first trees know 64 of 6,000 rows; leaves end small all the same, but for a heap narrower than the overlap."""
+    for name, value in (("FIT_ROWS", 64), ("LEAF_ROWS", 64), ("BLOCK_ROWS", 160), ("OWN_ROWS", 300), ("PASS_ROWS", 400)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(5400, 16)), np.ones((600, 16)) + rng.normal(scale=1e-3, size=(600, 16))])
+    x[1:2000:2] = x[:2000:2] + rng.normal(scale=0.06, size=(1000, 16))
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    largest, split = [], embeddings.split_to_the_end
+
+    def watched(met, size, margin):
+        out = split(met, size, margin)
+        for df in (met, out):
+            largest.append(sorted((r["count"] for r in df.groupBy("leaf").count().collect()), reverse=True))
+        lists = out.groupBy("cid").agg({"leaf": "count"}).collect()
+        assert len(lists) == len(x) and out.where("not array_contains(leaves, leaf)").count() == 0
+        return out
+
+    monkeypatch.setattr(embeddings, "split_to_the_end", watched)
+    got = {r["vec_id"]: r for r in embeddings.linked(vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)])).collect()}
+    before, after = largest
+    assert before[0] > 1500
+    # a leaf that holds the heap stays whole when the heap is so much of it that no split leaves a fifth out
+    large = [n for n in after if n > 160]
+    assert all(600 <= n <= 600 / 0.6 for n in large) and len(after) > 100 and len(large) <= 12, large
+    n = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (n <= near.sum(axis=1)).all() and n[:5400].sum() >= 0.9 * near[:5400].sum() > 1000
+    assert (n[5400:] >= 599).all()
+
+
 def test_embeddings_of_edges(spark):
     v = [1.0, 2.0, 3.0]
     data = [(1, None), (2, [0.0, 0.0, 0.0]), (3, [1.0, None, 2.0]), (4, [float("nan"), 1.0, 2.0]), (5, [float("inf"), 1.0, 2.0]), (6, []), (7, v), (8, v), (8, v), (None, v), (9, [2.0, 4.0, 6.0]), (10, [1.0, 2.0]), (None, None), (11, [-0.0, 0.0, 1.0]), (12, [0.0, -0.0, 2.0])]
