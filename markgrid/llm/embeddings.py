@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,13 @@ BLOCK_ROWS = 4096
 STEP = 512
 
 
-def normal(vectors: list[list[float]]) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length without nulls as rows, not by way of Python lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def normal(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision; scaled first, so that squares neither overflow nor vanish."""
     x = np.array(vectors, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -76,23 +83,25 @@ def planted(nodes: list[tuple[int, float, int, int]], size: int) -> list[tuple[n
     return [(None if seed < 0 else direction(seed, size), v, left, right) for seed, v, left, right in nodes]
 
 
-def leaves(x: np.ndarray, trees: list, margin: float) -> list[list[int]]:
-    """For each row, the leaves it falls into over all trees, ascending; a leaf is ``tree * 2**24 + node``."""
-    out: list[list[int]] = [[] for _ in range(len(x))]
+def leaves(x: np.ndarray, trees: list, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the leaves they fall into over all trees, by row, then leaf; a leaf is ``tree * 2**24 + node``."""
+    rows, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for t, nodes in enumerate(trees):
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, at = todo.pop()
             d, v, left, right = nodes[node]
             if d is None:
-                for i in at:
-                    out[i].append((t << 24) + node)
+                rows.append(at)
+                names.append(np.full(len(at), (t << 24) + node))
                 continue
             p = x[at] @ d
             for child, side in ((left, at[p <= v + margin]), (right, at[p >= v - margin])):
                 if len(side):
                     todo.append((child, side))
-    return [sorted(row) for row in out]
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    return row[order], name[order]
 
 
 def first_shared(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
@@ -155,7 +164,7 @@ def own_trees(found: DataFrame, margin: float) -> DataFrame:
 
     def tree(t: pa.Table) -> pa.Table:
         leaf = t.column("leaf")[0].as_py()
-        nodes = grow(normal(t.column("vec").to_pylist()), t.column("n")[0].as_py(), margin, np.random.default_rng(leaf))
+        nodes = grow(normal(matrix(t.column("vec"))), t.column("n")[0].as_py(), margin, np.random.default_rng(leaf))
         return pa.table({"leaf": [leaf], "n": t.column("n")[:1], "nodes": pa.array([[dict(zip(("seed", "value", "left", "right"), x)) for x in nodes]], NODES)})
 
     return some.groupBy("leaf").applyInArrow(tree, "leaf long, n long, nodes array<struct<seed:long,value:double,left:int,right:int>>")
@@ -189,12 +198,13 @@ def split_to_the_end(met: DataFrame, size: int, margin: float) -> DataFrame:
                     s += 1
                 for i in range(s, e, SLICE):
                     rows = batch.slice(i, min(SLICE, e - i))
-                    found = leaves(normal(rows.column("vec").to_pylist()), forest, margin)
-                    row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                    row, node = leaves(normal(matrix(rows.column("vec"))), forest, margin)
                     # where two names collide, more rows are compared; a row that is in both counts once there
-                    names = {node: xxhash.xxh64_intdigest(f"{leaf}:{node}") >> 1 for node in {node for x in found for node in x}}
-                    new = [names[node] if len(forest[0]) > 1 else leaf for x in found for node in x]
-                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), *(rows.column(c).take(row) for c in columns[1:]), pa.array([len(forest[0]) == 1] * len(new), pa.bool_())], names=[*columns, "whole"])
+                    nodes, each = np.unique(node, return_inverse=True)
+                    whole = len(forest[0]) == 1
+                    new = np.array([leaf if whole else xxhash.xxh64_intdigest(f"{leaf}:{k}") >> 1 for k in nodes], dtype=np.int64)[each]
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(new), *(rows.column(c).take(row) for c in columns[1:]), pa.array(np.full(len(new), whole))], names=[*columns, "whole"])
 
     sizes = large(met.select("leaf"))
     if is_empty(sizes):
@@ -231,7 +241,7 @@ def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[Da
     most = max(SPLIT_ROWS, min(FIT_ROWS, FIT_BYTES // (8 * size)))
     part = max(1, 2 * rows // most)
     taken = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(part)) == 0).select("vec").limit(most).toArrow().column(0)
-    sample = normal(taken.combine_chunks().flatten().to_numpy().reshape(-1, size)) if len(taken) else np.ones((1, size))
+    sample = normal(matrix(taken)) if len(taken) else np.ones((1, size))
     margin = SPILL * float(np.sqrt(2 * max(0.0, 1 - least)) / np.sqrt(size))
     r = np.random.default_rng(1)
     get = share(spark, [grow(sample, rows, margin, r) for _ in range(trees)])
@@ -240,9 +250,10 @@ def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[Da
         forest = [planted(nodes, size) for nodes in get()]
 
         def f(batch: pa.RecordBatch):
-            found = leaves(normal(batch.column(1).to_pylist()), forest, margin)
-            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            return [np.array([leaf for x in found for leaf in x], dtype=np.int64), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array([found[i] for i in row], pa.list_(pa.int64()))]
+            row, leaf = leaves(normal(matrix(batch.column(1))), forest, margin)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(leaf))
+            row = pa.array(row)
+            return [pa.array(leaf), *(batch.column(c).take(row) for c in range(3)), lists.take(row)]
 
         return f
 
@@ -267,12 +278,12 @@ def near_links(vectors: DataFrame, least: float, trees: int = TREES) -> tuple[Da
             t = t.take(np.unique(t.column("cid").to_numpy(), return_index=True)[1])
             leaf, low, high = key
             own = t.column("own").to_numpy()
-            x = normal(t.column("vec").to_pylist())
+            x = normal(matrix(t.column("vec")))
             cid, copies = t.column("cid").to_numpy(), t.column("copies").to_numpy()
-            lists = t.column("leaves").to_pylist()
-            wide = np.full((len(lists), max(map(len, lists))), -1, dtype=np.int64)
-            for i, row in enumerate(lists):
-                wide[i, : len(row)] = row
+            lists = t.column("leaves").combine_chunks()
+            many = pc.list_value_length(lists).to_numpy()
+            wide = np.full((len(lists), many.max()), -1, dtype=np.int64)
+            wide[np.arange(many.max()) < many[:, None]] = lists.flatten().to_numpy()
             a = own == low
             b = a if low == high else ~a
             na, nb, edges = compare(x[a], x[b], wide[a], wide[b], copies[a], copies[b], leaf, least, low == high)
