@@ -84,11 +84,11 @@ def _(t):
     return d.select(*PAGE, "det_id", "tx", "ty", F.round("ncx", 9).alias("ncx"), F.round("nh", 9).alias("nh"))
 
 
-@query("empty_tiles", "U8", """with p as (select distinct doc_id, page_no from {boxes}), s as (select * from {boxes} where cls = 'A-O'), sx as (select unnest(generate_series(0, 1999, 100)) as tx), sy as (select unnest(generate_series(0, 1499, 100)) as ty), g as (select * from p join sx on true join sy on true),
+@query("empty_tiles", "U8", """with p as (select distinct doc_id, page_no from {boxes}), s as (select * from {boxes}), sx as (select unnest(generate_series(0, 1999, 100)) as tx), sy as (select unnest(generate_series(0, 1499, 100)) as ty), g as (select * from p join sx on true join sy on true),
 u as (select distinct s.doc_id, s.page_no, tx, ty from s join sx on (x1 + x2) / 2e0 >= greatest(0, least(tx + 120, 2000) - 120) and (x1 + x2) / 2e0 < greatest(0, least(tx + 120, 2000) - 120) + 120 join sy on (y1 + y2) / 2e0 >= greatest(0, least(ty + 120, 1500) - 120) and (y1 + y2) / 2e0 < greatest(0, least(ty + 120, 1500) - 120) + 120),
 e as (select g.*, row_number() over (partition by doc_id, page_no order by ty, tx) as k from g anti join u using (doc_id, page_no, tx, ty)) select doc_id, page_no, tx, ty from e where (k - 1) % 10 = 0""")
 def _(t):
-    b = t.boxes.where("cls = 'A-O'").select(*PAGE, "det_id", "x1", "y1", "x2", "y2")
+    b = t.boxes.select(*PAGE, "det_id", "x1", "y1", "x2", "y2")
     return D.empty_tiles(b, t.boxes.select(*PAGE).distinct(), PAGE, 2000, 1500, 10, 120, 20)
 
 
@@ -130,14 +130,16 @@ def _(t):
     return D.drop_report(annotated(t), "raw_cls")
 
 
-@query("stable_class_index", "U12", """with e as (select p_brand as cls, cast(row_number() over (order by min(p_partkey)) - 1 as bigint) as idx from {part} where p_size < 3 group by 1), n as (select distinct p_brand as cls from {part} where p_brand not in (select cls from e))
+@query("stable_class_index", "U12", """with e as (select p_brand as cls, cast(row_number() over (order by min(p_partkey)) - 1 as bigint) as idx from {part} group by 1), n as (select distinct p_type as cls from {part} where p_type not in (select cls from e))
 select cls, idx from e union all select cls, (select coalesce(max(idx), -1) from e) + row_number() over (order by cls) from n""")
 def _(t):
     from pyspark.sql import Window
 
-    first = t.part.where("p_size < 3").groupBy(c("p_brand").alias("cls")).agg(F.min("p_partkey").alias("m"))
+    # brands are numbered in the order of their first part; the types of all parts are the names to be added
+    first = t.part.groupBy(c("p_brand").alias("cls")).agg(F.min("p_partkey").alias("m"))
     e = first.select("cls", (F.row_number().over(Window.orderBy("m")) - 1).cast("bigint").alias("idx"))
-    return D.stable_index(e, t.part.select(c("p_brand").alias("cls")), "cls")
+    names = t.part.select(F.explode(F.array("p_brand", "p_type")).alias("cls"))
+    return D.stable_index(e, names, "cls")
 
 
 @query("append_reviewed_truth", "U13", """with tr as (select doc_id, page_no, det_id, cls, case when page_no = 3 then 300 else 200 end as dpi from {revision}), k as (select distinct cls from {boxes})
