@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from markgrid.catalog.filters import SQL_PAGES, page_types
-from markgrid.catalog.reconciliation import SQL_IOU
+from markgrid.catalog.reconciliation import CANON, SQL_IOU, SQL_PRESENCE
 from markgrid.catalog.registry import QUERIES, query
-from markgrid.catalog.keys_text import sql_class_of_tag
+from markgrid.catalog.keys_text import sql_class_of_tag, sql_list
 from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, SQL_CALLOUTS, SQL_PRINTS, SQL_TOKENS, TOK_XY, greedy_pairs, serial_pairs, stack_tags, stacked_words
 from markgrid.functions import keys as K
 from markgrid.functions import vocab as V
@@ -17,10 +17,10 @@ PAGE = ["doc_id", "page_no"]
 ID = [*PAGE, "det_id"]
 
 
-def schedule(t):
+def schedule(t, *more):
     """Scheduled tags with class, neck and flow."""
     return t.expected.selectExpr("doc_id", "tag", "row_no", "case exp_qty when 1 then 'AD-GRD' when 2 then 'AD-T-BAR SUPPLY' when 3 then 'FAN' else 'CONDENSING UNIT' end as cls",
-                                 "case row_no % 5 when 0 then '<varies>' when 1 then '' else (4 + row_no % 9) || '\"' end as size", "20 + row_no * 13 % 900 as cfm")
+                                 "case row_no % 5 when 0 then '<varies>' when 1 then '' else (4 + row_no % 9) || '\"' end as size", "20 + row_no * 13 % 900 as cfm", *more)
 
 
 SQL_SCHED = "sd as (select doc_id, tag, row_no, case exp_qty when 1 then 'AD-GRD' when 2 then 'AD-T-BAR SUPPLY' when 3 then 'FAN' else 'CONDENSING UNIT' end as cls, case row_no % 5 when 0 then '<varies>' when 1 then '' else (4 + row_no % 9) || '\"' end as size, 20 + row_no * 13 % 900 as cfm from {expected})"
@@ -161,10 +161,24 @@ def _(t):
 
 @query("post_processing", "C6 S15")
 def _(t):
-    stages = C.post_process(t.boxes, words(t), schedule(t), bands(t), page_types(t))
+    stages = C.post_process(t.boxes, words(t), schedule(t, "exp_qty"), bands(t), page_types(t))
     return C.stage_manifest({k: d for k, d in stages.items()})
 
 
+SQL_PLAN = f"{SQL_PAGES}, pb as (select b.* from {{boxes}} b join pg using (doc_id, page_no) where pg.type not in {sql_list(V.NON_PLAN_TYPES)})"
+
+
+@query("post_processing_checks", "C6 J12", f"""
+with {SQL_PLAN}, {SQL_PRESENCE.strip().replace('{observed}', 'pb')}, w as (select doc_id, {CANON.format('tag')} as k, max(exp_qty) as want from {{expected}} group by 1, 2),
+p as (select pr.*, coalesce(e_tag, o_tag) as tag, want from pr left join w using (doc_id, k)), u as (select doc_id, count(*) as n from pb where tag is null group by 1)
+select doc_id, 'medium' as severity, 'tag_in_schedule_not_on_plan' as kind, tag, 0 as n from p where n_exp > 0 and n_obs = 0
+union all select doc_id, case when n < 20 then 'low' else 'medium' end, 'untagged_detections', null, n from u
+union all select doc_id, 'high', 'quantity_missing', tag, want from p where want > 0 and n_obs = 0
+union all select doc_id, 'medium', 'quantity_off', tag, n_obs - want from p where abs(n_obs - want) >= greatest(2e0, want * 0.3e0) and not (n_obs = 0 and want > 0)""")
+def _(t):
+    return C.plan_checks(t.boxes, schedule(t, "exp_qty"), page_types(t))
+
+
 def noted(t):
     return words(t).withColumn("text", F.when(c("text") == "TYP", F.concat(F.lit("TYP OF "), (c("word_id") % 5).cast("string"))).otherwise(c("text")))
 

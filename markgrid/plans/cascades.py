@@ -244,12 +244,25 @@ def backfill(jobs: DataFrame, boxes: DataFrame, words: DataFrame, dry_run: bool
     return m.join(old, ID).where(~c("units").eqNullSafe(c("old_units"))).select(*ID, "old_units", "units")
 
 
-def post_process(boxes: DataFrame, words: DataFrame, schedule: DataFrame, bands: DataFrame, page_types: DataFrame) -> dict[str, DataFrame]:
-    """All stages after detection over a corpus: plan pages, notes, sizes, reconciliation, quality
-    checks, tag table. Shared inputs are written once; a failing stage fails the job."""
+def plan_boxes(boxes: DataFrame, page_types: DataFrame) -> DataFrame:
+    """Boxes on pages that may be plans."""
     from markgrid.operators.filters import without_pages
 
-    plan = cut(without_pages(boxes, page_types, PAGE, V.NON_PLAN_TYPES))
+    return without_pages(boxes, page_types, PAGE, V.NON_PLAN_TYPES)
+
+
+def plan_checks(boxes: DataFrame, schedule: DataFrame, page_types: DataFrame) -> DataFrame:
+    """Scheduled tags and quantities (``exp_qty``) against the boxes on plan pages."""
+    return R.quality_checks(schedule, plan_boxes(boxes, page_types), DOC)
+
+
+def post_process(boxes: DataFrame, words: DataFrame, schedule: DataFrame, bands: DataFrame, page_types: DataFrame) -> dict[str, DataFrame]:
+    """All stages after detection over a corpus: plan pages, notes, sizes, reconciliation, quality
+    checks, tag table. ``schedule`` carries quantities as ``exp_qty``. Shared inputs are written once; a failing
+    stage fails the job."""
+    checks = plan_checks(boxes, schedule, page_types)
+    schedule = schedule.drop("exp_qty")
+    plan = cut(plan_boxes(boxes, page_types))
     marked = cut(mark_notes(plan, words))
     sizes = cut(size_waterfall(plan, words, schedule, bands))
     necked = marked.drop("tag").join(sizes.select(*ID, "tag", "size", c("conf").alias("size_conf")), ID)
@@ -260,7 +273,7 @@ def post_process(boxes: DataFrame, words: DataFrame, schedule: DataFrame, bands:
     table = R.tag_table(bom, rows, sched, DOC)
     return {
         "sizes": sizes, "units": marked.select(*ID, "nic", "typ_of", "units"), "instances": inst, "tag_table": table,
-        "totals": R.tag_table_totals(table, DOC), "checks": R.quality_checks(schedule.withColumn("exp_qty", F.lit(1)), plan, DOC),
+        "totals": R.tag_table_totals(table, DOC), "checks": checks,
     }
 
 
