@@ -48,6 +48,37 @@ def near_radius(left, right, keys, radius, lxy=("l_cx", "l_cy"), rxy=("r_cx", "r
     return near(left, right, keys, radius, lxy=lxy, rxy=rxy).withColumn("dist", d).where(c("dist") <= radius)
 
 
+#: right rows of one cell from which on a search starts with finer cells
+CROWDED = 2048
+#: a crowd is quartered at most this often, to a reach of start / 4 ** DEEPEST
+DEEPEST = 12
+
+
+def _celled(df: DataFrame, at: tuple[str, str], reach: float) -> DataFrame:
+    side = F.lit(2.0 * reach)
+    return df.withColumns({g: F.floor(F.col(a) / side) for g, a in zip(("_gx", "_gy"), at)})
+
+
+def _crowds(right: DataFrame, keys: list[str], rxy, reach: float, crowded: int, deepest: int = DEEPEST) -> list[tuple[float, DataFrame]]:
+    """Quad-tree of the crowded cells: per level its reach and its cells of more than ``crowded`` rows, each with its
+    eight neighbours. Only rows of crowded cells go on to the next level."""
+    on = [*keys, "_gx", "_gy"]
+    levels: list[tuple[float, DataFrame]] = []
+    rows = right
+    while len(levels) < deepest:
+        celled = _celled(rows, rxy, reach)
+        cells = cut(celled.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select(*on))
+        if is_empty(cells):
+            break
+        shift = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        around = cells.withColumn("_dx", F.explode(shift)).withColumn("_dy", F.explode(shift))
+        around = around.select(*keys, (F.col("_gx") + F.col("_dx")).alias("_gx"), (F.col("_gy") + F.col("_dy")).alias("_gy"))
+        levels.append((reach, around.distinct()))
+        rows = cut(celled.join(cells, on, "left_semi").drop("_gx", "_gy")) if len(levels) < deepest else rows
+        reach /= 4
+    return levels
+
+
 def nearest(
     left: DataFrame,
     right: DataFrame,
@@ -58,6 +89,7 @@ def nearest(
     rxy=("r_cx", "r_cy"),
     cap: float | None = None,
     start: float = 128.0,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """The closest right row of every left row: ``keys, lid, rid, dist`` (ties to the lowest rid).
 
@@ -65,6 +97,12 @@ def nearest(
     rows still unserved go on, so the wide rounds are small; rows of a key that has no right row
     are left out from the start, which bounds the number of rounds by the page size. Rows without a
     point on either side match nothing.
+
+    Where a cell holds more than ``crowded`` right rows, rows of one point are first reduced to one
+    on either side, crowded cells are split as a quad-tree, and left rows in or beside one search
+    from its finest level outwards, so that no row inside a crowd meets the whole crowd. A row beside
+    a crowd still meets what its first successful reach holds. A found partner within a reach is the
+    closest at any reach, so the rows do not depend on ``crowded``.
     """
     there = lambda df, at: df.where(reduce(lambda x, y: x & y, [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) & (F.abs(F.col(a).cast("double")) < float("inf")) for a in at]))
     left, right = there(left, lxy), there(right, rxy)
@@ -73,22 +111,43 @@ def nearest(
         b = F.min(F.struct("dist", rid)).alias("_best")
         return pairs.groupBy(*keys, lid).agg(b).select(*keys, lid, F.col("_best." + rid).alias(rid), F.col("_best.dist").alias("dist"))
 
+    first = start if cap is None else cap
     lcols = left.select(*keys, lid, *lxy)
-    rcols = right.select(*keys, rid, *rxy)
-    if cap is not None:
+    rcols = cut(right.select(*keys, rid, *rxy))
+    levels = _crowds(rcols, keys, rxy, first, crowded, deepest=1)
+    if cap is not None and not levels:
         return best(near_radius(lcols, rcols, keys, cap, lxy, rxy))
     todo = cut(lcols.join(rcols.select(*keys).distinct(), keys, "left_semi"))
-    rcols = cut(rcols)
-    parts, reach = [], start
-    while not is_empty(todo):
-        got = cut(best(near_radius(todo, rcols, keys, reach, lxy, rxy)))
+    everyone = todo
+    if levels:
+        rcols = cut(rcols.groupBy(*keys, *rxy).agg(F.min(rid).alias(rid)))
+        levels = _crowds(rcols, keys, rxy, first, crowded)
+        todo = cut(todo.select(*keys, *lxy, F.struct(*lxy).alias(lid)).distinct())  # a point is its own id
+    points = todo
+    parts = []
+
+    def serve(rows: DataFrame, reach: float) -> None:
+        nonlocal todo
+        got = cut(best(near_radius(rows, rcols, keys, reach, lxy, rxy)))
         parts.append(got)
         todo = cut(todo.join(got, [*keys, lid], "left_anti"))
+
+    for reach, cells in reversed(levels):
+        inside = _celled(todo, lxy, reach).join(cells, [*keys, "_gx", "_gy"], "left_semi").drop("_gx", "_gy")
+        serve(inside, reach / 4)
+    reach = first
+    while not is_empty(todo):
+        serve(todo, reach)
+        if cap is not None:
+            break
         reach *= 4
-    out = parts[0] if parts else best(near_radius(lcols, rcols, keys, start, lxy, rxy))
+    out = parts[0] if parts else best(near_radius(lcols, rcols, keys, first, lxy, rxy))
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if points is everyone:
+        return out
+    at = points.join(out, [*keys, lid]).select(*keys, *lxy, rid, "dist")
+    return best(everyone.join(at, [*keys, *lxy]))
 
 
 def _level(p: str) -> Column:
