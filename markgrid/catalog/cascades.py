@@ -1,9 +1,11 @@
 """Multi-stage plan queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from markgrid.catalog.filters import SQL_PAGES, page_types
-from markgrid.catalog.reconciliation import CANON, SQL_IOU, SQL_PRESENCE
+from markgrid.catalog.reconciliation import CANON, SQL_IOU, SQL_PRESENCE, SQL_TAG_BOM, SQL_TAG_BRANCHES, tag_table_inputs
 from markgrid.catalog.registry import QUERIES, query
 from markgrid.catalog.keys_text import sql_class_of_tag, sql_list
 from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, SQL_CALLOUTS, SQL_PRINTS, SQL_TOKENS, TOK_XY, greedy_pairs, serial_pairs, stack_tags, stacked_words
@@ -11,6 +13,7 @@ from markgrid.functions import keys as K
 from markgrid.functions import vocab as V
 from markgrid.operators import match as M
 from markgrid.plans import cascades as C
+from markgrid.session import scratch_dir
 
 c = F.col
 PAGE = ["doc_id", "page_no"]
@@ -204,6 +207,18 @@ def _(t):
     return C.backfill(jobs, b, noted(t))
 
 
+SQL_MARKED = """bq as (select u.doc_id, b.cls, coalesce(b.tag, '') as tag, case when b.l_partkey % 5 < 3 then cast(b.l_partkey % 5 as string) else '' end as neck, u.units, b.conf_pct as conf from un u join {boxes} b on b.doc_id = u.doc_id and b.page_no = u.page_no and b.det_id = u.det_id)"""
+
+
+@query("note_write_back", "C7 J7", f"""with {SQL_NOTED}, {SQL_TAG_BOM}, {SQL_MARKED}, {SQL_TAG_BRANCHES.replace('from bx where', 'from bq where')}, dn as (select doc_id from {{boxes}} group by 1 having count(*) >= 1000)
+select doc_id, tag, cls, neck, cast(plan_qty as bigint) as plan_qty, cast(box_qty as bigint) as box_qty, source, discrepancy, cast(conf as bigint) as conf from tt where doc_id in (select doc_id from dn)""")
+def _(t):
+    folder = f"{scratch_dir(t.spark)}/backfill-{uuid.uuid4().hex}"
+    jobs = t.boxes.groupBy("doc_id").agg(F.count("*").alias("n")).selectExpr("doc_id", "case when n >= 1000 then 'done' else 'running' end as status")
+    C.write_back(jobs, t.boxes, noted(t), lambda marked: tag_table_inputs(t, marked), folder)
+    return t.spark.read.schema("tag string, cls string, neck string, plan_qty bigint, box_qty bigint, source string, discrepancy string, conf bigint, doc_id bigint").parquet(f"{folder}/tag_table")
+
+
 SQL_MARKS = f"""tw as (select *, regexp_extract(upper(trim(text)), '^([A-Z]{{1,3}}-?\\d{{1,6}})-(\\d+(?:\\.\\d+)?"?|\\d+[xX/]\\d+)$', 1) as mc, regexp_extract(upper(trim(text)), '^([A-Z]{{1,3}}-?\\d{{1,6}})-(\\d+(?:\\.\\d+)?"?|\\d+[xX/]\\d+)$', 2) as zc from tk),
 cb as (select * from tw where mc <> ''), br as (select * from tw a where mc = '' and regexp_matches(upper(trim(text)), '^[A-Z]{{1,3}}-?\\d{{1,6}}$') and not exists (select 1 from cb where {ON.format('cb', 'a')} and cb.mc = upper(trim(a.text)) and abs(cb.cx - a.cx) < 15 and abs(cb.cy - a.cy) < 15)),
 e9 as (select a.doc_id, a.page_no, a.word_id as l, b.word_id as r, {DIST.format('a', 'b')} as cost from br a join tk b on {ON.format('a', 'b')} and regexp_matches(b.text, '^\\d+"$|^\\d+[/xX]\\d+$') where case when abs(a.cy - b.cy) <= 15 then abs(a.cx - b.cx) <= 120 else abs(a.cy - b.cy) <= 50 and abs(a.cx - b.cx) <= 40 end)"""

@@ -139,20 +139,21 @@ def _(t):
     return R.bill_of_materials(instances(t), t.expected, DOC, ["cls", "exp_qty"])
 
 
-def tag_table_inputs(t):
+def tag_table_inputs(t, boxes=None):
+    """The three sources; ``boxes`` that carry their own units stand in for the table's."""
+    units = "case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units" if boxes is None else "units"
     bom = t.boxes.where("tag is not null").groupBy("doc_id", "tag", (c("l_partkey") % 3).cast("string").alias("neck")).agg(
         F.count("*").alias("qty"), F.sum((c("l_suppkey") % 5 == 0).cast("int")).alias("cfm_missing"))
-    boxes = t.boxes.selectExpr("doc_id", "cls", "tag", "case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck",
-                               "case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units", "conf_pct as conf")
+    boxes = (t.boxes if boxes is None else boxes).selectExpr(
+        "doc_id", "cls", "tag", "case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck", units, "conf_pct as conf")
     sched = t.expected.selectExpr("doc_id", "tag", "cast(exp_qty as string) as neck")
     return bom, boxes, sched
 
 
-SQL_TAG_TABLE = """
-bom as (select doc_id, tag, cast(l_partkey % 3 as string) as neck, count(*) as qty, count(*) filter (where l_suppkey % 5 = 0) as cfm_missing from {boxes} where tag is not null group by 1, 2, 3),
-bx as (select doc_id, cls, coalesce(tag, '') as tag, case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck,
-  case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units, conf_pct as conf from {boxes}),
-live as (select * from bx where units > 0),
+SQL_TAG_BOM = """bom as (select doc_id, tag, cast(l_partkey % 3 as string) as neck, count(*) as qty, count(*) filter (where l_suppkey % 5 = 0) as cfm_missing from {boxes} where tag is not null group by 1, 2, 3)"""
+SQL_TAG_BOXES = """bx as (select doc_id, cls, coalesce(tag, '') as tag, case when l_partkey % 5 < 3 then cast(l_partkey % 5 as string) else '' end as neck,
+  case when l_suppkey % 11 = 0 then 0 when l_suppkey % 13 = 0 then 3 else 1 end as units, conf_pct as conf from {boxes})"""
+SQL_TAG_BRANCHES = """live as (select * from bx where units > 0),
 pt as (select doc_id, tag, sum(units) as box_qty from live group by 1, 2),
 bn as (select doc_id, cls, tag, neck, count(*) as bucket, max(conf) as conf from live where neck <> '' group by 1, 2, 3, 4),
 tn as (select doc_id, tag, neck, sum(bucket) as neck_qty, max(conf) as neck_conf from bn group by 1, 2, 3),
@@ -170,6 +171,7 @@ seen as (select doc_id, tag from r1 union select doc_id, tag from r2 union selec
 r4 as (select sc.doc_id, sc.tag, '' as cls, sc.sneck as neck, 0 as plan_qty, 0 as box_qty, 'schedule-only' as source, 'scheduled but no detection' as discrepancy, 0 as conf from sc
   where not exists (select 1 from seen s where s.doc_id = sc.doc_id and s.tag = sc.tag)),
 tt as (select * from r1 union all select * from r2 union all select * from r3 union all select * from r4)"""
+SQL_TAG_TABLE = f"{SQL_TAG_BOM}, {SQL_TAG_BOXES}, {SQL_TAG_BRANCHES}"
 
 
 @query("tag_table", "J7 F31 O2", f"with {SQL_TAG_TABLE.strip()} select doc_id, tag, cls, neck, cast(plan_qty as bigint) as plan_qty, cast(box_qty as bigint) as box_qty, source, discrepancy, cast(conf as bigint) as conf from tt")

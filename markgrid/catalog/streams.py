@@ -42,6 +42,17 @@ def _(t):
     return ST.brier_of(reliability(t)).withColumn("brier", F.round("brier", 9))
 
 
+@query("stream_live_calibration", "ST1 A20", f"""with {EV.replace('(select ', '(select event_id, ', 1)}, se as (select ev.*, least(floor((event_id - lo) * 4e0 / greatest(hi - lo, 1)), 3)::int as sl from ev, (select min(event_id) as lo, max(event_id) as hi from {{events}}) z),
+sm as (select v.sl, source, least(pp // 10, 9) as bucket, count(*) as n, sum(pp) / count(*)::double / 100 as x, sum(ok) / count(*)::double as y from se join (select unnest([1, 2, 3]) as sl) v on se.sl < v.sl group by 1, 2, 3),
+cv as (select sl, source, list({{'x': x, 'y': y}} order by x) filter (where n >= 5) as cv from sm group by 1, 2 having sum(n) >= 30),
+q as (select event_id, se.source, pp / 100e0 as p, cv, list_filter(cv, lambda a: a.x <= pp / 100e0) as lo, list_filter(cv, lambda a: a.x > pp / 100e0) as hi from se left join cv on cv.sl = se.sl and cv.source = se.source)
+select event_id, source, round(case when cv is null then p when len(lo) = 0 then hi[1].y when len(hi) = 0 then lo[-1].y else lo[-1].y + (hi[1].y - lo[-1].y) * (p - lo[-1].x) / (hi[1].x - lo[-1].x) end, 6) as calibrated from q""")
+def _(t):
+    e = t.events.selectExpr("event_id", "event_type as source", "(event_id * 37) % 101 as pp", "((event_id * event_id * 13 + event_id * 7) % 100) < ((event_id * 37) % 101) as ok")
+    out = arriving(t, e, "event_id", lambda s, o, ck: ST.refit_live(s, o, ck, c("pp"), c("ok"), ["event_id"]))
+    return t.spark.read.parquet(out + "/scored").select("event_id", "source", F.round("calibrated", 6).alias("calibrated"))
+
+
 @query("stream_latest_records", "ST2 W9 D15", "select user_id, event_id, event_type from {events} qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def _(t):
     out = arriving(t, t.events.select("event_id", "user_id", "event_type"), "event_id",

@@ -18,7 +18,7 @@ from markgrid.operators import match as M
 from markgrid.operators import reconcile as R
 from markgrid.operators.layout import tag_then_size
 from markgrid.operators.suppress import closed_rectangles
-from markgrid.session import cut
+from markgrid.session import cut, is_empty
 
 c = F.col
 DOC, PAGE = ["doc_id"], ["doc_id", "page_no"]
@@ -244,6 +244,51 @@ def backfill(jobs: DataFrame, boxes: DataFrame, words: DataFrame, dry_run: bool
     return m.join(old, ID).where(~c("units").eqNullSafe(c("old_units"))).select(*ID, "old_units", "units")
 
 
+def _stored(spark, path: str) -> DataFrame | None:
+    """What a folder of partitioned rows holds, or nothing if it was never written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_back(jobs: DataFrame, boxes: DataFrame, words: DataFrame, tables, folder: str) -> DataFrame:
+    """Backfill of finished jobs, stored: marked boxes and the rebuilt tag table of every document whose result changed.
+
+    ``tables``: marked boxes to the three inputs of ``tag_table``. ``folder`` holds ``boxes``, ``tag_table`` and
+    ``commits``, one partition a document; only partitions of changed documents are overwritten, and a document's
+    commit (``digest`` of its marked rows and tag table, counts) is written last. A run that was lost half way is
+    repaired by the next one; a run on the same inputs writes nothing. Returns the commits that this run made:
+    ``doc_id, digest, n_rows, n_nic, extra_units``. Without finished jobs nothing is written.
+    """
+    spark = boxes.sparkSession
+    marked = cut(backfill(jobs, boxes, words, dry_run=False))
+    done = marked.select("doc_id").distinct()
+    table = cut(R.tag_table(*[d.join(done, DOC, "left_semi") for d in tables(marked)], DOC))
+    # sums of hashes do not depend on the order of rows, and are exact in any grouping
+    part = lambda df: df.select("doc_id", F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)").alias("_h"))
+    rows = part(marked).unionByName(part(table))
+    counts = marked.groupBy("doc_id").agg(
+        F.count("*").alias("n_rows"), F.sum(c("nic").cast("bigint")).alias("n_nic"),
+        F.sum(F.greatest(c("units") - 1, F.lit(0)).cast("bigint")).alias("extra_units"))
+    commits = rows.groupBy("doc_id").agg(F.sum("_h").cast("string").alias("digest")).join(counts, "doc_id")
+    before = _stored(spark, f"{folder}/commits")
+    if before is not None:
+        same = before.select(c("doc_id").cast(boxes.schema["doc_id"].dataType).alias("doc_id"), c("digest").cast("string").alias("digest"))
+        commits = commits.join(same, ["doc_id", "digest"], "left_anti")
+    commits = cut(commits.select("doc_id", "digest", "n_rows", "n_nic", "extra_units"))
+    if is_empty(commits):
+        return commits
+    for name, df in (("boxes", marked), ("tag_table", table), ("commits", commits)):
+        df = df.join(commits.select("doc_id"), DOC, "left_semi").hint("rebalance", "doc_id")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(f"{folder}/{name}")
+    return commits
+
+
 def plan_boxes(boxes: DataFrame, page_types: DataFrame) -> DataFrame:
     """Boxes on pages that may be plans."""
     from markgrid.operators.filters import without_pages

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markgrid.operators.evaluate import calibrate
 from markgrid.operators.reconcile import last_wins
 
 c = F.col
@@ -48,6 +49,34 @@ def live_reliability(events: DataFrame, p_pct: Column, correct: Column) -> DataF
         F.count("*").alias("n"), F.sum(p_pct).alias("sum_pct"), F.sum(y).alias("n_correct"), F.sum(gap * gap).alias("sum_sq"))
 
 
+def refit_live(events: DataFrame, out: str, checkpoint: str, p_pct: Column, correct: Column, keep: list[str]) -> None:
+    """Rows calibrated as they arrive, by curves refitted after every batch.
+
+    Batch k is calibrated by the curves of version k - 1, those that stood when its rows came, so no row is judged by
+    its own outcome; then its counts are added and version k is written. ``out`` holds ``scored/batch=k`` (``keep``,
+    source, calibrated) and ``sums/version=k`` (at most ten rows a source). A batch reads only its own rows and the
+    version before, and overwrites its own folders, so one replayed after a loss leaves the same files.
+    """
+    def step(df: DataFrame, k: int) -> None:
+        spark = df.sparkSession
+        new = live_reliability(df, p_pct, correct)
+        names = new.columns
+        before = spark.read.schema(new.schema).parquet(f"{out}/sums/version={k - 1}") if k else new.limit(0)
+        calibrate(df, curves_of(before), "source", p_pct / 100).select(*keep, "source", "calibrated").write.mode("overwrite").parquet(f"{out}/scored/batch={k}")
+        both = before.unionByName(new).groupBy("source", "bucket").agg(*[F.sum(n).alias(n) for n in names[2:]])
+        both.coalesce(1).write.mode("overwrite").parquet(f"{out}/sums/version={k}")
+
+    q = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def curves_of(sums: DataFrame, least_events: int = 30, least_bucket: int = 5) -> DataFrame:
+    """Curves (source, curve) from running sums, by the rule of ``evaluate.calibration_curves``."""
+    pt = F.struct((c("sum_pct") / c("n") / 100).alias("x"), (c("n_correct") / c("n")).alias("y"))
+    g = sums.groupBy("source").agg(F.sum("n").alias("_all"), F.array_sort(F.collect_list(F.when(c("n") >= least_bucket, pt))).alias("curve"))
+    return g.where((c("_all") >= least_events) & (F.size("curve") > 0)).select("source", "curve")
+
+
 def brier_of(reliability: DataFrame) -> DataFrame:
     return reliability.groupBy("source").agg(F.sum("n").alias("n"), (F.sum("sum_sq") / F.sum("n") / 10000).alias("brier"))
 
