@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markgrid.catalog.filters import SQL_PAGES, page_types
 from markgrid.catalog.reconciliation import CANON, SQL_IOU, SQL_PRESENCE, SQL_TAG_BOM, SQL_TAG_BRANCHES, tag_table_inputs
 from markgrid.catalog.registry import QUERIES, query
-from markgrid.catalog.keys_text import sql_class_of_tag, sql_list
+from markgrid.catalog.keys_text import sql_class_of_tag, sql_list, sql_size_and_flow
 from markgrid.catalog.spatial_joins import BOX_XY, DIST, ON, SQL_CALLOUTS, SQL_PRINTS, SQL_TOKENS, TOK_XY, greedy_pairs, serial_pairs, stack_tags, stacked_words
 from markgrid.functions import keys as K
 from markgrid.functions import vocab as V
@@ -230,6 +230,25 @@ def _(t):
     return C.label_instances(words(t)).select(*PAGE, "word_id", "mark", "method")
 
 
+# tokens with marks of several prefixes and letter-only marks, and the marks that each document's schedule lists
+MARK_TEXT = "case when text like 'P-%' then substr('SGVAVP', cast(1 + word_id % 3 * 2 as int), 2) || '-' || (word_id % 60) when text = 'C.R.D.' then 'CD' when text like '%/%' then replace(text, '/', 'x8/') else text end"
+LISTED = "select doc_id, substr('SGVAVP', cast(1 + row_no % 3 * 2 as int), 2) || '-' || (row_no % 60) as mark from {e} union all select doc_id, case row_no % 3 when 0 then 'CD' when 1 then 'TYP' else 'EF' end from {e}"
+
+
+@query("bare_marks", "C8 F10", f"""with recursive tk as (select doc_id, page_no, word_id, x0, (x0 + x1) / 2e0 as cx, (y0 + y1) / 2e0 as cy, {MARK_TEXT} as text from {{tokens}}), wl as ({LISTED.replace('{e}', '{expected}')}), {sql_size_and_flow('tk', 'text')},
+nm as (select doc_id, page_no, word_id, cx, cy, text as mark, false as lettered from tk where regexp_matches(text, '^([A-Z]{{1,2}}\d{{1,3}}|[A-Z]{{1,3}}-\d{{1,3}})$') and regexp_extract(text, '^[A-Z]+') not in {sql_list(V.EQUIPMENT_PREFIXES)} and (doc_id not in (select doc_id from wl) or (doc_id, text) in (select (doc_id, mark) from wl))),
+lt as (select doc_id, page_no, word_id, cx, cy, text as mark, true as lettered from tk where text in ('CD', 'TYP') and (doc_id, text) in (select (doc_id, mark) from wl) qualify row_number() over (partition by doc_id, page_no, text, x0 order by word_id) = 1),
+mk as (select * from nm union all select * from lt), s9 as (select * from sf where size is not null),
+e9 as (select a.doc_id, a.page_no, a.word_id as l, b.word_id as r, {DIST.format('a', 'b')} as cost from mk a join s9 b on {ON.format('a', 'b')} where case when abs(a.cy - b.cy) <= 15 then abs(a.cx - b.cx) <= 120 else abs(a.cy - b.cy) <= 50 and abs(a.cx - b.cx) <= 40 end),
+{serial_pairs("select *, min(cost) over (partition by doc_id, page_no, l) as turn from e9", 'cost', 'turn')}
+select mk.doc_id, mk.page_no, mk.word_id, mk.mark, s9.size, s9.cfm, case when lettered then 'letter_only_mark' else 'bare_mark' end || case when s9.size is null then '_no_size' else '' end as method,
+ case when lettered and s9.size is not null then 0.70e0 when lettered then 0.55e0 when s9.size is not null then 0.75e0 else 0.30e0 end as confidence
+from mk left join picks p on {ON.format('p', 'mk')} and p.l = mk.word_id left join s9 on {ON.format('s9', 'mk')} and s9.word_id = p.r""")
+def _(t):
+    w = words(t).withColumn("text", F.expr(MARK_TEXT))
+    return C.bare_marks(w, t.spark.sql(LISTED, e=t.expected))
+
+
 FRONT = ["NOT FOR CONSTRUCTION", "LEGEND", "PERMIT SET", "", "SHEET INDEX"]
 
 

@@ -296,15 +296,18 @@ def _(t):
                           "neck": X.neck_key(c("raw_size"))})
 
 
-@query("size_and_flow", "F10", f"""
-with s as (select raw_size, count(*) as n from {{raw_items}} group by all),
-q as (select *, case when ends_with(trim(raw_size), '"') and not regexp_matches(raw_size, '[xX/]') then trim(raw_size) else replace(trim(raw_size), '"', '') end as x from s),
-k as (select *, regexp_matches(x, '^\\d+(\\.\\d+)?[xX]\\d+(\\.\\d+)?/\\d{{2,5}}$') as triple,
-   regexp_matches(x, '^{NUMS}/{NUMS}$') and try_cast(string_split(x, '/')[2] as double) > 30 as flows from q),
-z as (select *, case when triple then {sql_canon("string_split(x, '/')[1]")} when flows then {sql_canon("string_split(x, '/')[1] || '\"'")} else {sql_canon('x')} end as canon,
-  case when triple or flows then cast(cast(string_split(x, '/')[2] as double) as int) end as flow from k),
-f as (select *, len(list_filter(string_split(regexp_replace(canon, '^(round:|rect:)', ''), 'x'), lambda d: not coalesce(try_cast(d as double) between 2 and 36, false))) = 0 as ok from z)
-select raw_size, n, case when ok then canon end as size, case when ok then flow end as cfm from f""")
+def sql_size_and_flow(rows: str, raw: str) -> str:
+    """CTEs from table ``rows`` to ``sf``: its columns with ``size`` and ``cfm`` of the text in column ``raw``."""
+    return f"""sq as (select *, case when ends_with(trim({raw}), '"') and not regexp_matches({raw}, '[xX/]') then trim({raw}) else replace(trim({raw}), '"', '') end as x from {rows}),
+sk as (select *, regexp_matches(x, '^\\d+(\\.\\d+)?[xX]\\d+(\\.\\d+)?/\\d{{2,5}}$') as triple,
+   regexp_matches(x, '^{NUMS}/{NUMS}$') and try_cast(string_split(x, '/')[2] as double) > 30 as flows from sq),
+sz as (select *, case when triple then {sql_canon("string_split(x, '/')[1]")} when flows then {sql_canon("string_split(x, '/')[1] || '\"'")} else {sql_canon('x')} end as canon,
+  case when triple or flows then cast(cast(string_split(x, '/')[2] as double) as int) end as flow from sk),
+sp as (select *, len(list_filter(string_split(regexp_replace(canon, '^(round:|rect:)', ''), 'x'), lambda d: not coalesce(try_cast(d as double) between 2 and 36, false))) = 0 as ok from sz),
+sf as (select * exclude (x, triple, flows, canon, flow, ok), case when ok then canon end as size, case when ok then flow end as cfm from sp)"""
+
+
+@query("size_and_flow", "F10", f"with s as (select raw_size, count(*) as n from {{raw_items}} group by all), {sql_size_and_flow('s', 'raw_size')} select raw_size, n, size, cfm from sf")
 def _(t):
     d = t.raw_items.groupBy("raw_size").agg(F.count("*").alias("n")).withColumn("r", X.size_and_flow(c("raw_size")))
     return d.select("raw_size", "n", "r.size", "r.cfm")

@@ -193,6 +193,40 @@ def label_instances(words: DataFrame, min_gap: float = 15.0) -> DataFrame:
     return a.unionByName(b)
 
 
+def bare_marks(words: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Marks that stand alone on a plan, each with the size token that it chooses and that token's flow.
+
+    ``words``: doc_id, page_no, word_id, text, x0, cx, cy; ``whitelist``: doc_id, mark. Numbered marks must be listed
+    where their document lists any; marks of two to four letters count only if listed, and once per rounded x0 (the
+    first in word order). Equipment prefixes are no marks. Marks choose in order of their cheapest size; ties go to
+    the lower word. Returns ``doc_id, page_no, word_id, mark, size, cfm, method, confidence``; a mark without a size
+    is kept with a low confidence, null texts and null marks match nothing.
+    """
+    listed = whitelist.select("doc_id", "mark").where("mark is not null").distinct()
+    lists = listed.select("doc_id").distinct().withColumn("_lists", F.lit(True))
+    trimmed = F.trim("text")
+    slim = words.select(*PAGE, "word_id", "x0", "cx", "cy", trimmed.alias("_t"))
+    numbered = slim.withColumn("mark", F.regexp_extract("_t", V.BARE_MARK, 1)).where("mark <> ''")
+    numbered = numbered.where(~F.regexp_extract("mark", "^([A-Z]+)", 1).isin(V.EQUIPMENT_PREFIXES))
+    numbered = numbered.join(lists, "doc_id", "left").join(listed.withColumn("_ok", F.lit(True)), ["doc_id", "mark"], "left")
+    numbered = numbered.where("_lists is null or _ok").select(*PAGE, "word_id", "cx", "cy", "mark", F.lit(False).alias("lettered"))
+    short = listed.where(c("mark").rlike(V.LETTER_MARK) & ~c("mark").isin(V.EQUIPMENT_PREFIXES))
+    lettered = slim.withColumn("mark", F.upper("_t")).join(short, ["doc_id", "mark"])
+    lettered = lettered.groupBy(*PAGE, "mark", F.bround("x0").alias("_at")).agg(F.min(F.struct("word_id", "cx", "cy")).alias("_w"))
+    marks = cut(numbered.unionByName(lettered.select(*PAGE, "_w.*", "mark", F.lit(True).alias("lettered"))))
+    sizes = cut(words.select(*PAGE, "word_id", "cx", "cy", X.size_and_flow(c("text")).alias("_s")).where("_s is not null")
+                .select(*PAGE, c("word_id").alias("size_id"), "cx", "cy", "_s.size", "_s.cfm"))
+    edges = M.size_edges(marks.withColumnRenamed("word_id", "mark_id"), sizes)
+    pair = M.pair_sizes_greedy(edges).select(*PAGE, c("l").alias("word_id"), c("r").alias("size_id"))
+    pair = pair.join(sizes.select(*PAGE, "size_id", "size", "cfm"), [*PAGE, "size_id"])
+    out = marks.join(pair, [*PAGE, "word_id"], "left")
+    sized = c("size").isNotNull()
+    return out.select(
+        *PAGE, "word_id", "mark", "size", "cfm",
+        F.concat(F.when(c("lettered"), "letter_only_mark").otherwise("bare_mark"), F.when(sized, "").otherwise("_no_size")).alias("method"),
+        F.when(c("lettered"), F.when(sized, 0.70).otherwise(0.55)).otherwise(F.when(sized, 0.75).otherwise(0.30)).alias("confidence"))
+
+
 def verify_document(pages: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """Red flags per document: watermark, missing or unlisted sheets, no legend, no issue type.
 
