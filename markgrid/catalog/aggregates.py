@@ -25,13 +25,22 @@ def _(t):
     return A.class_tag_counts(t.boxes, DOC).withColumn("mean_conf", F.round("mean_conf", 6))
 
 
-@query("takeoff_rows", "A3 D18", """
-with b as (select doc_id, page_no, cls, coalesce(tag, '') as tag, case when l_partkey % 3 = 0 then '' else cast(l_suppkey % 4 as string) end as neck from {boxes}),
-r as (select doc_id, cls, tag, neck, count(*) as qty, count(distinct page_no) as n_pages, min(page_no) as first_page, case when neck <> '' then 'neck' else 'remainder' end as kind from b group by 1, 2, 3, 4)
-select * from r union all select distinct doc_id, cls, tag, '', 1, 0, null::bigint, 'schedule_only' from {expected} e where not exists (select 1 from b where b.doc_id = e.doc_id and b.tag = e.tag)""")
+SCHED_NECK = "case when row_no % 4 <> 0 then cast(6 + row_no % 7 as string) end as neck"
+SCHED_TYPE = "case row_no % 5 when 0 then ' LAY-IN ' when 1 then 'OMNI' when 2 then 'double deflection' when 3 then 'PCS 2' end as type"
+CLS_A3 = "case when cls in ('A-F', 'R-F') then 'AD-' || cls else cls end"
+
+
+@query("takeoff_rows", "A3 D18", f"""
+with b as (select doc_id, page_no, {CLS_A3} as cls, coalesce(tag, '') as tag, case when l_partkey % 3 = 0 then '' else cast(l_suppkey % 4 as string) end as neck from {{boxes}}),
+e as (select doc_id, cls, tag, {SCHED_NECK}, {SCHED_TYPE} from {{expected}}), k as (select doc_id, tag, min(neck) as sn, min(type) as ty from e group by 1, 2), pg as (select doc_id, cls, tag, string_agg(page_no, ', ' order by page_no) as pages from (select distinct doc_id, cls, tag, page_no from b) z group by 1, 2, 3),
+r as (select doc_id, cls, tag, neck, count(*) as qty, count(distinct page_no) as n_pages, min(page_no) as first_page, case when neck <> '' then 'neck' else 'remainder' end as kind from b group by 1, 2, 3, 4),
+u as (select * from r union all select distinct doc_id, cls, tag, '', 1, 0, null::bigint, 'schedule_only' from {{expected}} e where not exists (select 1 from b where b.doc_id = e.doc_id and b.tag = e.tag))
+select u.*, coalesce(pages, '') as pages, case when u.neck <> '' then u.neck else coalesce(sn, '') end as shown_neck,
+ case when starts_with(u.cls, 'AD-') and (contains(trim(ty), ' ') or regexp_matches(upper(ty), '{V.AIR_DEVICE_WORDS}')) then trim(ty) else u.cls end as product
+from u left join pg on pg.doc_id = u.doc_id and pg.cls = u.cls and pg.tag = u.tag left join k on k.doc_id = u.doc_id and k.tag = u.tag""")
 def _(t):
-    b = t.boxes.selectExpr("doc_id", "page_no", "cls", "tag", "case when l_partkey % 3 = 0 then '' else cast(l_suppkey % 4 as string) end as neck")
-    return A.takeoff_rows(b, t.expected, DOC)
+    b = t.boxes.selectExpr("doc_id", "page_no", f"{CLS_A3} as cls", "tag", "case when l_partkey % 3 = 0 then '' else cast(l_suppkey % 4 as string) end as neck")
+    return A.takeoff_rows(b, t.expected.selectExpr("doc_id", "cls", "tag", SCHED_NECK, SCHED_TYPE), DOC)
 
 
 @query("class_totals", "A4", "select doc_id, cls, count(*) as total, false as is_total from {boxes} group by 1, 2 union all select doc_id, null, count(*), true from {boxes} group by 1")

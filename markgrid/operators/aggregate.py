@@ -36,16 +36,27 @@ def takeoff_rows(boxes: DataFrame, schedule: DataFrame, keys: list[str]) -> Data
     """Quantity rows: one per (class, tag, neck) read on the plan, one for what is left of a (class,
     tag), and one of quantity 1 for every scheduled tag that was not seen.
 
-    Pages are given as their count and range; the page list itself stays a join away.
+    ``schedule``: keys, cls, tag and, if it has them, ``neck`` and ``type`` (of several the least counts). ``pages``
+    lists the pages of the class and tag in order; ``shown_neck`` is the neck read, else the schedule's;
+    ``product`` is the schedule's type for air devices where it describes one, else the class.
     """
     b = boxes.withColumn("tag", F.coalesce("tag", F.lit(""))).withColumn("neck", F.coalesce("neck", F.lit("")))
     rows = b.groupBy(*keys, "cls", "tag", "neck").agg(
         F.count("*").alias("qty"), F.countDistinct("page_no").alias("n_pages"), F.min("page_no").alias("first_page"))
     kind = F.when(c("neck") != "", "neck").otherwise("remainder")
     unseen = schedule.select(*keys, "cls", "tag").distinct().join(b.where("tag <> ''").select(*keys, "tag").distinct(), [*keys, "tag"], "left_anti")
-    return rows.withColumn("kind", kind).unionByName(unseen.select(
+    out = rows.withColumn("kind", kind).unionByName(unseen.select(
         *keys, "cls", "tag", F.lit("").alias("neck"), F.lit(1).cast("bigint").alias("qty"), F.lit(0).cast("bigint").alias("n_pages"),
         F.lit(None).cast("bigint").alias("first_page"), F.lit("schedule_only").alias("kind")))
+    # distinct pages of one tag of one document: as many as the document has pages at most
+    pages = b.groupBy(*keys, "cls", "tag").agg(F.array_join(F.array_sort(F.collect_set("page_no")), ", ").alias("pages"))
+    own = [F.min(name).alias("_" + name) if name in schedule.columns else F.lit(None).cast("string").alias("_" + name) for name in ("neck", "type")]
+    known = schedule.where("tag is not null").groupBy(*keys, "tag").agg(*own)
+    j = out.join(pages, [*keys, "cls", "tag"], "left").join(known, [*keys, "tag"], "left")
+    described = c("cls").startswith("AD-") & (F.trim("_type").contains(" ") | F.upper("_type").rlike(V.AIR_DEVICE_WORDS))
+    return j.select(
+        *out.columns, F.coalesce("pages", F.lit("")).alias("pages"), F.when(c("neck") != "", c("neck")).otherwise(F.coalesce("_neck", F.lit(""))).alias("shown_neck"),
+        F.when(described, F.trim("_type")).otherwise(c("cls")).alias("product"))
 
 
 def totals(rows: DataFrame, keys: list[str], level: str, qty: str = "qty") -> DataFrame:

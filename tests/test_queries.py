@@ -17,6 +17,7 @@ nms_two_pass run_merge closed_rectangles takeoff_rows three_way_quantities headl
 row_clusters column_anchors grid_schedules read_tables phrase_windows sheet_index forward_fill tile_assignment thin_preserving_sample group_split every_kth_row
 read_detections event_log_round_trip takeoff_sheet_reader reviewed_annotations page_truth tag_inference_cascade size_waterfall context_statistics
 label_instances document_verification stream_reliability stream_latest_records stream_threshold_trigger reap_stale_jobs
+bare_marks note_write_back stream_live_calibration
 """.split()
 
 
