@@ -236,7 +236,7 @@ LISTED = "select doc_id, substr('SGVAVP', cast(1 + row_no % 3 * 2 as int), 2) ||
 
 
 @query("bare_marks", "C8 F10", f"""with recursive tk as (select doc_id, page_no, word_id, x0, (x0 + x1) / 2e0 as cx, (y0 + y1) / 2e0 as cy, {MARK_TEXT} as text from {{tokens}}), wl as ({LISTED.replace('{e}', '{expected}')}), {sql_size_and_flow('tk', 'text')},
-nm as (select doc_id, page_no, word_id, cx, cy, text as mark, false as lettered from tk where regexp_matches(text, '^([A-Z]{{1,2}}\d{{1,3}}|[A-Z]{{1,3}}-\d{{1,3}})$') and regexp_extract(text, '^[A-Z]+') not in {sql_list(V.EQUIPMENT_PREFIXES)} and (doc_id not in (select doc_id from wl) or (doc_id, text) in (select (doc_id, mark) from wl))),
+nm as (select doc_id, page_no, word_id, cx, cy, text as mark, false as lettered from tk where regexp_matches(text, '^([A-Z]{{1,2}}\\d{{1,3}}|[A-Z]{{1,3}}-\\d{{1,3}})$') and regexp_extract(text, '^[A-Z]+') not in {sql_list(V.EQUIPMENT_PREFIXES)} and (doc_id not in (select doc_id from wl) or (doc_id, text) in (select (doc_id, mark) from wl))),
 lt as (select doc_id, page_no, word_id, cx, cy, text as mark, true as lettered from tk where text in ('CD', 'TYP') and (doc_id, text) in (select (doc_id, mark) from wl) qualify row_number() over (partition by doc_id, page_no, text, x0 order by word_id) = 1),
 mk as (select * from nm union all select * from lt), s9 as (select * from sf where size is not null),
 e9 as (select a.doc_id, a.page_no, a.word_id as l, b.word_id as r, {DIST.format('a', 'b')} as cost from mk a join s9 b on {ON.format('a', 'b')} where case when abs(a.cy - b.cy) <= 15 then abs(a.cx - b.cx) <= 120 else abs(a.cy - b.cy) <= 50 and abs(a.cx - b.cx) <= 40 end),
